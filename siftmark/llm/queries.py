@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftmark.llm import copies, leaks, overlaps, tokenise
+from siftmark.llm import copies, leaks, near, overlaps, tokenise
 from siftmark.runtime import table
 
 QUERIES: dict = {}
@@ -39,3 +39,8 @@ def p6_ids(spark, d):
 @query("p7_found")
 def p7_found(spark, d):
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_passages"))
+
+
+@query("p4_found")
+def p4_found(spark, d):
+    return near.near_pairs(near.passages(table(spark, d, "raw_qa")))
