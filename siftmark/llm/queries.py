@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftmark.llm import copies, leaks, near, overlaps, tokenise
+from siftmark.llm import copies, leaks, near, overlaps, similar, tokenise
 from siftmark.runtime import table
 
 QUERIES: dict = {}
@@ -44,3 +44,8 @@ def p7_found(spark, d):
 @query("p4_found")
 def p4_found(spark, d):
     return near.near_pairs(near.passages(table(spark, d, "raw_qa")))
+
+
+@query("p5_found")
+def p5_found(spark, d):
+    return similar.similar_pairs(table(spark, d, "doc_embeddings"), "doc_idx", "embedding")
