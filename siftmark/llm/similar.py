@@ -5,7 +5,8 @@ product search. Vectors are put in cells; what is left of a unit vector after it
 into pairs of dimensions, and each pair is coded by four bits. Codes and codebooks are fitted to a loss
 in which the error parallel to the vector counts ``ETA`` times as much as the rest, as it is that error
 which changes the inner products that matter. A query scans a cell by table lookups: the inner products
-of its pairs with all 16 codewords are computed once, and a vector's score is a sum of table entries.
+of its pairs with all 16 codewords are computed once, and a vector's score is a sum of table entries, times the
+length that was left of it.
 The best scores are reranked with exact cosines in double precision.
 
 Cells and codebooks are fitted on a bounded sample (``vectors.SAMPLE`` and ``TRAIN`` rows); every row is
@@ -75,21 +76,27 @@ def fit_books(u: np.ndarray, r: np.ndarray, rounds: int = 5, seed: int = 9) -> n
     return books
 
 
+def shaped(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals of length one, and their lengths: codebooks fit tight cells as well as wide ones."""
+    size = np.sqrt((r * r).sum(1))
+    return r / np.maximum(size, 1e-12)[:, None], size
+
+
 def pack(codes: np.ndarray) -> np.ndarray:
     """Two codes a byte."""
     return codes[:, 0::2] << 4 | codes[:, 1::2]
 
 
-def scan(q: np.ndarray, packed: np.ndarray, books: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Scores (queries x members): ``base`` (the inner product with the centre) and a table entry for
-    each byte of a member's code."""
+def scan(q: np.ndarray, packed: np.ndarray, size: np.ndarray, books: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Scores (queries x members): ``base`` (the inner product with the centre) and, times the length of
+    the member's residual, a table entry for each byte of its code."""
     n = len(q)
     tables = np.einsum("npw,pcw->npc", q.reshape(n, PARTS, -1), books).astype(np.float32)
     both = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(n, PARTS // 2, CODES * CODES)
-    out = np.repeat(base[:, None], len(packed), 1)
-    for p in range(PARTS // 2):
+    out = both[:, 0].take(packed[:, 0], axis=1)
+    for p in range(1, PARTS // 2):
         out += both[:, p].take(packed[:, p], axis=1)
-    return out
+    return out * size + base[:, None]
 
 
 def _search(k: int, least: float, centres, books):
@@ -97,12 +104,13 @@ def _search(k: int, least: float, centres, books):
         c = centres.value[cell]
         mu, qu = vectors.unit(mv), vectors.unit(qv)
         m32, q32 = mu.astype(np.float32), qu.astype(np.float32)
-        packed = pack(encode(m32, m32 - c, books.value))
+        rest, size = shaped(m32 - c)
+        packed = pack(encode(m32, rest, books.value))
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         step = max(16, min(1024, 4_000_000 // len(mi)))
         for s in range(0, len(qi), step):
             q = q32[s : s + step]
-            score = scan(q, packed, books.value, q @ c)
+            score = scan(q, packed, size, books.value, q @ c)
             score[qi[s : s + step, None] == mi[None, :]] = -2
             top = min(RERANK, len(mi))
             if top < len(mi):
@@ -144,7 +152,7 @@ def neighbours(rows: DataFrame, id_col: str, vector_col: str, k: int = 10, least
     c = vectors.fit_cells(some, vectors.cells_for(n))
     fit = some[:TRAIN]
     at, _ = vectors.nearest(fit, c)
-    books = fit_books(fit, fit - c[at])
+    books = fit_books(fit, shaped(fit - c[at])[0])
     sc = spark.sparkContext
     found = vectors.per_meeting(vectors.meetings(v, c), _search(k, least, sc.broadcast(c), sc.broadcast(books)), schema)
     best = Window.partitionBy("doc").orderBy(F.desc("cos"), "neighbour")
