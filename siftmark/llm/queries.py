@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftmark.llm import copies, leaks, near, overlaps, similar, tokenise
+from siftmark.llm import clusters, copies, leaks, near, overlaps, similar, tokenise
 from siftmark.runtime import table
 
 QUERIES: dict = {}
@@ -49,3 +49,14 @@ def p4_found(spark, d):
 @query("p5_found")
 def p5_found(spark, d):
     return similar.similar_pairs(table(spark, d, "doc_embeddings"), "doc_idx", "embedding")
+
+
+@query("p1_found")
+def p1_found(spark, d):
+    return clusters.clusters(table(spark, d, "doc_embeddings"), "doc_idx", "embedding")
+
+
+@query("p1_clusters")
+def p1_clusters(spark, d):
+    rows = table(spark, d, "doc_embeddings")
+    return clusters.described(rows, "doc_idx", "embedding", table(spark, d, "rq_codes"), p1_found(spark, d))
