@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftmark.llm import clusters, copies, leaks, near, overlaps, similar, tokenise
+from siftmark.llm import clusters, copies, leaks, near, overlaps, similar, subjects, tokenise
 from siftmark.runtime import table
 
 QUERIES: dict = {}
@@ -60,3 +60,8 @@ def p1_found(spark, d):
 def p1_clusters(spark, d):
     rows = table(spark, d, "doc_embeddings")
     return clusters.described(rows, "doc_idx", "embedding", table(spark, d, "rq_codes"), p1_found(spark, d))
+
+
+@query("p8_found")
+def p8_found(spark, d):
+    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_examples"))
