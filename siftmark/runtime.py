@@ -51,11 +51,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
 
-    def keep(self, df: DataFrame, name: str, schema_from: DataFrame | None = None) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, dictionary_mb: int = 1) -> DataFrame:
+        """``dictionary_mb`` is how large a column's dictionary may grow before its values are written out."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema((schema_from or df).schema).parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").option("parquet.dictionary.page.size", dictionary_mb << 20).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
