@@ -12,6 +12,9 @@ instead is exact too: variable-length prefix signatures.
   common word is added, and then the third. How many a signature gathers is estimated from the words'
   document frequencies, which all sets know alike, so that no list has to be capped: a pair that has no
   light signature of one word has one of two or three.
+- If two sets differ much in size, the smaller one's first common word must be among its very first, and
+  so it is hardly ever a frequent word. Such pairs meet by that word alone, the larger set's frequent
+  words against the smaller set's few.
 - Sets that meet are compared by position, size and a 64-bit map of their words in the join itself;
   what passes is compared word by word.
 
@@ -20,20 +23,26 @@ The frequencies broadcast are those of the ``COMMON`` most frequent words: 12 by
 
 from __future__ import annotations
 
-import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.functions.text import words
-from siftmark.runtime import Scratch
+from siftmark.runtime import Scratch, broadcast_if_small
 
-COMMON, LIGHT, DEPTH = 65_536, 256, 3
+COMMON, LIGHT, DEPTH = 65_536, 2_048, 3
+#: Sizes whose ratio is at least this are nearly the same. The kinds of the signatures for other pairs.
+ALIKE, LARGE, SMALL = 0.88, 14, 15
+_FAR = np.uint64(0x5851F42D4C957F2D)
 #: Sets that a task remembers at most; beyond that, it may send a set's signatures again.
 SEEN = 500_000
+#: Keys of candidates that are broadcast at most (8 bytes each); more of them are joined by shuffle.
+ASKED = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,9 +55,38 @@ def passages(raw: DataFrame) -> DataFrame:
     return p.where(F.col("text").isNotNull() & F.col("line").isNotNull()).select((F.col("line") * 100 + F.col("pos")).alias("key"), "text")
 
 
-def hashed(texts: DataFrame) -> DataFrame:
-    """(key, h): the words' hashes, repeats and all; wordless texts are left out."""
-    return texts.select("key", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
+class _Hashes(dict):
+    """The hash of a word, computed once for each spelling that a task meets."""
+
+    LIMIT = 2_000_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass"))
+        return h
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) to (key, id, terms): the different words' hashes, and their sum, mixed, as the set's id."""
+    find, hashes = regex.compile(r"[\p{L}\p{N}]+").findall, _Hashes()
+    for b in batches:
+        keys, sizes, flat = [], [], array("Q")
+        for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
+            s = {hashes[w] for w in find(text)}
+            if s:
+                keys.append(key)
+                sizes.append(len(s))
+                flat.extend(sorted(s))
+        w = np.frombuffer(flat, np.uint64) if flat else np.zeros(0, np.uint64)
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        ident = np.add.reduceat(_mixed(w), starts[:-1]) if keys else w
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ident.view(np.int64)), pa.ListArray.from_arrays(pa.array(starts), pa.array(w.view(np.int64)))], ["key", "id", "terms"])
+
+
+def _mixed(w: np.ndarray) -> np.ndarray:
+    x = (w ^ (w >> np.uint64(31))) * _MIX
+    return x ^ (x >> np.uint64(27))
 
 
 def _flat(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,25 +95,15 @@ def _flat(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return col.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(col)), n)
 
 
-def _distinct(values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's different values, sorted by row and value."""
-    order = np.lexsort((values, row))
-    v, r = values[order], row[order]
-    new = np.ones(len(v), bool)
-    new[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
-    return v[new], r[new]
-
-
 def frequencies(sets: DataFrame) -> DataFrame:
     """(w, df): in how many rows a word occurs, over all rows; each batch is counted before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v, _ = _distinct(*_flat(b.column("h")))
-            w, n = np.unique(v, return_counts=True)
+            w, n = np.unique(_flat(b.column("terms"))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n.astype(np.int64))], ["w", "df"])
 
-    return sets.select("h").mapInArrow(run, "w long, df long").groupBy("w").agg(F.sum("df").alias("df"))
+    return sets.select("terms").mapInArrow(run, "w long, df long").groupBy("w").agg(F.sum("df").alias("df"))
 
 
 class Order:
@@ -110,29 +138,33 @@ def depth_for(share: float) -> int:
 
 
 def signatures(w: np.ndarray, row: np.ndarray, df: np.ndarray, sizes: np.ndarray, rows: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, position of its last word, number of its words) of every signature of the sets, whose
-    words are in order in ``w``."""
+    """(hash, row, position of its last word, kind) of every signature of the sets, whose words are in order
+    in ``w``. The kind is the number of its words, or ``LARGE`` or ``SMALL``."""
     if not len(w):
         return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     depth = depth_for(share)
     first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     pos = np.arange(len(w)) - first[row]
     n = sizes[row]
+    # the last place of the first common word: with any partner, with one of nearly the same size, and
+    # with a partner so much larger that its size is not nearly the same
     last = n - needed(n, np.ceil(share * n - 1e-9), share)
-    out = []
+    near = n - needed(n, np.ceil(ALIKE * n - 1e-9), share)
+    small = n - needed(n, n / ALIKE, share)
     h = w.view(np.uint64) * _MIX
-    at = np.flatnonzero(pos <= last)
+    light = (df <= LIGHT) | (depth == 1)
+    at = np.flatnonzero((pos <= last) & light)
+    out = [(h[at], row[at], pos[at], np.full(len(at), 1))]
+    for limit, kind in ((last, LARGE), (small, SMALL)) if depth > 1 else ():
+        at = np.flatnonzero((pos <= limit) & ~light)
+        out.append((h[at] ^ _FAR, row[at], pos[at], np.full(len(at), kind)))
+    at = np.flatnonzero((pos <= near) & ~light)
     expect, key, c = df[at].astype(np.float64), h[at], 1
     # at: where the signature's last word stands; key: its hash; expect: how many sets have it by chance
-    while True:
-        done = (expect <= LIGHT) | (c == depth)
-        out.append((key[done], row[at[done]], pos[at[done]], np.full(done.sum(), c)))
-        at, key, expect = at[~done], key[~done], expect[~done]
-        if not len(at):
-            break
+    while len(at) and c < depth:
         parts, d = [], 1
         while True:
-            ok = pos[at] + d <= np.minimum(last[at] + c, n[at] - 1)
+            ok = pos[at] + d <= np.minimum(near[at] + c, n[at] - 1)
             if not ok.any():
                 break
             a, nxt = at[ok], at[ok] + d
@@ -142,52 +174,53 @@ def signatures(w: np.ndarray, row: np.ndarray, df: np.ndarray, sizes: np.ndarray
             break
         at, key, expect = (np.concatenate(x) for x in zip(*parts))
         c += 1
+        done = (expect <= LIGHT) | (c == depth)
+        out.append((key[done], row[at[done]], pos[at[done]], np.full(done.sum(), c)))
+        at, key, expect = at[~done], key[~done], expect[~done]
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _set_rows(order, share: float, with_signatures: bool):
-    """Batches of (key, h) to (key, set, terms), or to the signatures' rows."""
+def _signature_rows(order, share: float):
+    """(key, id, terms) to (sig, key, bits, place): a row for each signature of each set that the task meets
+    for the first time. place packs the number of words, the position and the kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o, seen = order.value, set()
         for b in batches:
-            keys = b.column("key").to_numpy(zero_copy_only=False)
-            w, row, df = o.sort(*_distinct(*_flat(b.column("h"))))
-            sizes = np.bincount(row, minlength=len(keys))
-            # commutative, so the order of words doesn't matter
-            x = w.view(np.uint64)
-            x = (x ^ (x >> np.uint64(31))) * _MIX
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            ident = np.add.reduceat(x ^ (x >> np.uint64(27)), starts[:-1]).view(np.int64) if len(keys) else np.zeros(0, np.int64)
-            if not with_signatures:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ident), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(w))], ["key", "id", "terms"])
-                continue
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (x >> np.uint64(58)), starts[:-1]).view(np.int64) if len(keys) else np.zeros(0, np.int64)
-            sig, r, last, c = signatures(w, row, df, sizes, o.rows, share)
-            # a set that comes again in this task adds nothing
-            new = np.zeros(len(keys), bool)
-            for k, i in enumerate(ident.tolist()):
+            keys, ids = b.column("key").to_numpy(zero_copy_only=False), b.column("id").to_pylist()
+            new = np.zeros(len(ids), bool)
+            for k, i in enumerate(ids):
                 if i not in seen:
                     new[k] = True
                     seen.add(i)
             if len(seen) > SEEN:
                 seen.clear()
-            one = new[r]
-            sig, r, last, c = sig[one], r[one], last[one], c[one]
-            place = sizes[r] << 24 | last << 4 | c
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ident[r]), pa.array(bits[r]), pa.array(place)], ["sig", "id", "bits", "place"])
+            b, keys = b.filter(pa.array(new)), keys[new]
+            if not len(keys):
+                continue
+            w, row, df = o.sort(*_flat(b.column("terms")))
+            sizes = np.bincount(row, minlength=len(keys))
+            starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (_mixed(w.view(np.uint64)) >> np.uint64(58)), starts).view(np.int64)
+            sig, r, last, kind = signatures(w, row, df, sizes, o.rows, share)
+            by = np.argsort(r, kind="stable")  # a set's rows together, which shuffles in fewer bytes
+            sig, r, last, kind = sig[by], r[by], last[by], kind[by]
+            place = sizes[r] << 24 | last << 4 | kind
+            yield pa.RecordBatch.from_arrays([pa.array((sig >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(keys[r]), pa.array(bits[r]), pa.array(place)], ["sig", "key", "bits", "place"])
 
     return run
 
 
 def _can(a: str, b: str, share: float) -> Column:
-    """What the rows of two sets with a common signature allow: position, size and map of words."""
+    """What the rows of two sets with a common signature allow: kind, position, size and map of words."""
     n, m = (F.shiftright(F.col(f"{x}.place"), 24) for x in (a, b))
     i, j = (F.shiftright(F.col(f"{x}.place"), 4).bitwiseAND(F.lit(0xFFFFF)) for x in (a, b))
-    c = F.col(f"{a}.place").bitwiseAND(F.lit(15))
+    c, e = (F.col(f"{x}.place").bitwiseAND(F.lit(15)) for x in (a, b))
     need = F.ceil(F.lit(share / (1 + share)) * (n + m) - 1e-9)
     differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-    return (c + F.least(n - i - 1, m - j - 1) >= need) & (differ <= n + m - 2 * need) & (c == F.col(f"{b}.place").bitwiseAND(F.lit(15)))
+    words_ = F.when(c >= LARGE, 1).otherwise(c)
+    pair = ((c == e) & (c < LARGE) & (F.col(f"{a}.key") < F.col(f"{b}.key"))) | ((c == LARGE) & (e == SMALL) & (n > m))
+    return pair & (words_ + F.least(n - i - 1, m - j - 1) >= need) & (differ <= n + m - 2 * need)
 
 
 def near_sets(texts: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
@@ -198,23 +231,22 @@ def near_sets(texts: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
     """
     spark = texts.sparkSession
     scratch = Scratch(spark, "near")
-    h = hashed(texts.select(F.col("key").cast("long").alias("key"), "text").dropna())
-    counted = frequencies(h)
-    top = counted.orderBy(F.desc("df"), "w").limit(COMMON).toPandas()
-    # two ways to the same order: all rows of the table are counted once
-    sets = scratch.keep(h.mapInArrow(_set_rows(spark.sparkContext.broadcast(Order(top.w.to_numpy(np.int64), top.df.to_numpy(np.int64), 1)), share, False), "key long, id long, terms array<long>"), "sets")
-    rows = sets.count()
-    order = spark.sparkContext.broadcast(Order(top.w.to_numpy(np.int64), top.df.to_numpy(np.int64), rows))
-    sig = sets.select("key", F.col("terms").alias("h")).mapInArrow(_set_rows(order, share, True), "sig long, id long, bits long, place long")
+    sets = scratch.keep(texts.select(F.col("key").cast("long").alias("key"), "text").dropna().mapInArrow(_sets, "key long, id long, terms array<long>"), "sets", dictionary_mb=16)
+    top = frequencies(sets).orderBy(F.desc("df"), "w").limit(COMMON).toPandas()
+    order = spark.sparkContext.broadcast(Order(top.w.to_numpy(np.int64), top.df.to_numpy(np.int64), sets.count()))
+    sig = sets.mapInArrow(_signature_rows(order, share), "sig int, key long, bits long, place long")
     a, b = sig.alias("a"), sig.alias("b")
-    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.id") < F.col("b.id")) & _can("a", "b", share))
-    met = scratch.keep(met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "candidates")
-    asked = met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))).distinct()
-    terms = scratch.keep(sets.select("id", "terms").join(asked, "id").groupBy("id").agg(F.first("terms").alias("terms")), "asked")
-    both = met.join(terms.select(F.col("id").alias("a"), F.col("terms").alias("x")), "a").join(terms.select(F.col("id").alias("b"), F.col("terms").alias("y")), "b")
+    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & _can("a", "b", share))
+    met = met.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
+    met = scratch.keep(met, "candidates")
+    asked = met.select(F.col("a").alias("key")).union(met.select(F.col("b").alias("key"))).distinct()
+    terms = scratch.keep(sets.join(broadcast_if_small(asked, ASKED), "key").dropDuplicates(["key"]), "asked", dictionary_mb=16)
+    x = terms.select(F.col("key").alias("a"), F.col("id").alias("ia"), F.col("terms").alias("x"))
+    y = terms.select(F.col("key").alias("b"), F.col("id").alias("ib"), F.col("terms").alias("y"))
+    both = met.join(x, "a").join(y, "b").where("ia <> ib")
     common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    pairs = both.where(common >= F.lit(share) * (total - common) - 1e-9).select("a", "b")
-    return sets.select("key", "id"), pairs
+    pairs = both.where(common >= F.lit(share) * (total - common) - 1e-9)
+    return sets.select("key", "id"), pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
 
 
 def near_pairs(texts: DataFrame, share: float = 0.7) -> DataFrame:
