@@ -23,6 +23,7 @@ The frequencies broadcast are those of the ``COMMON`` most frequent words: 12 by
 
 from __future__ import annotations
 
+import math
 from array import array
 from collections.abc import Iterator
 
@@ -182,7 +183,9 @@ def signatures(w: np.ndarray, row: np.ndarray, df: np.ndarray, sizes: np.ndarray
 
 def _signature_rows(order, share: float):
     """(key, id, terms) to (sig, key, bits, place): a row for each signature of each set that the task meets
-    for the first time. place packs the number of words, the position and the kind."""
+    for the first time. place packs the number of words, the position and the kind;
+    bit b of bits tells whether the words that hash to b are odd in number, so that two sets differ in at
+    least as many words as their bits differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o, seen = order.value, set()
@@ -201,7 +204,7 @@ def _signature_rows(order, share: float):
             w, row, df = o.sort(*_flat(b.column("terms")))
             sizes = np.bincount(row, minlength=len(keys))
             starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (_mixed(w.view(np.uint64)) >> np.uint64(58)), starts).view(np.int64)
+            bits = np.bitwise_xor.reduceat(np.uint64(1) << (_mixed(w.view(np.uint64)) >> np.uint64(58)), starts).view(np.int64)
             sig, r, last, kind = signatures(w, row, df, sizes, o.rows, share)
             by = np.argsort(r, kind="stable")  # a set's rows together, which shuffles in fewer bytes
             sig, r, last, kind = sig[by], r[by], last[by], kind[by]
@@ -212,15 +215,17 @@ def _signature_rows(order, share: float):
 
 
 def _can(a: str, b: str, share: float) -> Column:
-    """What the rows of two sets with a common signature allow: kind, position, size and map of words."""
+    """What the rows of two sets with a common signature allow: map of words, kind, position and size. The
+    map comes first, as it rejects almost all, in whole numbers."""
     n, m = (F.shiftright(F.col(f"{x}.place"), 24) for x in (a, b))
     i, j = (F.shiftright(F.col(f"{x}.place"), 4).bitwiseAND(F.lit(0xFFFFF)) for x in (a, b))
     c, e = (F.col(f"{x}.place").bitwiseAND(F.lit(15)) for x in (a, b))
-    need = F.ceil(F.lit(share / (1 + share)) * (n + m) - 1e-9)
     differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    few = differ * 1_000_000 <= (n + m) * math.ceil((1 - share) / (1 + share) * 1_000_000)
+    need = F.ceil(F.lit(share / (1 + share)) * (n + m) - 1e-9)
     words_ = F.when(c >= LARGE, 1).otherwise(c)
     pair = ((c == e) & (c < LARGE) & (F.col(f"{a}.key") < F.col(f"{b}.key"))) | ((c == LARGE) & (e == SMALL) & (n > m))
-    return pair & (words_ + F.least(n - i - 1, m - j - 1) >= need) & (differ <= n + m - 2 * need)
+    return few & pair & (words_ + F.least(n - i - 1, m - j - 1) >= need)
 
 
 def near_sets(texts: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
