@@ -78,7 +78,9 @@ def encode(docs: DataFrame, id_col: str, text_col: str, tokenizer: str = "byte_b
     rare = tokens.join(hot.select("word"), "word", "left_anti").join(coded.select("word", "ids"), "word")
     ends = base.select("doc_id", "h", F.lit(-1).alias("pos"), F.array().cast("array<int>").alias("ids"))
     pieces = known.select("doc_id", "h", "pos", "ids").unionByName(rare.select("doc_id", "h", "pos", "ids")).unionByName(ends)
-    whole = pieces.groupBy("doc_id", "h").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("pos", "ids")))).alias("p"))
+    whole = pieces.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("p"))
+    # a row that is there twice has two ends
+    whole = whole.withColumn("p", F.when(F.get("p", F.lit(1))["pos"] == -1, F.array_distinct("p")).otherwise(F.col("p")))
     return whole.select("doc_id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
 
 
@@ -97,6 +99,6 @@ def decode(coded: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", path: str
     """
     table = F.broadcast(token_bytes(coded.sparkSession, tokenizer, path))
     pieces = coded.select("doc_id", F.posexplode_outer("ids").alias("pos", "id")).join(table, "id", "left")
-    whole = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("pos", F.lit(-1)).alias("pos"), F.coalesce("hex", F.lit("")).alias("hex")))).alias("p"))
+    whole = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("pos", F.lit(-1)).alias("pos"), F.coalesce("hex", F.lit("")).alias("hex")))).alias("p"))
     joined = F.concat_ws("", F.transform("p", lambda x: x["hex"]))
     return whole.select("doc_id", F.decode(F.unhex(joined), "UTF-8").alias("text"))
