@@ -69,10 +69,10 @@ def copies(rows: DataFrame, id_col: str, mark: Column, fields: Column) -> DataFr
     r = scratch.keep(r.withColumn("k1", cheap), "fields")
     one = _several(r.select("id", "k1"), "k1").select("id")
     r2 = r.join(one, "id")
-    histogram = F.xxhash64("k1", F.concat_ws("", F.array_sort(F.split(letters, ""))))
+    histogram = F.xxhash64("k1", F.concat_ws("", F.sort_array(F.split(letters, ""))))
     r2 = scratch.keep(r2.withColumn("k2", histogram).drop("k1"), "histogram")
     two = _several(r2.select("id", "k2"), "k2").select("id")
-    canonical = F.sha2(F.concat_ws("\n", "mark", F.concat_ws("\n", F.array_sort("fields"))), 256)
+    canonical = F.sha2(F.concat_ws("\n", "mark", F.concat_ws("\n", F.sort_array("fields"))), 256)
     r3 = r2.join(two, "id").select("id", canonical.alias("k3"))
     same = _several(r3, "k3")
     return same.where("id > first").select(F.col("first").alias("keep_id"), F.col("id").alias("copy_id")).distinct()

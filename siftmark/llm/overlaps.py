@@ -33,7 +33,7 @@ from siftmark.runtime import Scratch
 
 def _sets(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, terms): the different words' hashes, in order; texts without words are left out."""
-    terms = F.array_sort(F.array_distinct(F.transform(words(text), lambda w: F.xxhash64(w))))
+    terms = F.sort_array(F.array_distinct(F.transform(words(text), lambda w: F.xxhash64(w))))
     return rows.select(F.col(id_col).alias("id"), terms.alias("terms")).where(F.size("terms") > 0).withColumn("set", F.xxhash64("terms", F.size("terms")))
 
 
@@ -59,7 +59,7 @@ def overlapping_sets(left: DataFrame, right: DataFrame, share: float, scratch: S
     def ordered(side: DataFrame) -> DataFrame:
         n = F.size("terms")
         rows = side.select("set", n.alias("n"), F.explode("terms").alias("t")).join(counted, "t")
-        return rows.groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o")).select("set", "n", F.transform("o", lambda x: x["t"]).alias("terms"))
+        return rows.groupBy("set", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o")).select("set", "n", F.transform("o", lambda x: x["t"]).alias("terms"))
 
     lo, ro = scratch.keep(ordered(left), "left"), scratch.keep(ordered(right), "right")
     # A partner has between share * n and n / share words; the shortest leaves the longest prefix.

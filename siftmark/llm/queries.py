@@ -65,3 +65,80 @@ def p1_clusters(spark, d):
 @query("p8_found")
 def p8_found(spark, d):
     return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_examples"))
+
+
+@query("p2_kept")
+def p2_kept(spark, d):
+    rows = table(spark, d, "train_samples")
+    return copies.kept(rows, "sample_id", copies.input_copies(rows))
+
+
+@query("p3_counts")
+def p3_counts(spark, d):
+    rows = table(spark, d, "test_samples")
+    return overlaps.overlap_counts(rows, overlaps.overlaps(rows, table(spark, d, "train_samples")))
+
+
+@query("p4_groups")
+def p4_groups(spark, d):
+    return near.near_groups(near.passages(table(spark, d, "raw_qa")))
+
+
+@query("p6_decoded")
+def p6_decoded(spark, d):
+    return tokenise.decode(p6_ids(spark, d))
+
+
+@query("p7_near")
+def p7_near(spark, d):
+    """With one word of twelve edited."""
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_passages"), budget=1)
+
+
+@query("p8_mix")
+def p8_mix(spark, d):
+    """(subject, source, lang, n_docs): the make-up of the corpus."""
+    docs = table(spark, d, "documents")
+    found = subjects.subjects_of(docs, table(spark, d, "subject_examples"))
+    return docs.select("doc_id", "source", "lang").join(found, "doc_id").groupBy("subject", "source", "lang").count().withColumnRenamed("count", "n_docs")
+
+
+# A word is a run of letters and numbers; a text's words as one string with single spaces, and as a list.
+def _text(x: str) -> str:
+    return f"lower(trim(regexp_replace(coalesce({x}, ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))"
+
+
+def _words(x: str) -> str:
+    return f"list_filter(string_split({_text(x)}, ' '), lambda w: w <> '')"
+
+
+def _mark(x: str) -> str:
+    return f"lower(regexp_extract(coalesce({x}, ''), '^\\s*(query|document)\\s*:', 1, 'i'))"
+
+
+def _body(x: str) -> str:
+    return f"regexp_replace(coalesce({x}, ''), '^\\s*(query|document)\\s*:', '', 'i')"
+
+
+def _fields(x: str) -> str:
+    return f"list_sort(list_filter(list_transform({x}, lambda f: {_text('f')}), lambda f: f <> ''))"
+
+
+_P2 = f"""WITH r AS (SELECT 'train_samples' AS tab, sample_id AS id, {_mark("input")} AS mark, {_fields("regexp_split_to_array(" + _body("input") + ", '[|;\\n\\r]')")} AS f FROM train_samples
+UNION ALL SELECT 'pseudo_queries', doc_idx, '', {_fields("coalesce(pseudo_queries, []::VARCHAR[])")} FROM pseudo_queries),
+k AS (SELECT tab, id, min(id) OVER (PARTITION BY tab, mark, f) AS keep_id FROM r WHERE len(f) > 0)"""
+_P3 = f"""WITH h AS (SELECT query_idx, list_distinct({_words(_body("input"))}) AS w FROM test_samples), t AS (SELECT sample_id, list_distinct({_words(_body("input"))}) AS w FROM train_samples),
+c AS (SELECT query_idx, sample_id, count(*) AS n FROM (SELECT query_idx, unnest(w) AS x FROM h) JOIN (SELECT sample_id, unnest(w) AS x FROM t) USING (x) GROUP BY 1, 2),
+found AS (SELECT query_idx, sample_id FROM c JOIN h USING (query_idx) JOIN t USING (sample_id) WHERE n >= 0.75 * (len(h.w) + len(t.w) - n))"""
+_P7 = f"""WITH d AS (SELECT doc_id, {_words("text")} AS w FROM documents), i AS (SELECT item_id, {_words("text")} AS w FROM eval_passages),
+g AS (SELECT item_id, s AS n, w[k + 1:k + s] AS g FROM (SELECT item_id, w, least(len(w), 12) AS s, unnest(range(len(w) - least(len(w), 12) + 1)) AS k FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM g)
+SELECT DISTINCT x.doc_id, g.item_id FROM (SELECT doc_id, n, w[k + 1:k + n] AS g FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS k FROM d JOIN sizes ON n <= len(w))) x JOIN g ON g.n = x.n AND g.g = x.g"""
+ORACLE |= {
+    "p2_found": _P2 + " SELECT tab, keep_id, id AS copy_id FROM k WHERE id <> keep_id",
+    "p2_kept": _P2 + ", c AS (SELECT id, keep_id FROM k WHERE tab = 'train_samples' AND id <> keep_id), n AS (SELECT keep_id, count(*) AS n FROM c GROUP BY 1) SELECT sample_id AS keep_id, coalesce(n, 0) + 1 AS n_copies FROM train_samples LEFT JOIN n ON n.keep_id = sample_id WHERE sample_id NOT IN (SELECT id FROM c)",
+    "p3_found": _P3 + " SELECT query_idx, sample_id FROM found",
+    "p3_counts": _P3 + ", p AS (SELECT query_idx, count(*) AS n FROM found GROUP BY 1) SELECT split, source, count(*) AS n_rows, sum(n)::BIGINT AS n_pairs FROM test_samples JOIN p USING (query_idx) GROUP BY 1, 2",
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p7_found": _P7,
+}
