@@ -294,7 +294,7 @@ def composed(examples: list[tuple[str, str]], subjects: list[str], none: list[st
         first = int(rng.integers(len(subjects)))
         row = weight[first].copy()
         row[first] = 0
-        more = int(rng.choice([0, 1, 2], p=[0.5, 0.35, 0.15]))
+        more = min(int(rng.choice([0, 1, 2], p=[0.5, 0.35, 0.15])), len(subjects) - 1)
         own = [first, *rng.choice(len(subjects), more, replace=False, p=row / row.sum()).tolist()]
         size = int(rng.integers(1, 13))
         of = rng.choice([*own, -1], size, p=[*[0.75 / len(own)] * len(own), 0.25]) if none else rng.choice(own, size)
