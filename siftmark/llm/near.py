@@ -15,8 +15,8 @@ instead is exact too: variable-length prefix signatures.
 - If two sets differ much in size, the smaller one's first common word must be among its very first, and
   so it is hardly ever a frequent word. Such pairs meet by that word alone, the larger set's frequent
   words against the smaller set's few.
-- Sets that meet are compared by position, size and a 64-bit map of their words in the join itself;
-  what passes is compared word by word.
+- Sets that meet are compared by position, size and a small map of their words at once, a block of rows
+  at a time; what passes is compared word by word.
 
 The frequencies broadcast are those of the ``COMMON`` most frequent words: 12 bytes each.
 """
@@ -44,6 +44,8 @@ _FAR = np.uint64(0x5851F42D4C957F2D)
 SEEN = 500_000
 #: Keys of candidates that are broadcast at most (8 bytes each); more of them are joined by shuffle.
 ASKED = 1_000_000
+#: Bits of the map of words; rows of one signature that are paired in a task, and rows that it holds at once.
+MAP, GROUP, CHUNK = 96, 20_000, 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -182,10 +184,10 @@ def signatures(w: np.ndarray, row: np.ndarray, df: np.ndarray, sizes: np.ndarray
 
 
 def _signature_rows(order, share: float):
-    """(key, id, terms) to (sig, key, bits, place): a row for each signature of each set that the task meets
+    """(key, id, terms) to (sig, key, bits, more, place): a row for each signature of each set that the task meets
     for the first time. place packs the number of words, the position and the kind;
-    bit b of bits tells whether the words that hash to b are odd in number, so that two sets differ in at
-    least as many words as their bits differ."""
+    bits and more are a map of ``MAP`` bits, each of which tells whether the words that hash to it are odd in
+    number, so that two sets differ in at least as many words as their maps in bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o, seen = order.value, set()
@@ -204,23 +206,125 @@ def _signature_rows(order, share: float):
             w, row, df = o.sort(*_flat(b.column("terms")))
             sizes = np.bincount(row, minlength=len(keys))
             starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            bits = np.bitwise_xor.reduceat(np.uint64(1) << (_mixed(w.view(np.uint64)) >> np.uint64(58)), starts).view(np.int64)
+            bit = (_mixed(w.view(np.uint64)) >> np.uint64(32)) * np.uint64(MAP) >> np.uint64(32)
+            low, one = bit < 64, np.uint64(1)
+            bits = np.bitwise_xor.reduceat(np.where(low, one << (bit & np.uint64(63)), np.uint64(0)), starts).view(np.int64)
+            more = np.bitwise_xor.reduceat(np.where(low, np.uint64(0), one << (bit & np.uint64(31))), starts).astype(np.uint32).view(np.int32)
             sig, r, last, kind = signatures(w, row, df, sizes, o.rows, share)
             by = np.argsort(r, kind="stable")  # a set's rows together, which shuffles in fewer bytes
             sig, r, last, kind = sig[by], r[by], last[by], kind[by]
             place = sizes[r] << 24 | last << 4 | kind
-            yield pa.RecordBatch.from_arrays([pa.array((sig >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(keys[r]), pa.array(bits[r]), pa.array(place)], ["sig", "key", "bits", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array((sig >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(keys[r]), pa.array(bits[r]), pa.array(more[r]), pa.array(place)], ["sig", "key", "bits", "more", "place"])
 
     return run
 
 
+def _pairs_of(r: dict[str, np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rows (i, j) of one signature each, sorted by it, that ``_can`` allows to be a pair."""
+    sig, bits, more, place = r["sig"], r["bits"].view(np.uint64), r["more"].view(np.uint32), r["place"]
+    n, pos, kind = place >> 24, place >> 4 & 0xFFFFF, place & 15
+    rate = (1 - share) / (1 + share)
+
+    def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        differ = np.bitwise_count(bits[i] ^ bits[j]) + np.bitwise_count(more[i] ^ more[j])
+        at = np.flatnonzero(differ <= (n[i] + n[j]) * rate + 1e-6)
+        i, j = i[at], j[at]
+        c = np.where(kind[i] >= LARGE, 1, kind[i])
+        return at[c + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= needed(n[i], n[j], share)]
+
+    a, b = [], []
+    own = np.flatnonzero(kind < LARGE)
+    end = np.searchsorted(sig[own], sig[own], side="right")
+    i, d = np.arange(len(own)), 1
+    while len(i := i[i + d < end[i]]):
+        x, y = own[i], own[i + d]
+        ok = allowed(x, y)
+        ok = ok[kind[x[ok]] == kind[y[ok]]]
+        a.append(x[ok])
+        b.append(y[ok])
+        d += 1
+    large = np.flatnonzero(kind == LARGE)
+    lo, hi = (np.searchsorted(sig[large], sig, side=e) for e in ("left", "right"))
+    for s in np.flatnonzero((kind == SMALL) & (lo < hi)).tolist():
+        x = large[lo[s] : hi[s]]
+        x = x[n[x] > n[s]]
+        ok = allowed(x, np.full(len(x), s))
+        a.append(x[ok])
+        b.append(np.full(len(ok), s))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+ROW = {"sig": np.int32, "key": np.int64, "bits": np.int64, "more": np.int32, "place": np.int64}
+
+
+def _meet(share: float, group: int, chunk: int):
+    """Rows sorted by signature to (a, b) for every pair that is allowed, or, if one signature has more than
+    ``group`` rows, to those rows as they came."""
+
+    def out(rows: dict[str, np.ndarray], deferred: bool) -> pa.RecordBatch:
+        if deferred:
+            size, pairs, kept = len(rows["sig"]), [None, None], rows
+        else:
+            i, j = _pairs_of(rows, share)
+            x, y = rows["key"][i], rows["key"][j]
+            size, pairs, kept = len(i), [np.minimum(x, y), np.maximum(x, y)], None
+        cols = [pa.nulls(size, pa.int64()) if p is None else pa.array(p) for p in pairs]
+        cols += [pa.array(kept[k]) if kept else pa.nulls(size, pa.from_numpy_dtype(t)) for k, t in ROW.items()]
+        return pa.RecordBatch.from_arrays(cols, ["a", "b", *ROW])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        n, over = 0, None
+        for b in batches:
+            rows = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ROW}
+            if not b.num_rows:
+                continue
+            if over is not None:
+                same = int(np.searchsorted(rows["sig"], over, side="right"))
+                if same:
+                    yield out({k: v[:same] for k, v in rows.items()}, True)
+                rows = {k: v[same:] for k, v in rows.items()}
+                if not len(rows["sig"]):
+                    continue
+                over = None
+            held.append(rows)
+            n += len(rows["sig"])
+            if n < chunk:
+                continue
+            rows = {k: np.concatenate([h[k] for h in held]) for k in ROW}
+            cut = int(np.searchsorted(rows["sig"], rows["sig"][-1], side="left"))  # the last signature may go on
+            for part, deferred in _split({k: v[:cut] for k, v in rows.items()}, group):
+                yield out(part, deferred)
+            last = {k: v[cut:] for k, v in rows.items()}
+            if len(last["sig"]) > group:
+                over = last["sig"][0]
+                yield out(last, True)
+                held, n = [], 0
+            else:
+                held, n = [last], len(last["sig"])
+        if held:
+            for part, deferred in _split({k: np.concatenate([h[k] for h in held]) for k in ROW}, group):
+                yield out(part, deferred)
+
+    return run
+
+
+def _split(rows: dict[str, np.ndarray], group: int) -> list[tuple[dict[str, np.ndarray], bool]]:
+    """Rows of signatures of at most ``group`` rows, and the others."""
+    first = np.flatnonzero(np.r_[True, np.diff(rows["sig"]) != 0]) if len(rows["sig"]) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, len(rows["sig"])])
+    big = np.repeat(size > group, size)
+    return [({k: v[m] for k, v in rows.items()}, d) for m, d in ((~big, False), (big, True)) if m.any()]
+
+
 def _can(a: str, b: str, share: float) -> Column:
     """What the rows of two sets with a common signature allow: map of words, kind, position and size. The
     map comes first, as it rejects almost all, in whole numbers."""
     n, m = (F.shiftright(F.col(f"{x}.place"), 24) for x in (a, b))
     i, j = (F.shiftright(F.col(f"{x}.place"), 4).bitwiseAND(F.lit(0xFFFFF)) for x in (a, b))
     c, e = (F.col(f"{x}.place").bitwiseAND(F.lit(15)) for x in (a, b))
-    differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) + F.bit_count(F.col(f"{a}.more").bitwiseXOR(F.col(f"{b}.more")))
     few = differ * 1_000_000 <= (n + m) * math.ceil((1 - share) / (1 + share) * 1_000_000)
     need = F.ceil(F.lit(share / (1 + share)) * (n + m) - 1e-9)
     words_ = F.when(c >= LARGE, 1).otherwise(c)
@@ -228,7 +332,7 @@ def _can(a: str, b: str, share: float) -> Column:
     return few & pair & (words_ + F.least(n - i - 1, m - j - 1) >= need)
 
 
-def near_sets(texts: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+def near_sets(texts: DataFrame, share: float, group: int = GROUP, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): (key, id) of every text with words, and the pairs a < b of ids of different word
     sets that share at least ``share`` of all words in either.
 
@@ -239,13 +343,21 @@ def near_sets(texts: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
     sets = scratch.keep(texts.select(F.col("key").cast("long").alias("key"), "text").dropna().mapInArrow(_sets, "key long, id long, terms array<long>"), "sets", dictionary_mb=16)
     top = frequencies(sets).orderBy(F.desc("df"), "w").limit(COMMON).toPandas()
     order = spark.sparkContext.broadcast(Order(top.w.to_numpy(np.int64), top.df.to_numpy(np.int64), sets.count()))
-    sig = sets.mapInArrow(_signature_rows(order, share), "sig int, key long, bits long, place long")
-    a, b = sig.alias("a"), sig.alias("b")
-    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & _can("a", "b", share))
-    met = met.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
+    sig = sets.mapInArrow(_signature_rows(order, share), "sig int, key long, bits long, more int, place long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = sig.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(_meet(share, group, chunk), "a long, b long, sig int, key long, bits long, more int, place long")
+    near = scratch.keep(near, "near")
+    met = near.where("a is not null").select("a", "b")
+    deferred = near.where("sig is not null").select(*ROW)
+    if not deferred.isEmpty():
+        # signatures of very many rows: a sort-merge join, whose skewed partitions are split at run time
+        a, b = deferred.alias("a"), deferred.alias("b")
+        joined = a.join(b, (F.col("a.sig") == F.col("b.sig")) & _can("a", "b", share))
+        met = met.union(joined.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")))
+    met = met.distinct()
     met = scratch.keep(met, "candidates")
     asked = met.select(F.col("a").alias("key")).union(met.select(F.col("b").alias("key"))).distinct()
-    terms = scratch.keep(sets.join(broadcast_if_small(asked, ASKED), "key").dropDuplicates(["key"]), "asked", dictionary_mb=16)
+    terms = sets.join(broadcast_if_small(asked, ASKED), "key").dropDuplicates(["key"])
     x = terms.select(F.col("key").alias("a"), F.col("id").alias("ia"), F.col("terms").alias("x"))
     y = terms.select(F.col("key").alias("b"), F.col("id").alias("ib"), F.col("terms").alias("y"))
     both = met.join(x, "a").join(y, "b").where("ia <> ib")
@@ -254,10 +366,10 @@ def near_sets(texts: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
     return sets.select("key", "id"), pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
 
 
-def near_pairs(texts: DataFrame, share: float = 0.7) -> DataFrame:
+def near_pairs(texts: DataFrame, share: float = 0.7, group: int = GROUP, chunk: int = CHUNK) -> DataFrame:
     """(passage_a, passage_b), the smaller key first: all texts whose sets of words share at least
     ``share`` of all words in either, equal sets included. Repeated rows (same key) give one row."""
-    members, pairs = near_sets(texts, share)
+    members, pairs = near_sets(texts, share, group, chunk)
     m = members.distinct()
     x, y = m.select(F.col("key").alias("ka"), F.col("id").alias("a")), m.select(F.col("key").alias("kb"), F.col("id").alias("b"))
     equal = x.join(y, (F.col("a") == F.col("b")) & (F.col("ka") < F.col("kb"))).select("ka", "kb")

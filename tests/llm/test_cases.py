@@ -127,6 +127,15 @@ def test_near_edges(spark):
     assert not pairs(near.near_pairs(t.limit(0)))
 
 
+@pytest.mark.parametrize("group,chunk", [(3, 5), (3, 400_000), (20_000, 7)])
+def test_signatures_of_many_sets(spark, group, chunk):
+    """Large signatures are joined elsewhere, and parts of one that come in several chunks are put together."""
+    rng = np.random.default_rng(7)
+    data = [(i, " ".join(rng.choice(list("abcdefghijklm"), rng.integers(1, 12)))) for i in range(120)]
+    got = pairs(near.near_pairs(spark.createDataFrame(data, "key long, text string"), 0.7, group, chunk))
+    assert got == brute.jaccard_pairs(data, None, 0.7)
+
+
 def test_passages(spark):
     raw = spark.createDataFrame([(1, (["a", None, "b"],)), (2, (None,)), (3, None), (None, (["x"],))], "line_no long, passages struct<passage_text: array<string>>")
     assert pairs(near.passages(raw)) == {(100, "a"), (102, "b")}
