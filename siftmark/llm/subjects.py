@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 VOCABULARY, ROUNDS, SAMPLE, COMPOSED, BEAM = 30_000, 3, 4_000, 6_000, 8
 PART, SEED = 0.25, 17
 #: Mean occurrences added to a word's, by which a ratio must exceed one to count, and its weight.
-PRIOR, CLEAR, SLOPE = 6.0, 2.5, 3.0
+PRIOR, CLEAR, SLOPE = 4.0, 2.5, 3.0
 #: What one example counts, and how sure its context is.
 EXAMPLE, SURE = 2.0, 0.6
 #: Part of the sentences with subject words that are about none all the same.
