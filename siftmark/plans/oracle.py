@@ -59,7 +59,7 @@ RANKS = f"""WITH {DOCS}, {QUERIES}, sims AS MATERIALIZED (SELECT q.query, q.gold
 gold AS (SELECT query, sim AS gold_sim FROM sims WHERE doc = gold),
 first AS (SELECT query, doc AS top1_doc, sim AS top1_sim FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, doc) AS r FROM sims) WHERE r = 1),
 other AS (SELECT query, avg(sim) AS top_mean FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, doc) AS r FROM sims WHERE doc <> gold) WHERE r <= 10 GROUP BY 1),
-ranks AS MATERIALIZED (SELECT s.query, any_value(s.gold) AS gold, 1 + count_if(s.sim > g.gold_sim) AS gold_rank, any_value(g.gold_sim) AS gold_sim, any_value(f.top1_doc) AS top1_doc, any_value(f.top1_sim) AS top1_sim, any_value(o.top_mean) AS top_mean
+ranks AS MATERIALIZED (SELECT s.query, any_value(s.gold) AS gold, (1 + count_if(s.sim > g.gold_sim))::BIGINT AS gold_rank, any_value(g.gold_sim) AS gold_sim, any_value(f.top1_doc) AS top1_doc, any_value(f.top1_sim) AS top1_sim, any_value(o.top_mean) AS top_mean
   FROM sims s JOIN gold g USING (query) JOIN first f USING (query) LEFT JOIN other o USING (query) GROUP BY 1)"""
 _PAIRS = f"""flat AS (SELECT split, split_ord, line_no, query, passages.passage_text AS ts, passages.is_selected AS fs, passages.url AS us, unnest(range(len(passages.passage_text))) AS pos FROM raw_qa WHERE {_strip("query")} <> ''),
 pairs AS MATERIALIZED (SELECT split, split_ord, line_no, pos, {_strip("query")} AS query, ts[pos + 1] AS text, us[pos + 1] AS url,
@@ -149,8 +149,8 @@ ORACLE: dict[str, str] = {
     "gold_gap_summary": f"{RANKS} SELECT round(avg(g), 6) AS mean, round(quantile_cont(g, 0.5), 6) AS median, round(avg((g < 0.01)::INT), 6) AS below_001, round(avg((g < 0.05)::INT), 6) AS below_005 FROM (SELECT top1_sim - gold_sim AS g FROM ranks)",
     "consistency_bins_doc": f"{DOC_NEAR} {_BINS}",
     "consistency_bins_query": f"{QUERY_NEAR} {_BINS}",
-    "consistency_outside": f"{DOC_NEAR} SELECT count(*) AS n_pairs, count_if(sim < 0.3::DOUBLE) AS outside_low, count_if(sim > 0.9::DOUBLE) AS outside_high FROM near",
-    "prefix_groups": f"WITH {CODES} SELECT level, count(*) AS n_groups_total, count_if(s >= 2) AS n_groups_valid, sum(s * (s - 1) // 2)::BIGINT AS n_pairs FROM (SELECT level, codes[1:level] AS p, count(*) AS s FROM codes CROSS JOIN range(1, 5) AS r(level) GROUP BY 1, 2) GROUP BY level",
+    "consistency_outside": f"{DOC_NEAR} SELECT count(*) AS n_pairs, count_if(sim < 0.3::DOUBLE)::BIGINT AS outside_low, count_if(sim > 0.9::DOUBLE)::BIGINT AS outside_high FROM near",
+    "prefix_groups": f"WITH {CODES} SELECT level, count(*) AS n_groups_total, count_if(s >= 2)::BIGINT AS n_groups_valid, sum(s * (s - 1) // 2)::BIGINT AS n_pairs FROM (SELECT level, codes[1:level] AS p, count(*) AS s FROM codes CROSS JOIN range(1, 5) AS r(level) GROUP BY 1, 2) GROUP BY level",
     "shared_prefix_ratio": f"{DOC_NEAR} SELECT count(*) AS n_pairs, " + ", ".join(f"round(avg((shared >= {n})::INT), 6) AS l{n}" for n in L4) + " FROM near",
     "group_cap": f"WITH {CODES}, g AS (SELECT s * (s - 1) // 2 AS n FROM (SELECT count(*) AS s FROM codes GROUP BY codes[1:1])), t AS (SELECT cap, sum(least(n, cap))::BIGINT AS total FROM g CROSS JOIN (VALUES {_CAPS}) AS c(cap) GROUP BY cap) SELECT cap, total FROM t WHERE cap = coalesce((SELECT min(cap) FROM t WHERE total >= 20000), (SELECT max(cap) FROM t))",
     "pair_cosine_summary": f"{DOC_NEAR} SELECT shared::BIGINT AS shared, n AS n_pairs, round(m, 6) AS mean, round(med, 6) AS median, round(s, 6) AS std, round(q1, 6) AS q25, round(q3, 6) AS q75, round(m - 1.96 * s / sqrt(n), 6) AS ci95_low, round(m + 1.96 * s / sqrt(n), 6) AS ci95_high FROM (SELECT shared, count(*) AS n, avg(sim) AS m, quantile_cont(sim, 0.5) AS med, coalesce(stddev_samp(sim), 0) AS s, quantile_cont(sim, 0.25) AS q1, quantile_cont(sim, 0.75) AS q3 FROM near GROUP BY 1)",
@@ -165,7 +165,7 @@ SELECT nx::BIGINT AS n_x, ny::BIGINT AS n_y, round(u1, 6) AS u1, round(nx * ny -
     "skipped_pairs": f"WITH {_PAIRS}, {_SEMI} SELECT count(*) AS n_skipped FROM pairs WHERE doc_id NOT IN (SELECT doc_id FROM rqids)",
     "test_query_scan": f"WITH {_TEST} SELECT query_idx, text, gt_semid, gt_rqid, array_to_string(codes, ',') AS codes FROM tq",
     "gold_lookup": "SELECT query_idx, doc_idx AS gold FROM test_samples JOIN pseudo_queries ON gt_semid = doc_id",
-    "gold_code_check": "SELECT count(*) AS n_rows, count_if(gt_rqid <> rqid) AS n_mismatches FROM test_samples JOIN semid_to_rqid ON gt_semid = doc_id",
+    "gold_code_check": "SELECT count(*) AS n_rows, count_if(gt_rqid <> rqid)::BIGINT AS n_mismatches FROM test_samples JOIN semid_to_rqid ON gt_semid = doc_id",
     "trie_edges": f"WITH {_TRIE} SELECT array_to_string(prefix, ',') AS prefix, next::BIGINT AS next FROM trie",
     "trie_allowed": f"WITH {CODES}, {_TRIE}, asked AS (SELECT DISTINCT codes[1:n] AS prefix FROM (SELECT codes, unnest(range(len(codes) + 1)) AS n FROM codes)) SELECT array_to_string(a.prefix, ',') AS prefix, t.next::BIGINT AS next FROM asked a LEFT JOIN trie t ON a.prefix = t.prefix",
     "beam_search": _beam() + " SELECT query, rank, rqid, total FROM beams",
