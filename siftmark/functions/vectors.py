@@ -15,10 +15,12 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def normalised(a: Column, norm_of: Column | None = None) -> Column:
-    """The vector divided by its length; a zero vector is an error."""
-    n = norm(a) if norm_of is None else norm_of
-    return F.transform(a, lambda x: x.cast("double") / F.when(n == 0, F.raise_error(F.lit("vector of length zero")).cast("double")).otherwise(n))
+def normalised(a: Column) -> Column:
+    """The vector divided by its length; a zero vector is an error. The length stands outside of the
+    element's function, so that it is computed once for each vector."""
+    n = norm(a)
+    n = F.when(n == 0, F.raise_error(F.lit("vector of length zero")).cast("double")).otherwise(n)
+    return F.zip_with(a, F.array_repeat(n, F.size(a)), lambda x, y: x.cast("double") / y)
 
 
 def minus(a: Column, b: Column) -> Column:

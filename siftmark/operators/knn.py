@@ -64,13 +64,14 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int, excluded: str | None = No
     def best(qi, qv, x, di, dv):
         a, b, s = [], [], []
         for at in range(0, len(qi), 512):
-            sim = np.round(qv[at : at + 512] @ dv.T, digits)
+            sim = qv[at : at + 512] @ dv.T
             if excluded:
                 sim[x[at : at + 512, None] == di[None, :]] = -np.inf
             n = min(k, len(di))
-            # everything that reaches the n-th value, so that ties go by id
-            floor = -np.partition(-sim, n - 1, axis=1)[:, n - 1]
+            # everything that may reach the n-th value once rounded, so that ties go by id
+            floor = np.partition(sim, len(di) - n, axis=1)[:, len(di) - n] - 10.0**-digits
             row, col = np.nonzero((sim >= floor[:, None]) & np.isfinite(sim))
+            sim[row, col] = np.round(sim[row, col], digits)
             order = np.lexsort((col, -sim[row, col], row))
             row, col = row[order], col[order]
             start = np.searchsorted(row, np.arange(len(sim)))

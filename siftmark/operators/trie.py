@@ -29,14 +29,16 @@ def beam_search(queries: DataFrame, trie: DataFrame, score: DataFrame, levels: i
     and are not taken. Each level is a join with the trie, a join with the scores and a top-k for each
     query; equal totals: smaller codes first. Paths that end before ``levels`` are kept as they are.
     """
-    state = queries.select("query", F.array().cast("array<int>").alias("codes"), F.lit(0.0).alias("total"), F.lit(False).alias("done"))
+    state = queries.select("query", F.array().cast("array<int>").alias("codes"), F.lit(0.0).alias("total"))
     order = Window.partitionBy("query").orderBy(F.desc("total"), "codes")
     step = trie.select(F.col("prefix").alias("codes"), "next")
     for level in range(levels):
         at = score.where(F.col("level") == level).select("query", F.col("code").alias("next"), "s")
-        # a leaf has no edge: it ends, and stays as it is
-        met = state.where("not done").join(step, "codes", "left")
-        ended = state.where("done").unionByName(met.where("next is null").select("query", "codes", "total", F.lit(True).alias("done")))
-        grown = met.where("next is not null").join(at, ["query", "next"]).select("query", F.concat("codes", F.array("next")).alias("codes"), F.round(F.col("total") + F.col("s"), 9).alias("total"), F.lit(False).alias("done"))
-        state = ended.unionByName(grown).withColumn("r", F.row_number().over(order)).where(F.col("r") <= beams).drop("r")
+        met = state.join(step, "codes", "left").join(at, ["query", "next"], "left")
+        # a leaf has no edge, and stays as it is
+        leaf = F.col("next").isNull()
+        met = met.where(leaf | F.col("s").isNotNull())
+        codes = F.when(leaf, F.col("codes")).otherwise(F.concat("codes", F.array("next")))
+        total = F.when(leaf, F.col("total")).otherwise(F.round(F.col("total") + F.col("s"), 9))
+        state = met.select("query", codes.alias("codes"), total.alias("total")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= beams).drop("r")
     return state.select("query", F.row_number().over(order).cast("long").alias("rank"), "codes", "total")
