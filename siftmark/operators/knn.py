@@ -86,14 +86,6 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int, excluded: str | None = No
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def top_k_sql(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The same by expressions alone, for small tables: a join of all pairs inside the JVM."""
-    sim = F.round(dot(F.col("q.v"), F.col("d.v")), 9)
-    pairs = queries.alias("q").join(docs.alias("d"), F.col("q.query") != F.col("d.doc")).select("query", "doc", sim.alias("sim"))
-    order = Window.partitionBy("query").orderBy(F.desc("sim"), "doc")
-    return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
-
-
 def gold_ranks(queries: DataFrame, docs: DataFrame, top_n: int = 10, digits: int = 9) -> DataFrame:
     """(query, gold, gold_rank, gold_sim, top1_doc, top1_sim, top_mean): where every query's gold document
     stands among all documents.

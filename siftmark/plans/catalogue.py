@@ -42,15 +42,6 @@ def knn_pairs(spark, d):
     return rounded(_self_near(spark, d, 100)[1].select(F.col("query").alias("i"), F.col("doc").alias("j"), "sim"), "sim")
 
 
-@query
-def knn_top10_sql(spark, d):
-    """By expressions alone, on the small vector table."""
-    from siftmark.functions.vectors import normalised
-
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), normalised(F.col("embedding")).alias("v"))
-    return rounded(knn.top_k_sql(e.withColumnRenamed("doc", "query"), e, 10), "sim")
-
-
 @query
 def qa_unnest(spark, d):
     return ingest.qa_pairs(table(spark, d, "raw_qa")).select("split", "line_no", F.col("pos").cast("long").alias("pos"), "query", "url", "doc_id")

@@ -122,7 +122,6 @@ _CAPS = ", ".join(f"({c}::BIGINT)" for c in caps(5, 50_000))
 ORACLE: dict[str, str] = {
     "knn_top10": f"WITH {DOCS} SELECT query, doc, round(sim, 6) AS sim, rank FROM ({_top(SELF, 10)})",
     "knn_pairs": f"WITH {DOCS} SELECT query AS i, doc AS j, round(sim, 6) AS sim FROM ({_top(SELF, 100)})",
-    "knn_top10_sql": "WITH docs AS MATERIALIZED (SELECT vec_id AS doc, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)) " + f"SELECT query, doc, round(sim, 6) AS sim, rank FROM ({_top(SELF, 10)})",
     "qa_unnest": f"WITH {_PAIRS} SELECT split, line_no, pos, query, url, doc_id FROM pairs",
     "doc_key_dedup": f"WITH {_PAIRS} SELECT doc_id, text, split, line_no, pos FROM first_docs",
     "doc_index": f"WITH {_PAIRS} SELECT row_number() OVER (ORDER BY split_ord, line_no, pos, doc_id) - 1 AS doc_idx, doc_id FROM first_docs",
