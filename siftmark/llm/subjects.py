@@ -16,10 +16,11 @@ over term, source and structure features.
    combination of labels is found with beam search along the chain.
 
 Fitted on bounded data: the examples, ``COMPOSED`` documents composed of them and of corpus sentences of
-no subject, and ``SAMPLE`` documents for the source and structure weights. The vocabulary is the
-``VOCABULARY`` most frequent words of the corpus that stand in at least every thousandth document (and in
-three), and all words of the examples. Counts of words and classes cover all
-documents, and every document is classified whole.
+no subject, and ``SAMPLE`` documents for the structure weights. Every word that stands in at least
+``LEAST`` documents has weights, however large the corpus is, and so have all words of the examples. The
+``VOCABULARY`` most frequent ones go to every task; the weights of all others are a table, joined to the
+texts by word. Likewise the weights of the ``SOURCES`` largest sources go to every task, those of all others
+are joined. Counts cover all documents, and every document is classified whole.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftmark.runtime import Scratch
+
+LEAST, SOURCES = 3, 1000
 VOCABULARY, ROUNDS, SAMPLE, COMPOSED, BEAM = 30_000, 3, 4_000, 6_000, 8
 PART, SEED = 0.25, 17
 #: Mean occurrences added to a word's, by which a ratio must exceed one to count, and its weight.
@@ -68,6 +72,14 @@ class Terms:
         k = weight.shape[1] - 1
         self.prior = np.append(np.full(k, (1 - NONE) / k), NONE)
 
+    def extended(self, sents: list[list[str]], rare: dict[str, list[float]], unknown: bool = False) -> Terms:
+        """With the words of ``sents`` that are in ``rare``, or with all others (``unknown``), after the own ones."""
+        new = list(dict.fromkeys(w for s in sents for w in s if w not in self.index and (unknown or w in rare)))
+        if not new:
+            return self
+        zero = [0.0] * self.weight.shape[1]
+        return Terms(self.index | {w: len(self.index) + i for i, w in enumerate(new)}, np.vstack([self.weight, [rare.get(w, zero) for w in new]]))
+
     def flat(self, sents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers and the sentence of each, without unknown words and repeats."""
         get = self.index.get
@@ -152,15 +164,39 @@ def _documents(batch: pa.RecordBatch) -> tuple[list[list[str]], np.ndarray, list
     return sents, np.array(doc, np.int64), texts
 
 
-def _count(terms):
+def _words():
+    return F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}\p{M}]*"), F.lit(0)))
+
+
+def _rare(batch: pa.RecordBatch) -> dict[str, list[float]]:
+    """The weights that came with the rows."""
+    if "rare" not in batch.schema.names:
+        return {}
+    return {x["w"]: x["n"] for r in batch.column("rare").to_pylist() for x in r or []}
+
+
+def with_rare(docs: DataFrame, terms: Terms, weights: DataFrame | None) -> DataFrame:
+    """``docs`` with ``rare``: the words of the text that are in ``weights`` (w, n), and their weights. Frequent
+    words are taken out before anything is shuffled."""
+    if weights is None:
+        return docs
+    common = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in terms.index], "w string"))
+    key = F.sha2("text", 256)
+    own = docs.select(key.alias("key"), F.explode(_words()).alias("w")).join(common, "w", "left_anti").distinct()
+    found = own.join(weights, "w").groupBy("key").agg(F.collect_list(F.struct("w", "n")).alias("rare"))
+    return docs.withColumn("key", key).join(found, "key", "left").drop("key")
+
+
+def _count(terms, more: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t: Terms = terms.value
-        k = t.weight.shape[1]
-        counts, total = np.zeros((len(t.index), k)), np.zeros(k)
+        own: Terms = terms.value
+        size, k = own.weight.shape
+        counts, total = np.zeros((size, k)), np.zeros(k)
         for b in batches:
             sents, doc, _ = _documents(b)
             if not len(sents):
                 continue
+            t = own.extended(sents, _rare(b), True) if more else own
             p = t.classes(sents, doc, b.num_rows)
             total += p.sum(0)
             around = np.zeros((b.num_rows, k))
@@ -170,19 +206,27 @@ def _count(terms):
             context = np.divide(around[doc] - p, np.maximum(others, 1)[:, None])
             word, of = t.flat(sents)
             told = others[of] > 0
-            np.add.at(counts, word[told], context[of[told]])
+            here = np.zeros(t.weight.shape)
+            np.add.at(here, word[told], context[of[told]])
+            counts += here[:size]
+            if len(here) > size:
+                names = list(t.index)[size:]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), -2)), pa.array(names, pa.string()), pa.array(here[size:].tolist(), pa.list_(pa.float64()))], ["w", "word", "n"])
         at = np.flatnonzero(counts.sum(1) > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array([*counts[at].tolist(), total.tolist()], pa.list_(pa.float64()))], ["w", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.nulls(len(at) + 1, pa.string()), pa.array([*counts[at].tolist(), total.tolist()], pa.list_(pa.float64()))], ["w", "word", "n"])
 
     return run
 
 
-def learn(docs: DataFrame, terms: Terms, examples: np.ndarray) -> Terms:
+def learn(docs: DataFrame, terms: Terms, examples: np.ndarray, scratch: Scratch, rare: DataFrame | None, weights: DataFrame | None) -> tuple[Terms, DataFrame | None]:
     """New terms from the counts of all sentences of all documents; the examples' own counts stay in, as
-    they set what each class means."""
+    they set what each class means. ``rare`` has the words (w) beside the terms' own, ``weights`` their weights
+    so far; their new weights are the second result."""
     sc = docs.sparkSession.sparkContext
-    counted = docs.select("text").mapInArrow(_count(sc.broadcast(terms)), "w long, n array<double>")
-    rows = counted.select("w", F.posexplode("n").alias("k", "n")).groupBy("w", "k").agg(F.sum("n").alias("n")).toPandas()
+    counted = with_rare(docs.select("text"), terms, weights).mapInArrow(_count(sc.broadcast(terms), rare is not None), "w long, word string, n array<double>")
+    if rare is not None:
+        counted = scratch.keep(counted, "counts")
+    rows = counted.where("w >= -1").select("w", F.posexplode("n").alias("k", "n")).groupBy("w", "k").agg(F.sum("n").alias("n")).toPandas()
     k = terms.weight.shape[1]
     counts, total = np.zeros((len(terms.index), k)), np.full(k, 10.0)
     words = rows[rows.w >= 0]
@@ -190,9 +234,20 @@ def learn(docs: DataFrame, terms: Terms, examples: np.ndarray) -> Terms:
     ends = rows[rows.w < 0]
     total[ends.k.to_numpy(int)] += ends.n.to_numpy()
     share = total / total.sum()
+    if rare is not None:
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    x = _weights(np.array(b.column("n").to_pylist()), share)
+                    at = np.flatnonzero((x > 0).any(1))
+                    yield pa.RecordBatch.from_arrays([b.column("w").take(pa.array(at)), pa.array(x[at].tolist(), pa.list_(pa.float64()))], ["w", "n"])
+
+        sums = counted.where("w = -2").groupBy(F.col("word").alias("w")).agg(*(F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(k))).join(rare, "w", "left_semi")
+        weights = scratch.keep(sums.select("w", F.array(*(f"n{i}" for i in range(k))).alias("n")).mapInArrow(weigh, "w string, n array<double>"), "weights")
     counts[:, :-1] += EXAMPLE * SURE * examples
     counts[:, -1] += EXAMPLE * (1 - SURE) * examples.sum(1)
-    return Terms(terms.index, _weights(counts, share))
+    return Terms(terms.index, _weights(counts, share)), weights
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
@@ -266,17 +321,23 @@ class Model:
     def __init__(self, subjects: list[str], terms: Terms, chain: Chain, sources: dict[str | None, np.ndarray]):
         self.subjects, self.terms, self.chain, self.sources = subjects, terms, chain, sources
 
-    def source(self, names: list[str | None]) -> np.ndarray:
+    def source(self, names: list[str | None], joined: list[list[float] | None] | None = None) -> np.ndarray:
+        """Weights of sources; ``joined`` has those of sources that the model itself doesn't hold."""
         none = np.zeros(len(self.subjects))
-        return np.array([self.sources.get(s, none) for s in names]).reshape(len(names), len(none))
+        own = [self.sources.get(s, none) for s in names]
+        return np.array([o if j is None else j for o, j in zip(own, joined or [None] * len(own))]).reshape(len(names), len(none))
 
-    def classify(self, texts: list[str | None], names: list[str | None]) -> np.ndarray:
+    def described(self, texts: list[str | None], source: np.ndarray, rare: dict[str, list[float]]) -> dict[str, np.ndarray]:
         sents, doc = [], []
         for k, t in enumerate(texts):
             own = sentences(t)
             sents += own
             doc += [k] * len(own)
-        f = features(self.terms, sents, np.array(doc, np.int64), texts, self.source(names))
+        terms = self.terms.extended(sents, rare) if rare else self.terms
+        return features(terms, sents, np.array(doc, np.int64), texts, source)
+
+    def classify(self, texts: list[str | None], names: list[str | None], rare: dict[str, list[float]] | None = None, joined: list[list[float] | None] | None = None) -> np.ndarray:
+        f = self.described(texts, self.source(names, joined), rare or {})
         labels = self.chain.decode(f) if texts else np.zeros((0, len(self.subjects)), bool)
         return labels & (f["hard"] + f["soft"] > 0)
 
@@ -305,80 +366,95 @@ def composed(examples: list[tuple[str, str]], subjects: list[str], none: list[st
     return texts, labels
 
 
+def with_sources(docs: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """``docs`` with ``joined``: the weights of its source, if they are in ``weights`` (src, joined)."""
+    return docs if weights is None else docs.join(weights, F.col("source").eqNullSafe(F.col("src")), "left").drop("src")
+
+
 def fit(docs: DataFrame, examples: list[tuple[str, str]]) -> Model:
     """A model for (text, source) of ``docs`` from the labelled ``examples`` (subject, text)."""
+    return fit_all(docs, examples)[0]
+
+
+def fit_all(docs: DataFrame, examples: list[tuple[str, str]]) -> tuple[Model, DataFrame | None, DataFrame | None]:
+    """A model, and tables of the weights it doesn't hold: of rare words (w, n) and of small sources (src, joined);
+    None if it holds all."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "subjects")
     subjects = sorted({s for s, _ in examples})
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}\p{M}]*"), F.lit(0))))
-    least = max(3, docs.count() // 1000)
-    top = docs.select(words.alias("w")).groupBy("w").agg(F.count("*").alias("n")).where((F.length("w") <= 40) & (F.col("n") >= least)).orderBy(F.desc("n"), "w").limit(VOCABULARY)
-    terms = first_terms(examples, subjects, [r.w for r in top.select("w").collect()])
+    known = scratch.keep(docs.select(F.explode(_words()).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST), "words")
+    terms = first_terms(examples, subjects, [r.w for r in known.orderBy(F.desc("n"), "w").limit(VOCABULARY).select("w").collect()])
     own = example_counts(examples, subjects, terms.index, False)
+    rare = rare_weights = None
+    if known.count() > VOCABULARY:
+        rare = scratch.keep(known.select("w").join(F.broadcast(spark.createDataFrame([(w,) for w in terms.index], "w string")), "w", "left_anti"), "rare")
     for _ in range(ROUNDS):
-        terms = learn(docs, terms, own)
+        terms, rare_weights = learn(docs, terms, own, scratch, rare, rare_weights)
     k = len(subjects)
 
     # source and co-occurrence statistics of all documents, by the part of sentences alone
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(terms)
+    shared = spark.sparkContext.broadcast(terms)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sents, doc, texts = _documents(b)
-            f = features(shared.value, sents, doc, texts, np.zeros((len(texts), k)))
-            row, s = np.nonzero(f["hard"] >= PART - 1e-9)
-            with_all = np.append(s, np.full(len(texts), -1))
-            names = b.column("source").to_pylist()
+            f = features(shared.value.extended(sents, rare) if (rare := _rare(b)) else shared.value, sents, doc, texts, np.zeros((len(texts), k)))
+            on = f["hard"] >= PART - 1e-9
+            row, s = np.nonzero(on)
             at = np.append(row, np.arange(len(texts)))
-            mask = np.zeros(len(texts), np.int64)
-            np.bitwise_or.at(mask, row, 1 << s)
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at], pa.string()), pa.array(with_all, pa.int64()), pa.array(mask[at], pa.int64())], ["source", "s", "mask"])
-
-    labelled = docs.select("text", "source").mapInArrow(label, "source string, s long, mask long").groupBy("source", "s", "mask").agg(F.count("*").alias("n"))
-    # a bounded number of the largest sources gets a weight
-    stats = labelled.groupBy("source", "s").agg(F.sum("n").alias("n"))
-    large = stats.where("s = -1").orderBy(F.desc("n")).limit(1000).select(F.col("source").alias("src"), F.col("n").alias("all"))
-    by_source = stats.join(F.broadcast(large), F.col("source").eqNullSafe(F.col("src"))).select("source", "s", "n", "all").toPandas()
-    masks = labelled.where("s >= 0").groupBy("mask").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(5000).toPandas()
+            names = b.column("source").to_pylist()
+            m = len(at)
+            out = [[names[i] for i in at], [*s.tolist(), *[-1] * len(texts)], [-1] * m, [0] * m, [1] * m]
+            # which subjects stand together, by the number of a document's subjects
+            many = on.sum(1)
+            for size in np.unique(many[many > 0]).tolist():
+                h = on[many == size].astype(np.int64)
+                both = h.T @ h
+                i, j = np.nonzero(both)
+                for x, y in zip(out, ([None] * len(i), i.tolist(), j.tolist(), [size] * len(i), both[i, j].tolist())):
+                    x += y
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:])], ["source", "s", "j", "many", "n"])
+
+    labelled = with_rare(docs.select("text", "source"), terms, rare_weights).mapInArrow(label, "source string, s long, j long, many long, n long")
+    stats = scratch.keep(labelled.groupBy("source", "s", "j", "many").agg(F.sum("n").alias("n")), "stats")
     together = np.zeros((k, k))
-    for m, n in zip(masks["mask"].tolist(), masks["n"].tolist()):
-        on = [i for i in range(k) if m >> i & 1]
-        for i in on:
-            for j in on:
-                together[i, j] += n / len(on)
-    seen = by_source[by_source.s >= 0]
-    n_all = by_source[by_source.s < 0]["n"].sum()
-    rate = np.array([(seen[seen.s == i]["n"].sum() + 1) / (n_all + 20) for i in range(k)])
-    sources: dict[str | None, np.ndarray] = {}
-    for r in by_source.itertuples():
-        v = sources.setdefault(None if r.source is None or r.source != r.source else r.source, np.zeros(k))
-        if r.s >= 0:
-            v[r.s] = np.log((r.n + 20 * rate[r.s]) / ((r.all + 20) * rate[r.s]))
+    for r in stats.where("many > 0").orderBy("many", "s", "j").collect():
+        together[r.s, r.j] += r.n / r.many
+    sums = {r.s: r.n for r in stats.where("many = 0").groupBy("s").agg(F.sum("n").alias("n")).collect()}
+    rate = np.array([(sums.get(i, 0) + 1) / (sums.get(-1, 0) + 20) for i in range(k)])
+    seen = lambda i: F.try_element_at("m", F.lit(i).cast("long"))
+    weight = [F.coalesce(F.log((seen(i) + F.lit(20 * float(rate[i]))) / ((F.col("all") + 20) * F.lit(float(rate[i])))), F.lit(0.0)) for i in range(k)]
+    by_source = stats.where("many = 0").groupBy(F.col("source").alias("src")).agg(F.max(F.when(F.col("s") == -1, F.col("n"))).alias("all"), F.map_from_entries(F.collect_list(F.struct("s", "n"))).alias("m"))
+    by_source = scratch.keep(by_source.select("src", "all", F.array(*weight).alias("joined")), "sources")
+    large = by_source.orderBy(F.desc("all"), "src").limit(SOURCES).collect()
+    sources: dict[str | None, np.ndarray] = {r.src: np.array(r.joined) for r in large}
+    small_sources = None
+    if by_source.count() > SOURCES:
+        gone = F.broadcast(spark.createDataFrame([(r.src,) for r in large], "gone string"))
+        small_sources = scratch.keep(by_source.select("src", "joined").join(gone, F.col("src").eqNullSafe(F.col("gone")), "left_anti"), "small")
 
     model = Model(subjects, terms, Chain(np.argsort(-together.diagonal(), kind="stable").tolist()), sources)
-    part = docs.where(F.length("text") > 0).orderBy(F.xxhash64("text", F.lit(SEED))).limit(SAMPLE).select("text", "source").toPandas()
-    texts, names = part["text"].tolist(), [s if isinstance(s, str) else None for s in part["source"].tolist()]
+    chosen = docs.where(F.length("text") > 0).orderBy(F.xxhash64("text", F.lit(SEED))).limit(SAMPLE).select("text", "source")
+    if rare_weights is not None or small_sources is not None:
+        chosen = scratch.keep(chosen, "sample")
+    part = with_sources(with_rare(chosen, terms, rare_weights), small_sources).orderBy(F.xxhash64("text", F.lit(SEED)), "text", "source").toArrow()
+    texts, names = part["text"].to_pylist(), part["source"].to_pylist()
+    words = _rare(part)
     none = []
     for t in texts:
         raw = [x for x in _SENTENCE.split(_TAG.sub("\n", t)) if len(_WORD.findall(x)) > 1]
         if raw:
-            p = terms.classes([[w.lower() for w in _WORD.findall(x)] for x in raw], np.zeros(len(raw), np.int64), 1)
+            said = [[w.lower() for w in _WORD.findall(x)] for x in raw]
+            p = terms.extended(said, words).classes(said, np.zeros(len(raw), np.int64), 1) if words else terms.classes(said, np.zeros(len(raw), np.int64), 1)
             none += [x for x, q in zip(raw, p[:, k]) if q > 0.98]
 
-    def described(ts: list[str], ns: list[str | None]) -> dict[str, np.ndarray]:
-        sents, doc = [], []
-        for i, t in enumerate(ts):
-            own = sentences(t)
-            sents += own
-            doc += [i] * len(own)
-        return features(terms, sents, np.array(doc, np.int64), ts, model.source(ns))
-
     made, y = composed(examples, subjects, none, together, COMPOSED, SEED)
     half = COMPOSED // 2
-    a, b = described(made[:half], [None] * half), described(made[half:], [None] * (COMPOSED - half))
-    c = described(texts, names)
+    a, b = (model.described(x, model.source([None] * len(x)), words) for x in (made[:half], made[half:]))
+    c = model.described(texts, model.source(names, part["joined"].to_pylist() if small_sources is not None else None), words)
     train = {key: np.concatenate([a[key], c[key]]) for key in a}
     model.chain.fit(train, np.concatenate([y[:half], (c["hard"] >= PART - 1e-9).astype(float)]), b, y[half:])
-    return model
+    return model, rare_weights, small_sources
 
 
 def subjects_of(docs: DataFrame, examples: DataFrame) -> DataFrame:
@@ -396,13 +472,15 @@ def subjects_of(docs: DataFrame, examples: DataFrame) -> DataFrame:
     schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, subject string"
     if not labelled or d.isEmpty():
         return spark.createDataFrame([], schema)
-    model = spark.sparkContext.broadcast(fit(d, labelled))
+    fitted, rare_weights, small_sources = fit_all(d, labelled)
+    model = spark.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         for b in batches:
             texts, names = b.column("text").to_pylist(), b.column("source").to_pylist()
-            row, s = np.nonzero(m.classify(texts, names))
+            joined = b.column("joined").to_pylist() if "joined" in b.schema.names else None
+            row, s = np.nonzero(m.classify(texts, names, _rare(b), joined))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array([m.subjects[i] for i in s], pa.string())], ["doc_id", "subject"])
 
-    return d.mapInArrow(run, schema).distinct()
+    return with_sources(with_rare(d, fitted.terms, rare_weights), small_sources).mapInArrow(run, schema).distinct()

@@ -276,3 +276,25 @@ def test_sentences():
     text = "One two. Three 4.5 four?\n<p>Five six</p><p>seven eight</p>\n1. nine ten\n2. x"
     assert subjects.sentences(text) == [["one", "two"], ["three", "four"], ["five", "six"], ["seven", "eight"], ["nine", "ten"]]
     assert subjects.sentences(None) == []
+
+
+def test_subject_word_of_few_documents(spark):
+    """A word in three of 5,000 documents is weighed, and a long one too."""
+    long = "q" * 50
+    told = [f"The comet passed. A zyxan rose {k}. The {long} rose." for k in range(3)]
+    rows = [(i, told[i] if i < 3 else f"Plain words stand here {i}. Others stand there.", "s") for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    model = subjects.fit(docs.drop("doc_id"), [("sky", "The comet passed."), ("sea", "The whale swam.")])
+    for w in ("zyxan", long):
+        assert model.terms.weight[model.terms.index[w], 1] > 0
+
+
+def test_joined_weights_are_as_good_as_held_ones(spark, sf, monkeypatch):
+    docs, examples = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/subject_examples.parquet").where("example_id % 9 = 0")
+    docs = clashing(docs)
+    held = pairs(subjects.subjects_of(docs, clashing(examples)))
+    monkeypatch.setattr(subjects, "VOCABULARY", 30)
+    monkeypatch.setattr(subjects, "SOURCES", 1)
+    model, rare, small = subjects.fit_all(docs.select("text", "source"), [(r.subject, r.text) for r in examples.orderBy("subject", "text").collect()])
+    assert rare.count() and small.count()
+    assert held and pairs(subjects.subjects_of(docs, clashing(examples))) == held
