@@ -32,7 +32,7 @@ _X = [f"x{k}" for k in range(VECTORS)]
 
 
 def _links(least: float):
-    def f(cell: int, mi: np.ndarray, mv: np.ndarray, qi: np.ndarray, qv: np.ndarray) -> list[np.ndarray]:
+    def f(mi: np.ndarray, mv: np.ndarray, qi: np.ndarray, qv: np.ndarray) -> list[np.ndarray]:
         mu, qu = vectors.unit(mv), vectors.unit(qv)
         m32, q32 = mu.astype(np.float32), qu.astype(np.float32)
         ids = np.union1d(mi, qi)
@@ -91,8 +91,9 @@ def _links(least: float):
 
 def affinities(v: DataFrame, n: int, least: float) -> DataFrame:
     """(a, b, w): a sparse graph in which documents are connected as they are by all cosines >= least."""
-    c = vectors.fit_cells(vectors.sample(v, n), vectors.cells_for(n))
-    links = vectors.per_meeting(vectors.meetings(v, c), _links(least), "a long, b long, w double")
+    # half the distance of a pair at ``least``, as in ``BORDER``
+    cells = vectors.Cells(vectors.fit_cells(vectors.sample(v, n), vectors.cells_for(n)), n, (2 - 2 * least) ** 0.5 / 2 + 1e-4)
+    links = vectors.per_meeting(vectors.meetings(v, cells), _links(least), "a long, b long, w double", cells)
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.max("w").alias("w"))
 
 

@@ -1,16 +1,14 @@
 """Problem 5: the k most similar vectors of every vector.
 
-Method: score-aware (anisotropic) product quantisation, after the published method for maximum inner
-product search. Vectors are put in cells; what is left of a unit vector after its cell's centre is cut
-into pairs of dimensions, and each pair is coded by four bits. Codes and codebooks are fitted to a loss
-in which the error parallel to the vector counts ``ETA`` times as much as the rest, as it is that error
-which changes the inner products that matter. A query scans a cell by table lookups: the inner products
-of its pairs with all 16 codewords are computed once, and a vector's score is a sum of table entries, times the
-length that was left of it.
-The best scores are reranked with exact cosines in double precision.
-
-Cells and codebooks are fitted on a bounded sample (``vectors.SAMPLE`` and ``TRAIN`` rows); every row is
-coded and every row is a query.
+Method: exact copies of a vector are one class, of which the search sees one vector and the smallest ids.
+Vectors are put in cells; in each cell all products of its members with the vectors that probe it are
+computed, and whatever may be among the ``k`` best, as far as single precision tells, is ranked by exact
+cosines in double precision, from both sides of a pair. Of two vectors with a cosine of at least 0.9 one
+always probes the other's cell (``vectors.BORDER``), so no neighbour is missed.
+
+The score-aware (anisotropic) quantisation below was the first method: its table scans take longer than the
+products, and as their bound on the error of a score is as wide as a cluster, they spare no exact check.
+They are kept for comparison; ``neighbours`` doesn't use them.
 """
 
 from __future__ import annotations
@@ -20,12 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmark.llm import vectors
+from siftmark.runtime import Scratch
 
 PARTS, CODES, TRAIN = 32, 16, 16_384
 #: Weight of the parallel error: (d - 1) t^2 / (1 - t^2) for d = 64 and the method's threshold t = 0.2.
 ETA = 63 * 0.04 / 0.96
-#: Scores reranked at most for each query and block, and how far below the wanted cosine they may be.
-RERANK, MARGIN = 160, 0.12
+#: More than single precision gets a cosine of unit vectors wrong.
+ERROR = 1e-5
 
 
 def encode(u: np.ndarray, r: np.ndarray, books: np.ndarray, sweeps: int = 2) -> np.ndarray:
@@ -99,34 +98,45 @@ def scan(q: np.ndarray, packed: np.ndarray, size: np.ndarray, books: np.ndarray,
     return out * size + base[:, None]
 
 
-def _search(k: int, least: float, centres, books):
-    def f(cell: int, mi: np.ndarray, mv: np.ndarray, qi: np.ndarray, qv: np.ndarray) -> list[np.ndarray]:
-        c = centres.value[cell]
+def _best(cos: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where a row's ``k`` largest values from ``least`` may be: all that are not surely behind the k-th."""
+    ok = cos >= least - ERROR
+    many = np.flatnonzero(ok.sum(1) > k)
+    if len(many):
+        part = np.ascontiguousarray(cos[many])
+        kth = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k]
+        ok[many] &= part >= kth[:, None] - 2 * ERROR
+    return np.nonzero(ok)
+
+
+def _search(k: int, least: float):
+    def f(mi: np.ndarray, mv: np.ndarray, qi: np.ndarray, qv: np.ndarray) -> list[np.ndarray]:
         mu, qu = vectors.unit(mv), vectors.unit(qv)
         m32, q32 = mu.astype(np.float32), qu.astype(np.float32)
-        rest, size = shaped(m32 - c)
-        packed = pack(encode(m32, rest, books.value))
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        step = max(16, min(1024, 4_000_000 // len(mi)))
+        step = max(16, min(1024, 8_000_000 // len(mi)))
         for s in range(0, len(qi), step):
-            q = q32[s : s + step]
-            score = scan(q, packed, size, books.value, q @ c)
-            score[qi[s : s + step, None] == mi[None, :]] = -2
-            top = min(RERANK, len(mi))
-            if top < len(mi):
-                best = np.argpartition(-score, top - 1, axis=1)[:, :top]
-                row, col = np.nonzero(np.take_along_axis(score, best, 1) >= least - MARGIN)
-                col = best[row, col]
-            else:
-                row, col = np.nonzero(score >= least - MARGIN)
-            for t in range(0, len(row), 200_000):
-                r, x = row[t : t + 200_000], col[t : t + 200_000]
-                cos = np.round(np.einsum("id,id->i", qu[s + r], mu[x]), 12)
-                ok = cos >= least
-                found.append((qi[s + r[ok]], mi[x[ok]], cos[ok]))
+            cos32 = q32[s : s + step] @ m32.T
+            cos32[qi[s : s + step, None] == mi[None, :]] = -2
+            some = np.flatnonzero((cos32 >= least - ERROR).any(1))
+            if not len(some):
+                continue
+            cos32 = cos32[some]
+            row, col = _best(cos32, k, least)
+            col2, row2 = _best(cos32.T, k, least)
+            for q, m, asks in ((some[row] + s, col, True), (some[row2] + s, col2, False)):
+                for t in range(0, len(q), 200_000):
+                    x, y = q[t : t + 200_000], m[t : t + 200_000]
+                    cos = np.round(np.einsum("id,id->i", qu[x], mu[y]), 12)
+                    ok = cos >= least
+                    a, b = (qi[x[ok]], mi[y[ok]]) if asks else (mi[y[ok]], qi[x[ok]])
+                    found.append((a, b, cos[ok]))
         a, b, cos = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         order = np.lexsort((b, -cos, a))
         a, b, cos = a[order], b[order], cos[order]
+        if len(a):  # a pair within the cell is found from both sides
+            one = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+            a, b, cos = a[one], b[one], cos[one]
         start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
         rank = np.arange(len(a)) - np.repeat(start, np.diff(np.r_[start, len(a)]))
         return [a[rank < k], b[rank < k], cos[rank < k]]
@@ -134,30 +144,48 @@ def _search(k: int, least: float, centres, books):
     return f
 
 
+def classes(v: DataFrame, k: int) -> DataFrame:
+    """(doc, ids, v): one row for each different vector of (doc, v), with its smallest id and its ``k``
+    smallest ids in order. Only these are gathered, however many copies there are."""
+    first = v.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("doc"))).where(F.col("r") <= k)
+    return first.groupBy("v").agg(F.sort_array(F.collect_list("doc")).alias("ids")).select(F.col("ids")[0].alias("doc"), "ids", "v")
+
+
 def neighbours(rows: DataFrame, id_col: str, vector_col: str, k: int = 10, least: float = 0.9) -> DataFrame:
     """(doc, neighbour, cos): the ``k`` most similar other documents of every document, of which only
     those with a cosine of at least ``least``; equal cosines (12 decimals): smaller id first.
 
     Unusable vectors (null, wrong length, not finite, all zero) and null ids neither ask nor are found.
-    A row repeated with its id counts once. Tables with no usable vector give no rows. The search is
-    approximate: cosines are exact, but a neighbour can be missed.
+    A row repeated with its id counts once, with the least of its vectors. Tables with no usable vector give
+    no rows.
     """
     spark = rows.sparkSession
+    scratch = Scratch(spark, "similar")
     schema = "doc long, neighbour long, cos double"
-    v = vectors.usable(rows, id_col, vector_col)
-    n = v.count()
+    v = scratch.keep(vectors.usable(rows, id_col, vector_col).groupBy("doc").agg(F.min("v").alias("v")), "vectors")
+    one = scratch.keep(classes(v, k + 1), "classes")
+    n = one.count()
     if not n:
         return spark.createDataFrame([], schema)
-    some = vectors.sample(v, n)
-    c = vectors.fit_cells(some, vectors.cells_for(n))
-    fit = some[:TRAIN]
-    at, _ = vectors.nearest(fit, c)
-    books = fit_books(fit, shaped(fit - c[at])[0])
-    sc = spark.sparkContext
-    found = vectors.per_meeting(vectors.meetings(v, c), _search(k, least, sc.broadcast(c), sc.broadcast(books)), schema)
+    rep = one.select("doc", "v")
+    cells = vectors.Cells(vectors.fit_cells(vectors.sample(rep, n), vectors.cells_for(n)), n, (2 - 2 * least) ** 0.5 / 2 + 1e-4)
+    found = vectors.per_meeting(vectors.meetings(rep, cells), _search(k, least), schema, cells).dropDuplicates(["doc", "neighbour"])
     best = Window.partitionBy("doc").orderBy(F.desc("cos"), "neighbour")
-    found = found.dropDuplicates(["doc", "neighbour"])
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+    found = scratch.keep(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"), "found")
+    several = one.where(F.size("ids") > 1)
+    if several.isEmpty():
+        return found
+    # a class's neighbours are its own ids and those of the classes found
+    ids = several.select(F.col("doc").alias("neighbour"), "ids")
+    wide = found.join(ids, "neighbour", "left").select("doc", F.explode(F.coalesce("ids", F.array("neighbour"))).alias("neighbour"), "cos")
+    own = several.select("doc", F.explode("ids").alias("neighbour"), F.lit(1.0).alias("cos"))
+    wide = wide.unionByName(own).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
+    lists = scratch.keep(wide.groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "cos"))), lambda x: F.struct(x["neighbour"].alias("neighbour"), x["cos"].alias("cos"))).alias("list")), "lists")
+    member = v.join(several.select("v", F.col("doc").alias("class")), "v").select("doc", "class")
+    alone = lists.join(several.select("doc"), "doc", "left_anti")
+    asked = alone.unionByName(member.join(lists.select(F.col("doc").alias("class"), "list"), "class").select("doc", "list"))
+    others = F.slice(F.filter("list", lambda x: x["neighbour"] != F.col("doc")), 1, k)
+    return asked.select("doc", F.explode(others).alias("x")).select("doc", "x.neighbour", "x.cos")
 
 
 def similar_pairs(rows: DataFrame, id_col: str, vector_col: str, k: int = 10, least: float = 0.9) -> DataFrame:

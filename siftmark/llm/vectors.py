@@ -1,9 +1,11 @@
 """Cells of vectors, for problems 1 and 5: usable vectors, trained cells, and the blocks in which every
 query vector meets every vector of the cells it probes.
 
-The cells' centres are fitted on a bounded sample; all rows are put in cells. A cell of any size is
-cut into member blocks and query blocks of bounded size, and each pair of blocks is one group: no task
-gets more than ``BLOCK`` members and ``BLOCK`` queries, whatever part of all rows one cell holds.
+The cells' centres are fitted on a bounded sample; all rows are put in cells. As a vector that lies between
+many cells probes most of them, cells are sent in regions of about ``BLOCK`` members, a vector once to each
+region in which it probes a cell, and meet there cell by cell. A region of any size is cut into member
+blocks and query blocks of bounded size, and each pair of blocks is one group: no task gets more than
+``BLOCK`` members and four times as many queries, whatever part of all rows one cell holds.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample that cells and codebooks are fitted on, cells, cells probed, rows of a block.
-SAMPLE, MAX_CELLS, PROBES, BLOCK = 65_536, 2_048, 8, 16_384
-#: A cell is probed only if its border is nearer than this to the vector: a vector with a cosine of 0.9
-#: is 0.447 away, its part in one direction is 0.056 on average (64 dimensions), three times that is rare.
-BORDER = 0.18
+#: Rows of the sample that cells and codebooks are fitted on, cells, rows of a block.
+SAMPLE, MAX_CELLS, BLOCK = 65_536, 2_048, 16_384
+#: A cell is probed if its border is at most this far from the vector: two vectors with a cosine of 0.9 are
+#: 0.4472 apart, and as the line between them crosses the border of their cells, one of them is at most half
+#: of that from it. So of any such pair at least one vector probes the other's own cell.
+BORDER = 0.2**0.5 / 2 + 1e-4
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str, dim: int = 64) -> DataFrame:
@@ -78,45 +81,58 @@ def nearest(x: np.ndarray, c: np.ndarray, block: int = 4096) -> tuple[np.ndarray
     return best, sim
 
 
-def probes(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, rank) of the cells each unit vector probes: its own, rank 0, then those whose border
-    is near, at most ``PROBES`` in all."""
-    p = min(PROBES, len(c))
+def probes(x: np.ndarray, c: np.ndarray, border: float = BORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, rank) of the cells each unit vector probes: its own, rank 0, and all whose border is
+    at most ``border`` away, rank 1."""
     d = x @ c.T
-    top = np.argpartition(-d, p - 1, axis=1)[:, :p]
-    sim = np.take_along_axis(d, top, 1)
-    order = np.argsort(-sim, axis=1, kind="stable")
-    top, sim = np.take_along_axis(top, order, 1), np.take_along_axis(sim, order, 1)
-    gap = sim[:, :1] - sim
-    apart = np.sqrt(np.maximum(2 - 2 * np.einsum("id,ijd->ij", c[top[:, 0]], c[top]), 1e-12))
-    near = gap / apart <= BORDER
-    near[:, 0] = True
-    row, rank = np.nonzero(near)
-    return row, top[row, rank], rank
+    own = d.argmax(1)
+    wide = c.astype(np.float64)
+    apart = np.sqrt(np.maximum(2 - 2 * (wide @ wide.T), 0)).astype(np.float32)
+    # and what single precision may get wrong, which is more than centres of a tight cluster are apart
+    near = d[np.arange(len(x)), own][:, None] - d <= border * apart[own] + 1e-5
+    near[np.arange(len(x)), own] = True
+    row, cell = np.nonzero(near)
+    return row, cell, (cell != own[row]).astype(np.int64)
 
 
 def cells_for(n: int) -> int:
     return int(min(MAX_CELLS, max(1, 1.3 * n**0.5)))
 
 
-def meetings(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+class Cells:
+    """Centres, how far from a border a vector probes the cell behind it, and the region of each cell."""
+
+    def __init__(self, centres: np.ndarray, n: int, border: float = BORDER):
+        self.centres, self.border = centres, border
+        self.region = nearest(centres, fit_cells(centres, max(1, min(len(centres), -(-n // BLOCK)))))[0]
+
+    def probes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return probes(x, self.centres, self.border)
+
+
+def meetings(vectors: DataFrame, cells: Cells) -> DataFrame:
     """(cell, j, i, role, doc, v): one group of (cell, j, i) for every pair of a member block j and a
-    query block i. role 0 is a member, 1 a query, 2 both. Queries are all vectors, in their own cell and
-    in those they probe."""
-    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+    query block i of a region, called cell. role 0 is a member, 1 a query, 2 both. Queries are all vectors,
+    in the region of their own cell and in those of the cells they probe."""
+    shared = vectors.sparkSession.sparkContext.broadcast(cells)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        many = int(c.region.max()) + 1
         for b in batches:
             m = matrix(b.column("v"))
             for s in range(0, len(m), 2048):
                 part = m[s : s + 2048]
-                row, cell, rank = probes(unit(part).astype(np.float32), shared.value)
+                row, cell, rank = c.probes(unit(part).astype(np.float32))
+                at = np.unique(row * many + c.region[cell])
+                own = np.isin(at, (row * many + c.region[cell])[rank == 0])
+                row, region = at // many, at % many
                 doc = b.column("doc").to_numpy(zero_copy_only=False)[s : s + 2048]
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(rank == 0), pa.array(doc[row]), as_lists(part[row])], ["cell", "own", "doc", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(region.astype(np.int32)), pa.array(own), pa.array(doc[row]), as_lists(part[row])], ["cell", "own", "doc", "v"])
 
     at = vectors.mapInArrow(placed, "cell int, own boolean, doc long, v array<float>")
-    # the sizes of at most MAX_CELLS cells
-    sizes = {r.cell: (-(-r.own // BLOCK) or 1, -(-r.all // BLOCK)) for r in at.groupBy("cell").agg(F.sum(F.col("own").cast("int")).alias("own"), F.count("*").alias("all")).collect()}
+    # the sizes of at most MAX_CELLS regions
+    sizes = {r.cell: (-(-r.own // BLOCK) or 1, -(-r.all // (4 * BLOCK))) for r in at.groupBy("cell").agg(F.sum(F.col("own").cast("int")).alias("own"), F.count("*").alias("all")).collect()}
     large = {c: s for c, s in sizes.items() if s != (1, 1)}
     h = F.xxhash64("doc", F.lit(11))
     if not large:
@@ -132,13 +148,16 @@ def meetings(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     return small.unionByName(members).unionByName(queries)
 
 
-def per_meeting(met: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list], schema: str, context: object = None) -> DataFrame:
-    """``f(cell, member ids, member vectors, query ids, query vectors)`` for every group; a doc that
+def per_meeting(met: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list], schema: str, cells: Cells) -> DataFrame:
+    """``f(member ids, member vectors, query ids, query vectors)`` for every cell of every group; a doc that
     comes several times in a group is taken once for each role."""
     names = [x.split()[0] for x in schema.split(", ")]
+    shared = met.sparkSession.sparkContext.broadcast(cells)
 
     def run(t: pa.Table) -> pa.Table:
         role, doc, v = np.asarray(t["role"]), np.asarray(t["doc"]), matrix(t["v"])
+        c = shared.value
+        here = np.flatnonzero(c.region == t["cell"][0].as_py())
 
         def pick(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             at = np.flatnonzero(mask)
@@ -147,7 +166,20 @@ def per_meeting(met: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray,
 
         mi, mv = pick(role != 1)
         qi, qv = pick(role != 0)
-        out = f(t["cell"][0].as_py(), mi, mv, qi, qv) if len(mi) and len(qi) else [np.zeros(0)] * len(names)
-        return pa.table([pa.array(c).cast({"long": pa.int64(), "double": pa.float64()}[s.split()[1]]) for c, s in zip(out, schema.split(", "))], names=names)
+        own = nearest(unit(mv).astype(np.float32), c.centres[here])[0]
+        asked: list[list[np.ndarray]] = [[] for _ in c.region]
+        for s in range(0, len(qi), 2048):
+            row, cell, _ = c.probes(unit(qv[s : s + 2048]).astype(np.float32))
+            order = np.argsort(cell, kind="stable")
+            cut = np.searchsorted(cell[order], np.arange(len(c.region) + 1))
+            for x in here:
+                asked[x].append(row[order[cut[x] : cut[x + 1]]] + s)
+        out = [[np.zeros(0)] * len(names)]
+        for k, x in enumerate(here):
+            m, q = np.flatnonzero(own == k), np.concatenate(asked[x]) if asked[x] else np.zeros(0, np.int64)
+            if len(m) and len(q):
+                out.append(f(mi[m], mv[m], qi[q], qv[q]))
+        kinds = {"long": pa.int64(), "double": pa.float64()}
+        return pa.table([pa.array(np.concatenate(col).astype(np.int64 if kind == "long" else np.float64), kinds[kind]) for col, kind in zip(zip(*(o for o in out[1:] or out)), [x.split()[1] for x in schema.split(", ")])], names=names)
 
     return met.groupBy("cell", "j", "i").applyInArrow(run, schema)

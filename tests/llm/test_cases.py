@@ -298,3 +298,12 @@ def test_joined_weights_are_as_good_as_held_ones(spark, sf, monkeypatch):
     model, rare, small = subjects.fit_all(docs.select("text", "source"), [(r.subject, r.text) for r in examples.orderBy("subject", "text").collect()])
     assert rare.count() and small.count()
     assert held and pairs(subjects.subjects_of(docs, clashing(examples))) == held
+
+
+def test_neighbours_among_many_copies(spark):
+    """500 copies of one vector, of which the ten smallest ids are everyone's neighbours, and 300 near ones."""
+    rng = np.random.default_rng(4)
+    c = rng.normal(size=64)
+    ids = rng.permutation(800).tolist()
+    rows = [(ids[i], [float(x) for x in np.float32(c if i < 500 else c + 1e-4 * rng.normal(size=64))]) for i in range(800)]
+    assert pairs(similar.similar_pairs(vectors(spark, rows), "doc_idx", "embedding")) == brute.p5(rows)
