@@ -307,3 +307,26 @@ def test_neighbours_among_many_copies(spark):
     ids = rng.permutation(800).tolist()
     rows = [(ids[i], [float(x) for x in np.float32(c if i < 500 else c + 1e-4 * rng.normal(size=64))]) for i in range(800)]
     assert pairs(similar.similar_pairs(vectors(spark, rows), "doc_idx", "embedding")) == brute.p5(rows)
+
+
+def test_every_link_is_probed():
+    """Any two vectors with a cosine of 0.9 or more: one probes the other's cell, also in a loose region that
+    holds most centres."""
+    from siftmark.llm import vectors as v
+
+    rng = np.random.default_rng(5)
+    x = v.unit(rng.normal(size=64) * 0.5 + rng.normal(size=(3000, 64)))
+    side = rng.normal(size=x.shape)
+    side = v.unit(side - (side * x).sum(1)[:, None] * x)
+    y = 0.9 * x + (1 - 0.81) ** 0.5 * side
+    c = v.fit_cells(x.astype(np.float32), 400)
+
+    def probed(z):
+        out = np.zeros((len(z), len(c)), bool)
+        row, cell, _ = v.probes(z.astype(np.float32), c)
+        out[row, cell] = True
+        return out
+
+    a, b = v.nearest(x.astype(np.float32), c)[0], v.nearest(y.astype(np.float32), c)[0]
+    at = np.arange(len(x))
+    assert (probed(x)[at, b] | probed(y)[at, a]).all()
