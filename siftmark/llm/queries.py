@@ -73,6 +73,18 @@ def p2_kept(spark, d):
     return copies.kept(rows, "sample_id", copies.input_copies(rows))
 
 
+@query("p2_kept_both")
+def p2_kept_both(spark, d):
+    """p2_kept over both tables."""
+    from pyspark.sql import functions as F
+
+    out = []
+    for name, key, found in (("train_samples", "sample_id", copies.input_copies), ("pseudo_queries", "doc_idx", copies.list_copies)):
+        rows = table(spark, d, name)
+        out.append(copies.kept(rows, key, found(rows)).select(F.lit(name).alias("tab"), "keep_id", "n_copies"))
+    return out[0].unionByName(out[1])
+
+
 @query("p3_counts")
 def p3_counts(spark, d):
     rows = table(spark, d, "test_samples")
@@ -137,6 +149,7 @@ SELECT DISTINCT x.doc_id, g.item_id FROM (SELECT doc_id, n, w[k + 1:k + n] AS g
 ORACLE |= {
     "p2_found": _P2 + " SELECT tab, keep_id, id AS copy_id FROM k WHERE id <> keep_id",
     "p2_kept": _P2 + ", c AS (SELECT id, keep_id FROM k WHERE tab = 'train_samples' AND id <> keep_id), n AS (SELECT keep_id, count(*) AS n FROM c GROUP BY 1) SELECT sample_id AS keep_id, coalesce(n, 0) + 1 AS n_copies FROM train_samples LEFT JOIN n ON n.keep_id = sample_id WHERE sample_id NOT IN (SELECT id FROM c)",
+    "p2_kept_both": _P2 + ", c AS (SELECT tab, id, keep_id FROM k WHERE id <> keep_id), n AS (SELECT tab, keep_id, count(*) AS n FROM c GROUP BY 1, 2), a AS (SELECT DISTINCT tab, id FROM r) SELECT a.tab, a.id AS keep_id, coalesce(n, 0) + 1 AS n_copies FROM a LEFT JOIN n ON n.tab = a.tab AND n.keep_id = a.id LEFT JOIN c ON c.tab = a.tab AND c.id = a.id WHERE c.id IS NULL",
     "p3_found": _P3 + " SELECT query_idx, sample_id FROM found",
     "p3_counts": _P3 + ", p AS (SELECT query_idx, count(*) AS n FROM found GROUP BY 1) SELECT split, source, count(*) AS n_rows, sum(n)::BIGINT AS n_pairs FROM test_samples JOIN p USING (query_idx) GROUP BY 1, 2",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",

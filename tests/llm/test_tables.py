@@ -97,3 +97,13 @@ def test_oracle_columns(spark, sf, name):
     want = sorted(map(repr, r.fetchall()))
     got = sorted(repr(tuple(x[c] for c in names)) for x in df.collect())
     assert got == want
+
+
+def test_p2_kept_both(spark, sf):
+    want = set()
+    for tab, key, col, plain in (("train_samples", "sample_id", "input", brute.p2_inputs), ("pseudo_queries", "doc_idx", "pseudo_queries", brute.p2_lists)):
+        r = rows(sf, tab, key, col)
+        found = plain(r)
+        gone = {c for _, c in found}
+        want |= {(tab, i, 1 + sum(k == i for k, _ in found)) for i, _ in r if i not in gone}
+    same([tuple(r) for r in queries.QUERIES["p2_kept_both"](spark, sf).collect()], want)
