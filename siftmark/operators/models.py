@@ -67,14 +67,14 @@ def encode(docs: DataFrame, key: str, text: str, encoder: Encoder, instruction:
     return docs.select(key, run(F.coalesce(F.col(text), F.lit(""))).alias("embedding"))
 
 
-def pseudo_queries(docs: DataFrame, keys: list[str], text: str, generator: Generator, n: int = 5, max_words: int = 256) -> DataFrame:
-    """(keys, pseudo_queries ARRAY<STRING>): ``n`` queries of each document, of which the generator sees the
-    first ``max_words`` words, as its window is bounded."""
+def pseudo_queries(docs: DataFrame, keys: list[str], text: str, generator: Generator, n: int = 5) -> DataFrame:
+    """(keys, pseudo_queries ARRAY<STRING>): ``n`` queries of each document. The generator sees the whole
+    text; one with a bounded window has to go over it window by window."""
 
     @F.pandas_udf("array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series(generator([" ".join((t or "").split()[:max_words]) for t in s], n))
+            yield pd.Series(generator([t or "" for t in s], n))
 
     return docs.select(*keys, run(F.coalesce(F.col(text), F.lit(""))).alias("pseudo_queries"))
 

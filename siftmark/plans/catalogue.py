@@ -397,6 +397,12 @@ def generate_pseudo_queries(spark, d):
     return models.pseudo_queries(table(spark, d, "documents"), ["doc_id"], "text", models.SpanGenerator()).select("doc_id", F.size("pseudo_queries").alias("n"))
 
 
+@query
+def generated_queries(spark, d):
+    """The queries themselves."""
+    return models.pseudo_queries(table(spark, d, "documents"), ["doc_id"], "text", models.SpanGenerator())
+
+
 @query
 def stream_ingest(spark, d):
     raw = spark.readStream.schema(table(spark, d, "raw_qa").schema).parquet(f"{d}/raw_qa.parque[t]")  # a pattern, as a stream may not start from a file

@@ -371,3 +371,16 @@ def test_stream_equals_batch(spark, tmp_path):
     stream.write(stream.documents(stream.read(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted(r.doc_id for r in ingest.first_docs(ingest.qa_pairs(rows)).collect()) and len(got) == 3
+
+
+def test_queries_of_long_texts(spark, sf):
+    from siftmark.plans import catalogue
+
+    words = [f"w{i}" for i in range(1000)]
+    df = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    got = models.pseudo_queries(df, ["doc_id"], "text", models.SpanGenerator(2), 5).first().pseudo_queries
+    assert got == [" ".join(words[s : s + 2]) for s in range(0, 1000, 200)]
+    text = {r.doc_id: (r.text or "").split() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in catalogue.QUERIES["generated_queries"](spark, sf).collect():
+        w = text[r.doc_id]
+        assert r.pseudo_queries == ([" ".join(w[len(w) * i // 5 :][:6]) for i in range(5)] if w else [])
