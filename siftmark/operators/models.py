@@ -23,15 +23,15 @@ class Generator(Protocol):
 
 class HashingEncoder:
     """Sums hashed word vectors and normalises them; a text without words gets the first unit vector.
-    Texts are cut after ``max_words`` words, as an encoder's window does."""
+    All words of a text count."""
 
-    def __init__(self, dim: int = 64, max_words: int = 512):
-        self.dim, self.max_words = dim, max_words
+    def __init__(self, dim: int = 64):
+        self.dim = dim
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for k, t in enumerate(texts):
-            for w in t.lower().split()[: self.max_words]:
+            for w in t.lower().split():
                 h = hashlib.blake2b(w.encode(), digest_size=8).digest()
                 v = int.from_bytes(h, "little")
                 out[k, v % self.dim] += 1 if v >> 63 else -1

@@ -392,6 +392,12 @@ def encode_documents(spark, d):
     return models.encode(table(spark, d, "documents"), "doc_id", "text", models.HashingEncoder()).select("doc_id", F.size("embedding").alias("dim"))
 
 
+@query
+def encoded_documents(spark, d):
+    """The vectors themselves."""
+    return models.encode(table(spark, d, "documents"), "doc_id", "text", models.HashingEncoder())
+
+
 @query
 def generate_pseudo_queries(spark, d):
     return models.pseudo_queries(table(spark, d, "documents"), ["doc_id"], "text", models.SpanGenerator()).select("doc_id", F.size("pseudo_queries").alias("n"))

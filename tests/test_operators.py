@@ -384,3 +384,26 @@ def test_queries_of_long_texts(spark, sf):
     for r in catalogue.QUERIES["generated_queries"](spark, sf).collect():
         w = text[r.doc_id]
         assert r.pseudo_queries == ([" ".join(w[len(w) * i // 5 :][:6]) for i in range(5)] if w else [])
+
+
+def test_encoding_of_long_texts(spark, sf):
+    import hashlib
+
+    from siftmark.plans import catalogue
+
+    def plain(t, dim):
+        out = [0.0] * dim
+        for w in (t or "").lower().split():
+            v = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            out[v % dim] += 1 if v >> 63 else -1
+        n = math.sqrt(sum(x * x for x in out))
+        return [x / n for x in out] if n else [1.0] + [0.0] * (dim - 1)
+
+    head = "same opening " * 300
+    texts = {1: head + "one end " * 50, 2: head + "another close " * 50}
+    got = {r.doc_id: r.embedding for r in models.encode(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", "text", models.HashingEncoder(8)).collect()}
+    assert got[1] != got[2]
+    assert all(math.isclose(x, y, abs_tol=1e-6) for i in texts for x, y in zip(got[i], plain(texts[i], 8)))
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in catalogue.QUERIES["encoded_documents"](spark, sf).collect():
+        assert all(math.isclose(x, y, abs_tol=1e-6) for x, y in zip(r.embedding, plain(text[r.doc_id], 64)))
