@@ -101,7 +101,7 @@ def rq_uniqueness(spark, d):
 @query
 def rq_kmeans_codes(spark, d):
     docs = frames.docs(spark, d)
-    books = rq.fit(docs, levels=LEVELS, codes=32, rounds=8)
+    books = rq.fit(docs, levels=LEVELS, codes=256, rounds=20)
     return rq.assign(docs, books).select("doc", rqid(F.col("codes")).alias("rqid"))
 
 

@@ -407,3 +407,13 @@ def test_encoding_of_long_texts(spark, sf):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in catalogue.QUERIES["encoded_documents"](spark, sf).collect():
         assert all(math.isclose(x, y, abs_tol=1e-6) for x, y in zip(r.embedding, plain(text[r.doc_id], 64)))
+
+
+def test_registered_codes_are_those_of_the_reference(spark, sf, monkeypatch):
+    """256 codes and 20 rounds, as in its train.yaml; more than 32 codes are in use even on a small table."""
+    from siftmark.plans import catalogue
+
+    asked, fit = [], rq.fit
+    monkeypatch.setattr(rq, "fit", lambda docs, levels=4, codes=256, rounds=20, **more: asked.append((levels, codes, rounds)) or fit(docs, levels, codes, rounds, **more))
+    ids = [r.rqid for r in catalogue.QUERIES["rq_kmeans_codes"](spark, sf).collect()]
+    assert asked == [(4, 256, 20)] and len({i.split()[0] for i in ids}) > 32
