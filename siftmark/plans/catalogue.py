@@ -267,6 +267,26 @@ def mann_whitney(spark, d):
     return rounded(stats.mann_whitney(rows, F.col("g"), F.col("sim")), "u1", "u2", "u_min", "z_approx", "cliffs_delta", "cohens_d", "mean_diff")
 
 
+def _semanticity(spark, d, name):
+    from siftmark.plans import analyses  # noqa: PLC0415
+
+    docs = frames.docs(spark, d)
+    codes = frames.codes(spark, d).join(docs.select("doc"), "doc", "left_semi")
+    n = docs.count()
+    return analyses.semanticity(docs, codes, min(100_000, n * (n - 1) // 2))[name]
+
+
+@query
+def same_prefix_summary(spark, d):
+    """Cosines of pairs with the same first codes and of random pairs, sampled as the reference does."""
+    return rounded(_semanticity(spark, d, "summary"), "mean", "median", "std", "q25", "q75", "ci95_low", "ci95_high")
+
+
+@query
+def same_prefix_tests(spark, d):
+    return rounded(_semanticity(spark, d, "significance"), "u1", "u2", "u_min", "z_approx", "cliffs_delta", "cohens_d", "mean_diff")
+
+
 @query
 def similarity_cdf(spark, d):
     return rounded(stats.empirical_cdf(_ranks(spark, d), F.col("top1_sim")), "value", "cdf")

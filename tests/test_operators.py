@@ -417,3 +417,18 @@ def test_registered_codes_are_those_of_the_reference(spark, sf, monkeypatch):
     monkeypatch.setattr(rq, "fit", lambda docs, levels=4, codes=256, rounds=20, **more: asked.append((levels, codes, rounds)) or fit(docs, levels, codes, rounds, **more))
     ids = [r.rqid for r in catalogue.QUERIES["rq_kmeans_codes"](spark, sf).collect()]
     assert asked == [(4, 256, 20)] and len({i.split()[0] for i in ids}) > 32
+
+
+def test_same_prefix_summary_has_far_pairs(spark, sf):
+    """With as few pairs as here, every pair with the same first codes is in, near or not."""
+    from siftmark.plans import catalogue, frames
+
+    docs = {r.doc for r in frames.docs(spark, sf).collect()}
+    size = {}
+    for r in frames.codes(spark, sf).collect():
+        for n in range(1, 5) if r.doc in docs else ():
+            size[n, tuple(r.codes[:n])] = size.get((n, tuple(r.codes[:n])), 0) + 1
+    want = {f"same_l{n}": sum(s * (s - 1) // 2 for (m, _), s in size.items() if m == n) for n in range(1, 5)}
+    got = {r.pair_type: r.n_pairs for r in catalogue.QUERIES["same_prefix_summary"](spark, sf).collect()}
+    assert {k: v for k, v in got.items() if k != "random_all"} == {k: v for k, v in want.items() if v}
+    assert len(catalogue.QUERIES["same_prefix_tests"](spark, sf).collect()) == 4
