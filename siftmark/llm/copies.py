@@ -46,7 +46,7 @@ def fields_of_list(c: Column) -> Column:
     return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), word_text), lambda x: x != "")
 
 
-def _several(rows: DataFrame, key: str) -> DataFrame:
+def several(rows: DataFrame, key: str) -> DataFrame:
     """The rows whose key occurs more than once, and ``first``, the smallest id of that key."""
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     part = salted.groupBy(key, "salt").agg(F.min("id").alias("lo"), F.count("*").alias("n"))
@@ -67,14 +67,14 @@ def copies(rows: DataFrame, id_col: str, mark: Column, fields: Column) -> DataFr
     letters = F.replace(text, F.lit(" "), F.lit(""))
     cheap = F.xxhash64("mark", F.length(letters), F.length(text), F.size("fields"), F.length(F.regexp_replace(letters, "[aeiou]", "")))
     r = scratch.keep(r.withColumn("k1", cheap), "fields")
-    one = _several(r.select("id", "k1"), "k1").select("id")
+    one = several(r.select("id", "k1"), "k1").select("id")
     r2 = r.join(one, "id")
     histogram = F.xxhash64("k1", F.concat_ws("", F.sort_array(F.split(letters, ""))))
     r2 = scratch.keep(r2.withColumn("k2", histogram).drop("k1"), "histogram")
-    two = _several(r2.select("id", "k2"), "k2").select("id")
+    two = several(r2.select("id", "k2"), "k2").select("id")
     canonical = F.sha2(F.concat_ws("\n", "mark", F.concat_ws("\n", F.sort_array("fields"))), 256)
     r3 = r2.join(two, "id").select("id", canonical.alias("k3"))
-    same = _several(r3, "k3")
+    same = several(r3, "k3")
     return same.where("id > first").select(F.col("first").alias("keep_id"), F.col("id").alias("copy_id")).distinct()
 
 

@@ -1,14 +1,16 @@
 """Problem 5: the k most similar vectors of every vector.
 
-Method: exact copies of a vector are one class, of which the search sees one vector and the smallest ids.
-Vectors are put in cells; in each cell all products of its members with the vectors that probe it are
-computed, and whatever may be among the ``k`` best, as far as single precision tells, is ranked by exact
-cosines in double precision, from both sides of a pair. Of two vectors with a cosine of at least 0.9 one
-always probes the other's cell (``vectors.BORDER``), so no neighbour is missed.
-
-The score-aware (anisotropic) quantisation below was the first method: its table scans take longer than the
-products, and as their bound on the error of a score is as wide as a cluster, they spare no exact check.
-They are kept for comparison; ``neighbours`` doesn't use them.
+Method: score-aware (anisotropic) quantisation. Vectors are put in cells; a member's residual to the centre
+of its cell is coded in ``PARTS`` four-bit codes, fitted with a loss that penalises the part of the error
+parallel to the vector, which is what decides large inner products. In each cell, every vector that probes it
+scans the members' codes by table look-ups, and what may be among its ``k`` best goes to an exact reranking in
+double precision, from both sides of a pair: all members whose score and ``SURE`` standard errors reach the
+threshold and the k-th best lower bound, however many they are.
+
+The standard error of a score follows from the length of the member's coding error; it is what may be lost
+(measured recall: README). Of two vectors with a cosine of at least 0.9 one always probes the other's cell
+(``vectors.BORDER``). Copies of a vector are one class, of which the search sees one vector; their ids are
+joined in at the end.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from siftmark.runtime import Scratch
 PARTS, CODES, TRAIN = 32, 16, 16_384
 #: Weight of the parallel error: (d - 1) t^2 / (1 - t^2) for d = 64 and the method's threshold t = 0.2.
 ETA = 63 * 0.04 / 0.96
-#: More than single precision gets a cosine of unit vectors wrong.
-ERROR = 1e-5
+#: Standard errors of a score that are allowed for.
+SURE = 4.0
+#: Parts of a class of copies.
+SALTS = 32
 
 
 def encode(u: np.ndarray, r: np.ndarray, books: np.ndarray, sweeps: int = 2) -> np.ndarray:
@@ -81,74 +85,83 @@ def shaped(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return r / np.maximum(size, 1e-12)[:, None], size
 
 
-def pack(codes: np.ndarray) -> np.ndarray:
-    """Two codes a byte."""
-    return codes[:, 0::2] << 4 | codes[:, 1::2]
+def scan(q: np.ndarray, codes: np.ndarray, size: np.ndarray, books: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Scores (members x queries): ``base`` (the inner products with the centre) and, times the length of the
+    member's residual, one table entry for each of its codes."""
+    tables = np.ascontiguousarray(np.einsum("npw,pcw->pcn", q.reshape(len(q), PARTS, -1), books, optimize=True))
+    out = tables[0].take(codes[:, 0], axis=0)
+    more = np.empty_like(out)
+    for p in range(1, PARTS):
+        np.take(tables[p], codes[:, p], axis=0, out=more, mode="clip")
+        out += more
+    out *= size[:, None]
+    out += base
+    return out
 
 
-def scan(q: np.ndarray, packed: np.ndarray, size: np.ndarray, books: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Scores (queries x members): ``base`` (the inner product with the centre) and, times the length of
-    the member's residual, a table entry for each byte of its code."""
-    n = len(q)
-    tables = np.einsum("npw,pcw->npc", q.reshape(n, PARTS, -1), books).astype(np.float32)
-    both = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(n, PARTS // 2, CODES * CODES)
-    out = both[:, 0].take(packed[:, 0], axis=1)
-    for p in range(1, PARTS // 2):
-        out += both[:, p].take(packed[:, p], axis=1)
-    return out * size + base[:, None]
+def _kth(values: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest value of every row, or the least if there are fewer."""
+    return np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k] if values.shape[1] > k else values.min(1)
 
 
-def _best(cos: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Where a row's ``k`` largest values from ``least`` may be: all that are not surely behind the k-th."""
-    ok = cos >= least - ERROR
-    many = np.flatnonzero(ok.sum(1) > k)
-    if len(many):
-        part = np.ascontiguousarray(cos[many])
-        kth = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k]
-        ok[many] &= part >= kth[:, None] - 2 * ERROR
-    return np.nonzero(ok)
+def _may(high: np.ndarray, error: np.ndarray, k: int, least: float) -> np.ndarray:
+    """Which members (rows) may be among a query's (column's) ``k`` best from ``least``, or the query among the
+    member's: upper bounds that reach the threshold and the k-th largest lower bound."""
+    ok = high >= least
+    low = np.where(ok, high - 2 * error[:, None], -9)
+    return ok & ((high >= _kth(low.T, k)[None]) | (high >= _kth(low, k)[:, None]))
 
 
-def _search(k: int, least: float):
-    def f(mi: np.ndarray, mv: np.ndarray, qi: np.ndarray, qv: np.ndarray) -> list[np.ndarray]:
-        mu, qu = vectors.unit(mv), vectors.unit(qv)
-        m32, q32 = mu.astype(np.float32), qu.astype(np.float32)
+def _search(k: int, least: float, books: np.ndarray, centres: np.ndarray):
+    def f(g: vectors.Group) -> list[np.ndarray]:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        step = max(16, min(1024, 8_000_000 // len(mi)))
-        for s in range(0, len(qi), step):
-            cos32 = q32[s : s + step] @ m32.T
-            cos32[qi[s : s + step, None] == mi[None, :]] = -2
-            some = np.flatnonzero((cos32 >= least - ERROR).any(1))
-            if not len(some):
-                continue
-            cos32 = cos32[some]
-            row, col = _best(cos32, k, least)
-            col2, row2 = _best(cos32.T, k, least)
-            for q, m, asks in ((some[row] + s, col, True), (some[row2] + s, col2, False)):
-                for t in range(0, len(q), 200_000):
-                    x, y = q[t : t + 200_000], m[t : t + 200_000]
-                    cos = np.round(np.einsum("id,id->i", qu[x], mu[y]), 12)
-                    ok = cos >= least
-                    a, b = (qi[x[ok]], mi[y[ok]]) if asks else (mi[y[ok]], qi[x[ok]])
-                    found.append((a, b, cos[ok]))
-        a, b, cos = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        order = np.lexsort((b, -cos, a))
-        a, b, cos = a[order], b[order], cos[order]
-        if len(a):  # a pair within the cell is found from both sides
-            one = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-            a, b, cos = a[one], b[one], cos[one]
-        start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
-        rank = np.arange(len(a)) - np.repeat(start, np.diff(np.r_[start, len(a)]))
-        return [a[rank < k], b[rank < k], cos[rank < k]]
+        for cell, m, queries in g.cells:
+            centre = centres[cell]
+            r, size = shaped(g.m32[m] - centre)
+            codes = encode(g.m32[m], r, books)
+            error = r - np.concatenate([books[p][codes[:, p]] for p in range(PARTS)], 1)
+            error = SURE * size * np.sqrt((error * error).sum(1)) / np.sqrt(r.shape[1])
+            step = max(16, min(512, 4_000_000 // len(m)))
+            for s in range(0, len(queries), step):
+                q = queries[s : s + step]
+                high = scan(g.q32[q], codes, size, books, (g.q32[q] @ centre)[None])
+                high += error[:, None]
+                some = np.flatnonzero(high.max(0) >= least)
+                if not len(some):
+                    continue
+                high, q = high[:, some], q[some]
+                high[g.mi[m][:, None] == g.qi[q][None]] = -9
+                may = _may(high, error, k, least)
+                rows = np.flatnonzero(may.any(1))
+                if not len(rows):  # a query's own row
+                    continue
+                may, exact = may[rows], np.full((len(rows), len(q)), -9.0)
+                if may.sum() > may.size / 20:  # one product of the blocks costs less than many single ones
+                    exact[may] = np.round(g.mu[m[rows]] @ g.qu[q].T, 12)[may]
+                else:
+                    row, col = np.nonzero(may)
+                    exact[row, col] = np.round(np.einsum("id,id->i", g.mu[m[rows[row]]], g.qu[q[col]]), 12)
+                exact[exact < least] = -9
+                for top, side in ((exact >= _kth(exact.T, k)[None], 0), (exact >= _kth(exact, k)[:, None], 1)):
+                    row, col = np.nonzero(top & (exact > -9))
+                    pair = (g.qi[q[col]], g.mi[m[rows[row]]])
+                    found.append((pair[side], pair[1 - side], exact[row, col]))
+        return list(_first(found, k))
 
     return f
 
 
-def classes(v: DataFrame, k: int) -> DataFrame:
-    """(doc, ids, v): one row for each different vector of (doc, v), with its smallest id and its ``k``
-    smallest ids in order. Only these are gathered, however many copies there are."""
-    first = v.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("doc"))).where(F.col("r") <= k)
-    return first.groupBy("v").agg(F.sort_array(F.collect_list("doc")).alias("ids")).select(F.col("ids")[0].alias("doc"), "ids", "v")
+def _first(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each document among (document, neighbour, cosine)."""
+    a, b, cos = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    order = np.lexsort((b, -cos, a))
+    a, b, cos = a[order], b[order], cos[order]
+    if len(a):  # a pair of two members is found from both sides
+        one = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        a, b, cos = a[one], b[one], cos[one]
+    start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+    rank = np.arange(len(a)) - np.repeat(start, np.diff(np.r_[start, len(a)]))
+    return a[rank < k], b[rank < k], cos[rank < k]
 
 
 def neighbours(rows: DataFrame, id_col: str, vector_col: str, k: int = 10, least: float = 0.9) -> DataFrame:
@@ -156,34 +169,37 @@ def neighbours(rows: DataFrame, id_col: str, vector_col: str, k: int = 10, least
     those with a cosine of at least ``least``; equal cosines (12 decimals): smaller id first.
 
     Unusable vectors (null, wrong length, not finite, all zero) and null ids neither ask nor are found.
-    A row repeated with its id counts once, with the least of its vectors. Tables with no usable vector give
+    A doc with several rows counts once, with the least of its vectors. Tables with no usable vector give
     no rows.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "similar")
     schema = "doc long, neighbour long, cos double"
-    v = scratch.keep(vectors.usable(rows, id_col, vector_col).groupBy("doc").agg(F.min("v").alias("v")), "vectors")
-    one = scratch.keep(classes(v, k + 1), "classes")
-    n = one.count()
+    v, copies, n = vectors.one_each(rows, id_col, vector_col, scratch)
     if not n:
         return spark.createDataFrame([], schema)
-    rep = one.select("doc", "v")
-    cells = vectors.Cells(vectors.fit_cells(vectors.sample(rep, n), vectors.cells_for(n)), n, (2 - 2 * least) ** 0.5 / 2 + 1e-4)
-    found = vectors.per_meeting(vectors.meetings(rep, cells), _search(k, least), schema, cells).dropDuplicates(["doc", "neighbour"])
+    x = vectors.sample(v, n)
+    cells = vectors.Cells(vectors.fit_cells(x, vectors.cells_for(n)), n, vectors.border_for(least))
+    x = x[np.random.default_rng(3).permutation(len(x))[:TRAIN]]
+    books = fit_books(x, shaped(x - cells.centres[vectors.nearest(x, cells.centres)[0]])[0])
+    found = vectors.per_meeting(vectors.meetings(v, cells, scratch), _search(k, least, books, cells.centres), schema, cells).dropDuplicates(["doc", "neighbour"])
     best = Window.partitionBy("doc").orderBy(F.desc("cos"), "neighbour")
     found = scratch.keep(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"), "found")
-    several = one.where(F.size("ids") > 1)
-    if several.isEmpty():
+    if copies is None:
         return found
+    # the k + 1 smallest ids of each class; a partial limit comes before the shuffle
+    small = copies.withColumn("r", F.row_number().over(Window.partitionBy("first").orderBy("doc"))).where(F.col("r") <= k + 1)
+    several = scratch.keep(small.groupBy(F.col("first").alias("doc")).agg(F.sort_array(F.collect_list("doc")).alias("ids")), "several")
     # a class's neighbours are its own ids and those of the classes found
     ids = several.select(F.col("doc").alias("neighbour"), "ids")
     wide = found.join(ids, "neighbour", "left").select("doc", F.explode(F.coalesce("ids", F.array("neighbour"))).alias("neighbour"), "cos")
     own = several.select("doc", F.explode("ids").alias("neighbour"), F.lit(1.0).alias("cos"))
     wide = wide.unionByName(own).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
     lists = scratch.keep(wide.groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "cos"))), lambda x: F.struct(x["neighbour"].alias("neighbour"), x["cos"].alias("cos"))).alias("list")), "lists")
-    member = v.join(several.select("v", F.col("doc").alias("class")), "v").select("doc", "class")
+    member = copies.select("doc", F.col("first").alias("class"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt"))
+    parts = member.select("class", "salt").distinct().join(lists.select(F.col("doc").alias("class"), "list"), "class")
     alone = lists.join(several.select("doc"), "doc", "left_anti")
-    asked = alone.unionByName(member.join(lists.select(F.col("doc").alias("class"), "list"), "class").select("doc", "list"))
+    asked = alone.unionByName(member.join(parts, ["class", "salt"]).select("doc", "list"))
     others = F.slice(F.filter("list", lambda x: x["neighbour"] != F.col("doc")), 1, k)
     return asked.select("doc", F.explode(others).alias("x")).select("doc", "x.neighbour", "x.cos")
 

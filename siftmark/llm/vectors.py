@@ -17,8 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample that cells and codebooks are fitted on, cells, rows of a block.
-SAMPLE, MAX_CELLS, BLOCK = 65_536, 2_048, 16_384
+from siftmark.llm.copies import several
+from siftmark.runtime import Scratch
+
+#: Rows of the sample that cells and codebooks are fitted on at most, cells, rows of a block.
+SAMPLE, MAX_CELLS, BLOCK = 262_144, 16_384, 16_384
+#: Centres that are fitted at once.
+DIRECT = 1024
 #: A cell is probed if its border is at most this far from the vector: two vectors with a cosine of 0.9 are
 #: 0.4472 apart, and as the line between them crosses the border of their cells, one of them is at most half
 #: of that from it. So of any such pair at least one vector probes the other's own cell.
@@ -48,14 +53,20 @@ def as_lists(m: np.ndarray) -> pa.ListArray:
 
 
 def sample(vectors: DataFrame, n: int) -> np.ndarray:
-    """Unit vectors of at most about ``SAMPLE`` rows, chosen by the hash of the id."""
-    part = vectors if n <= SAMPLE else vectors.where(F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(1 << 30)) < int(SAMPLE / n * (1 << 30)))
+    """Unit vectors of about 64 rows for each cell, at most about ``SAMPLE``, chosen by the hash of the id."""
+    want = min(SAMPLE, 64 * cells_for(n))
+    part = vectors if n <= want else vectors.where(F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(1 << 30)) < int(want / n * (1 << 30)))
     t = part.select("v").toArrow()
     return unit(matrix(t["v"])).astype(np.float32) if t.num_rows else np.zeros((0, 64), np.float32)
 
 
 def fit_cells(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
-    """Unit centres of a spherical k-means; a centre without vectors takes one that fits badly."""
+    """Unit centres of a spherical k-means; a centre without vectors takes one that fits badly. Above ``DIRECT``
+    centres they are fitted within the cells of a first, coarse k-means, which costs the root of the time."""
+    if k > DIRECT and len(x) > k:
+        top = nearest(x, fit_cells(x, int(k**0.5), rounds, seed))[0]
+        parts = [x[top == t] for t in np.unique(top)]
+        return np.concatenate([fit_cells(p, max(1, round(k * len(p) / len(x))), rounds, seed) for p in parts])
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
@@ -110,10 +121,16 @@ class Cells:
         return probes(x, self.centres, self.border)
 
 
-def meetings(vectors: DataFrame, cells: Cells) -> DataFrame:
+def border_for(least: float) -> float:
+    """``BORDER`` for pairs with a cosine of ``least``."""
+    return (2 - 2 * least) ** 0.5 / 2 + 1e-4
+
+
+def meetings(vectors: DataFrame, cells: Cells, scratch: Scratch) -> DataFrame:
     """(cell, j, i, role, doc, v): one group of (cell, j, i) for every pair of a member block j and a
     query block i of a region, called cell. role 0 is a member, 1 a query, 2 both. Queries are all vectors,
-    in the region of their own cell and in those of the cells they probe."""
+    in the region of their own cell and in those of the cells they probe. Vectors are placed once: a row of
+    the kept table has a vector and the list of its regions, its own one first."""
     shared = vectors.sparkSession.sparkContext.broadcast(cells)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,16 +138,21 @@ def meetings(vectors: DataFrame, cells: Cells) -> DataFrame:
         many = int(c.region.max()) + 1
         for b in batches:
             m = matrix(b.column("v"))
-            for s in range(0, len(m), 2048):
-                part = m[s : s + 2048]
+            step = max(64, min(2048, 2_000_000 // len(c.centres)))
+            for s in range(0, len(m), step):
+                part = m[s : s + step]
                 row, cell, rank = c.probes(unit(part).astype(np.float32))
-                at = np.unique(row * many + c.region[cell])
-                own = np.isin(at, (row * many + c.region[cell])[rank == 0])
-                row, region = at // many, at % many
-                doc = b.column("doc").to_numpy(zero_copy_only=False)[s : s + 2048]
-                yield pa.RecordBatch.from_arrays([pa.array(region.astype(np.int32)), pa.array(own), pa.array(doc[row]), as_lists(part[row])], ["cell", "own", "doc", "v"])
-
-    at = vectors.mapInArrow(placed, "cell int, own boolean, doc long, v array<float>")
+                first = np.zeros(len(part), np.int64)
+                first[row[rank == 0]] = c.region[cell[rank == 0]]
+                key = np.unique(row * many + c.region[cell])
+                row, region = key // many, key % many
+                order = np.lexsort((region, region != first[row], row))
+                ends = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(region[order].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column("doc").slice(s, len(part)), lists, as_lists(part)], ["doc", "regions", "v"])
+
+    kept = scratch.keep(vectors.mapInArrow(placed, "doc long, regions array<int>, v array<float>"), "placed")
+    at = kept.select("doc", "v", F.posexplode("regions").alias("p", "cell")).withColumn("own", F.col("p") == 0)
     # the sizes of at most MAX_CELLS regions
     sizes = {r.cell: (-(-r.own // BLOCK) or 1, -(-r.all // (4 * BLOCK))) for r in at.groupBy("cell").agg(F.sum(F.col("own").cast("int")).alias("own"), F.count("*").alias("all")).collect()}
     large = {c: s for c, s in sizes.items() if s != (1, 1)}
@@ -148,38 +170,63 @@ def meetings(vectors: DataFrame, cells: Cells) -> DataFrame:
     return small.unionByName(members).unionByName(queries)
 
 
-def per_meeting(met: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list], schema: str, cells: Cells) -> DataFrame:
-    """``f(member ids, member vectors, query ids, query vectors)`` for every cell of every group; a doc that
-    comes several times in a group is taken once for each role."""
-    names = [x.split()[0] for x in schema.split(", ")]
-    shared = met.sparkSession.sparkContext.broadcast(cells)
+class Group:
+    """What meets in one group: members (ids ``mi``, unit vectors ``mu``), queries (``qi``, ``qu``), both with
+    single precision copies, and, for each cell with both, its centre's number, its members and the queries
+    that probe it. A doc that comes several times is taken once for each role."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def __init__(self, t: pa.Table, c: Cells):
         role, doc, v = np.asarray(t["role"]), np.asarray(t["doc"]), matrix(t["v"])
-        c = shared.value
-        here = np.flatnonzero(c.region == t["cell"][0].as_py())
+        self.key = tuple(t[x][0].as_py() for x in ("cell", "j", "i"))
 
         def pick(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             at = np.flatnonzero(mask)
             _, one = np.unique(doc[at], return_index=True)
-            return doc[at[one]], v[at[one]]
-
-        mi, mv = pick(role != 1)
-        qi, qv = pick(role != 0)
-        own = nearest(unit(mv).astype(np.float32), c.centres[here])[0]
-        asked: list[list[np.ndarray]] = [[] for _ in c.region]
-        for s in range(0, len(qi), 2048):
-            row, cell, _ = c.probes(unit(qv[s : s + 2048]).astype(np.float32))
-            order = np.argsort(cell, kind="stable")
-            cut = np.searchsorted(cell[order], np.arange(len(c.region) + 1))
-            for x in here:
-                asked[x].append(row[order[cut[x] : cut[x + 1]]] + s)
-        out = [[np.zeros(0)] * len(names)]
-        for k, x in enumerate(here):
-            m, q = np.flatnonzero(own == k), np.concatenate(asked[x]) if asked[x] else np.zeros(0, np.int64)
-            if len(m) and len(q):
-                out.append(f(mi[m], mv[m], qi[q], qv[q]))
-        kinds = {"long": pa.int64(), "double": pa.float64()}
-        return pa.table([pa.array(np.concatenate(col).astype(np.int64 if kind == "long" else np.float64), kinds[kind]) for col, kind in zip(zip(*(o for o in out[1:] or out)), [x.split()[1] for x in schema.split(", ")])], names=names)
+            return doc[at[one]], unit(v[at[one]])
+
+        self.mi, self.mu = pick(role != 1)
+        self.qi, self.qu = pick(role != 0)
+        self.m32, self.q32 = self.mu.astype(np.float32), self.qu.astype(np.float32)
+        here = np.flatnonzero(c.region == self.key[0])
+        own = nearest(self.m32, c.centres[here])[0]
+        asked: list[list[np.ndarray]] = [[] for _ in here]
+        step = max(64, min(2048, 2_000_000 // len(c.centres)))
+        place = np.full(len(c.region), -1)
+        place[here] = np.arange(len(here))
+        for s in range(0, len(self.qi), step):
+            row, cell, _ = c.probes(self.q32[s : s + step])
+            ok = place[cell] >= 0
+            row, at = row[ok], place[cell[ok]]
+            order = np.argsort(at, kind="stable")
+            cut = np.searchsorted(at[order], np.arange(len(here) + 1))
+            for k in np.unique(at).tolist():
+                asked[k].append(row[order[cut[k] : cut[k + 1]]] + s)
+        order = np.argsort(own, kind="stable")
+        cut = np.searchsorted(own[order], np.arange(len(here) + 1))
+        self.cells = [(int(here[k]), order[cut[k] : cut[k + 1]], np.concatenate(asked[k])) for k in range(len(here)) if cut[k] < cut[k + 1] and asked[k]]
+
+
+def per_meeting(met: DataFrame, f: Callable[[Group], list[np.ndarray]], schema: str, cells: Cells) -> DataFrame:
+    """``f(group)`` of every group: the columns of ``schema``."""
+    names, types = zip(*(x.split() for x in schema.split(", ")))
+    shared = met.sparkSession.sparkContext.broadcast(cells)
+    kinds = {"long": (np.int64, pa.int64()), "double": (np.float64, pa.float64())}
+
+    def run(t: pa.Table) -> pa.Table:
+        return pa.table([pa.array(col.astype(kinds[k][0]), kinds[k][1]) for col, k in zip(f(Group(t, shared.value)), types)], names=list(names))
 
     return met.groupBy("cell", "j", "i").applyInArrow(run, schema)
+
+
+def one_each(rows: DataFrame, id_col: str, vector_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame | None, int]:
+    """(doc, v), one row for each different usable vector, with its smallest id; (doc, first), the ids of vectors
+    that several docs have, and the smallest of them, None without any; and how many different vectors there are.
+    A doc with several rows has the least of its vectors. Copies are found by two 64-bit hashes."""
+    v = scratch.keep(usable(rows, id_col, vector_col).groupBy("doc").agg(F.min("v").alias("v")), "vectors")
+    key = F.struct(F.xxhash64("v"), F.xxhash64(F.lit(1), "v"))
+    copies = scratch.keep(several(v.select(F.col("doc").alias("id"), key.alias("k")), "k").select(F.col("id").alias("doc"), "first"), "copies")
+    n = v.count()
+    if copies.isEmpty():
+        return v, None, n
+    others = copies.where("doc > first")
+    return v.join(others.select("doc"), "doc", "left_anti"), copies, n - others.count()

@@ -204,8 +204,8 @@ def test_table_scan_is_the_sum_of_tables():
     books = similar.fit_books(u, u)
     codes = similar.encode(u, u, books)
     back = np.concatenate([books[p][codes[:, p]] for p in range(similar.PARTS)], 1)
-    got = similar.scan(u[:7], similar.pack(codes), np.ones(300, np.float32), books, np.zeros(7, np.float32))
-    assert np.allclose(got, u[:7] @ back.T, atol=1e-4)
+    got = similar.scan(u[:7], codes, np.full(300, 2, np.float32), books, np.ones((1, 7), np.float32))
+    assert np.allclose(got, 2 * back @ u[:7].T + 1, atol=1e-4)
 
 
 def test_anisotropic_codes_keep_inner_products():
@@ -330,3 +330,79 @@ def test_every_link_is_probed():
     a, b = v.nearest(x.astype(np.float32), c)[0], v.nearest(y.astype(np.float32), c)[0]
     at = np.arange(len(x))
     assert (probed(x)[at, b] | probed(y)[at, a]).all()
+
+
+def components(n, a, b):
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def graph(seed):
+    """Cliques, chains, stars and pairs, whose nodes are mixed up."""
+    rng = np.random.default_rng(seed)
+    a, b, n = [], [], 0
+    for size in (300, 40, 7, 2, 2, 3, 25):
+        i, j = np.triu_indices(size, 1)
+        a, b, n = [*a, *(i + n)], [*b, *(j + n)], n + size
+    for size in (60, 200):  # chains
+        a, b, n = [*a, *(np.arange(size - 1) + n)], [*b, *(np.arange(1, size) + n)], n + size
+    for size in (50, 9):  # stars
+        a, b, n = [*a, *([n] * (size - 1))], [*b, *(np.arange(1, size) + n)], n + size
+    mixed = rng.permutation(n)
+    return n, mixed[np.array(a)], mixed[np.array(b)], rng.uniform(0.9, 1, len(a))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_spectral_clusters_are_the_linked_sets(seed):
+    n, a, b, w = graph(seed)
+    got = clusters.spectral(np.arange(n) * 7 + seed, a, b, w)
+    want = components(n, a, b)
+    assert len(np.unique(got)) == len(np.unique(want)) == len(set(zip(got.tolist(), want.tolist())))
+
+
+def test_without_power_iteration_nothing_is_clustered():
+    """The places of the random vectors alone put every node in a cluster of its own, those after the
+    iteration put linked ones together: it is the iteration that decides."""
+    n, a, b, w = graph(1)
+    alone = clusters.k_means(clusters.places(clusters.starts(np.arange(n))))
+    assert len(np.unique(alone)) == n
+    assert not (alone[a] == alone[b]).any()
+
+
+def test_places_do_not_shrink_with_size():
+    """Two cliques of 3,000 nodes, each joined by a star of stars: means of random starts are small, places are not."""
+    m = 3000
+    a = np.concatenate([np.arange(1, m), np.arange(m + 1, 2 * m)])
+    b = np.concatenate([np.arange(1, m) // 9, m + np.arange(1, m) // 9])
+    got = clusters.spectral(np.arange(2 * m), a, b, np.ones(len(a)))
+    assert len(set(got[:m].tolist())) == len(set(got[m:].tolist())) == 1 and got[0] != got[m]
+
+
+def test_clusters_across_groups(spark, monkeypatch):
+    """Groups of few vectors, so that clusters lie in several of them and are joined in the second graph."""
+    from siftmark.llm import vectors as v
+
+    monkeypatch.setattr(v, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in np.float32(c + 0.33 * rng.normal(size=64))]) for i, c in enumerate(np.repeat(rng.normal(size=(6, 64)), 40, axis=0))]
+    rows += [(1000 + k, rows[5][1]) for k in range(30)]  # copies of one, and copies that are linked to nothing else
+    rows += [(2000 + k, [float(k == 2000)] * 63 + [1.0]) for k in range(6)]
+    assert pairs(clusters.clusters(vectors(spark, rows), "doc_idx", "embedding")) == brute.p1(rows)
+
+
+def test_neighbours_in_tight_clusters(spark):
+    """Clusters far tighter than the code error, of more members than k, beside loose ones: recall against brute force."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for c, (noise, size) in enumerate([(1e-5, 300), (1e-3, 200), (0.1, 150), (0.25, 150)]):
+        centre = rng.normal(size=64)
+        rows += [(1000 * c + k, [float(x) for x in np.float32(centre + noise * rng.normal(size=64))]) for k in range(size)]
+    want = brute.p5(rows)
+    got = pairs(similar.similar_pairs(vectors(spark, rows), "doc_idx", "embedding"))
+    assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
