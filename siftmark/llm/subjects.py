@@ -23,9 +23,9 @@ Texts are cut into sentences of word hashes once, in the JVM; all later passes r
 numbers. Fitted on bounded data: the examples, ``COMPOSED`` documents composed of them and of corpus sentences
 of no subject, and ``SAMPLE`` documents that lend those sentences and their structure. Every word that
 stands in at least ``LEAST`` documents has weights, however large the corpus is. Those of the ``VOCABULARY``
-most frequent go to every task; those of all others are counted in the last round, and joined by word. Likewise
-the weights of the ``SOURCES`` largest sources go to every task, those of all others are joined. Counts cover
-all documents, and every document is classified whole.
+most frequent go to every task; those of all others are a table, joined to the texts by word. Likewise the
+weights of the ``SOURCES`` largest sources go to every task, those of all others are joined. Counts cover all
+documents, and every document is classified whole.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ from siftmark.functions.text import PY_SPACE
 from siftmark.runtime import Scratch, most_frequent
 
 LEAST, SOURCES = 3, 1000
+#: Sources that composed documents are given.
+LENT = 1000
 VOCABULARY, ROUNDS, SAMPLE, COMPOSED, BEAM = 131_072, 3, 4_000, 8_000, 8
 PART, SEED = 0.25, 17
 #: Mean occurrences added to a word's, by which a ratio must exceed one to count, and its weight.
@@ -247,7 +249,11 @@ def _count(shared, rare: bool):
             if not len(t.doc):
                 continue
             at = index.find(t.w)
-            p = terms.classes(t, at)
+            if joined := _rare(b):
+                wide = terms | joined
+                p = wide.classes(t, wide.index.find(t.w))
+            else:
+                p = terms.classes(t, at)
             total += p.sum(0)
             others = t.count[t.doc] - 1
             # a sentence's context: the other sentences of its document
@@ -267,12 +273,12 @@ def _count(shared, rare: bool):
     return run
 
 
-def learn(texts: DataFrame, terms: Terms, own: np.ndarray, scratch: Scratch, rare: DataFrame | None) -> tuple[Terms, DataFrame | None]:
+def learn(texts: DataFrame, terms: Terms, own: np.ndarray, scratch: Scratch, rare: DataFrame | None, weights: DataFrame | None) -> tuple[Terms, DataFrame | None]:
     """New terms from the counts of all sentences of all documents; the examples' own counts stay in, as
-    they set what each class means. ``rare`` has the words (w) beside the terms' own; their weights (w, n) are the
-    second result."""
+    they set what each class means. ``rare`` has the words (w) beside the terms' own, ``weights`` their weights (w, n)
+    so far; their new weights are the second result."""
     k = terms.weight.shape[1]
-    counted = texts.select("s", "form").mapInArrow(_count(texts.sparkSession.sparkContext.broadcast(terms), rare is not None), "w long, more boolean, n array<double>")
+    counted = with_rare(texts.select("row", "s", "form"), terms, weights).mapInArrow(_count(texts.sparkSession.sparkContext.broadcast(terms), rare is not None), "w long, more boolean, n array<double>")
     if rare is not None:
         counted = scratch.keep(counted, "counts")
     sums = [F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(k)]
@@ -284,7 +290,6 @@ def learn(texts: DataFrame, terms: Terms, own: np.ndarray, scratch: Scratch, rar
     share = total / total.sum()
     counts = np.zeros((len(terms.words), k))
     counts[terms.index.find(rows["w"].drop_null().to_numpy())] = n[known]
-    weights = None
     if rare is not None:
 
         def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -518,8 +523,8 @@ def fit_all(docs: DataFrame, examples: list[tuple[str, str]], **chain: bool) ->
         rare = scratch.keep(known.select("w").join(F.broadcast(spark.createDataFrame([(int(w),) for w in words], "w long")), "w", "left_anti"), "rare")
     own = example_counts(cases, subjects, words)
     terms = first_terms(own, words)
-    for i in range(ROUNDS):
-        terms, rare_weights = learn(texts, terms, own, scratch, rare if i == ROUNDS - 1 else None)
+    for _ in range(ROUNDS):
+        terms, rare_weights = learn(texts, terms, own, scratch, rare, rare_weights)
 
     # source and co-occurrence statistics of all documents
     labelled = with_rare(texts.select("row", "source", "s", "form"), terms, rare_weights).mapInArrow(_label(spark.sparkContext.broadcast(terms), k), "source string, s long, j long, many long, n long")
@@ -536,7 +541,8 @@ def fit_all(docs: DataFrame, examples: list[tuple[str, str]], **chain: bool) ->
     weight = [F.coalesce(F.log((seen(i) + F.lit(20 * float(rate[i]))) / ((F.col("all") + 20) * F.lit(float(rate[i])))), F.lit(0.0)) for i in range(k)]
     by_source = stats.where("many = 0").groupBy(F.col("source").alias("src")).agg(F.max(F.when(F.col("s") == -1, F.col("n"))).alias("all"), F.map_from_entries(F.collect_list(F.struct("s", "n"))).alias("m"))
     by_source = scratch.keep(by_source.select("src", "all", F.array(*weight).alias("joined")), "sources")
-    large = by_source.orderBy(F.desc("all"), "src").limit(SOURCES).collect()
+    lent = by_source.orderBy(F.desc("all"), "src").limit(max(SOURCES, LENT)).collect()
+    large = lent[:SOURCES]
     sources: dict[str | None, np.ndarray] = {r.src: np.array(r.joined) for r in large}
     small_sources = None
     if by_source.count() > SOURCES:
@@ -544,20 +550,27 @@ def fit_all(docs: DataFrame, examples: list[tuple[str, str]], **chain: bool) ->
         small_sources = scratch.keep(by_source.select("src", "joined").join(gone, F.col("src").eqNullSafe(F.col("gone")), "left_anti"), "small")
 
     # sentences without a subject and the structure of texts, from a sample by hash
-    part = texts.where(F.size("s") > 0).orderBy(F.xxhash64("s", F.lit(SEED))).limit(SAMPLE).select("s", "form").toArrow().combine_chunks()
+    known_rare: set[int] = set()
+    chosen = texts.where(F.size("s") > 0).orderBy(F.xxhash64("s", F.lit(SEED)), "row").limit(SAMPLE).select("row", "s", "form")
+    if rare_weights is not None:
+        chosen = scratch.keep(chosen, "sample")
+    part = with_rare(chosen, terms, rare_weights).orderBy(F.xxhash64("s", F.lit(SEED)), "row").toArrow().combine_chunks()
+    held = terms
+    for b in part.to_batches():
+        held = held | {w: x for w, x in _rare(b).items() if w not in known_rare}
+        known_rare |= _rare(b).keys()
     none: list[np.ndarray] = []
     form = np.zeros((0, FORM))
     for b in part.to_batches():
         t = Text.of_batch(b)
-        at = terms.index.find(t.w)
-        clear = terms.classes(t, at)[:, k] > 0.98
+        clear = held.classes(t, held.index.find(t.w))[:, k] > 0.98
         ends = np.searchsorted(t.of, np.arange(len(t.doc) + 1))
         none += [t.w[ends[i] : ends[i + 1]] for i in np.flatnonzero(clear)]
         form = np.vstack([form, t.form])
-    corpus = Corpus(together, (many + 1) / (many + 1).sum() if many.sum() else np.append(np.zeros(1), np.ones(k)) / k, [r.src for r in large], np.array([float(r["all"]) for r in large]), np.array([r.joined for r in large]).reshape(-1, k))
+    corpus = Corpus(together, (many + 1) / (many + 1).sum() if many.sum() else np.append(np.zeros(1), np.ones(k)) / k, [r.src for r in lent[:LENT]], np.array([float(r["all"]) for r in lent[:LENT]]), np.array([r.joined for r in lent[:LENT]]).reshape(-1, k))
     corpus.many = corpus.many[:4] / corpus.many[:4].sum()  # four subjects can't each have a quarter and more but in equal parts
     made, y, source = composed(cases, subjects, none, form, corpus, COMPOSED, SEED)
-    f = features(terms, made, source)
+    f = features(held, made, source)
     half = COMPOSED // 2
     model = Model(subjects, terms, Chain(np.argsort(-together.diagonal(), kind="stable").tolist(), **chain), sources)
     model.chain.fit({c: x[:half] for c, x in f.items()}, y[:half], {c: x[half:] for c, x in f.items()}, y[half:])

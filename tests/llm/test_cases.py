@@ -295,7 +295,7 @@ def test_joined_weights_are_as_good_as_held_ones(spark, sf, monkeypatch):
     held = pairs(subjects.subjects_of(docs, clashing(examples)))
     monkeypatch.setattr(subjects, "VOCABULARY", 30)
     monkeypatch.setattr(subjects, "SOURCES", 1)
-    model, rare, small = subjects.fit_all(docs.select("text", "source"), [(r.subject, r.text) for r in examples.orderBy("subject", "text").collect()])
+    model, rare, small, _ = subjects.fit_all(docs.select("text", "source"), [(r.subject, r.text) for r in examples.orderBy("subject", "text").collect()])
     assert rare.count() and small.count()
     assert held and pairs(subjects.subjects_of(docs, clashing(examples))) == held
 
@@ -406,3 +406,68 @@ def test_neighbours_in_tight_clusters(spark):
     want = brute.p5(rows)
     got = pairs(similar.similar_pairs(vectors(spark, rows), "doc_idx", "embedding"))
     assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
+
+
+def test_cut_matches_plain_sentences(spark):
+    texts = [None, "", "One two. Three 4.5 four?\n<p>Five six</p><p>Seven eight</p>\n1. nine ten\n2. x", "Ärger über Öl.\u2028Zwei drei。四五 六七！八 九", "<" + "x" * 500 + ">a b<c d", "a b. " * 3000]
+    got = subjects.cut(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "i").orderBy("i").collect()
+    for r, t in zip(got, texts):
+        assert r.s == [[subjects.word_id(w) for w in x] for x in subjects.sentences(t)]
+        assert r.form == subjects.structure(t)
+
+
+def noisy_corpus(seed, n=1500):
+    """(text, source, labels): of four subjects, a and b stand together, c has its own sources; many subject sentences
+    have no subject word."""
+    rng = np.random.default_rng(seed)
+    own = {s: [f"{s}noun{chr(97 + i)}" for i in range(12)] for s in "abcd"}
+    plain = [f"plain{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(6)]
+    out = []
+    for _ in range(n):
+        subjects_ = [["a", "b"], ["c"], ["d"], []][int(rng.choice(4, p=[0.4, 0.25, 0.2, 0.15]))]
+        source = "cs" if (rng.random() < 0.9 if "c" in subjects_ else rng.random() < 0.03) else f"s{rng.integers(4)}"
+        size = int(rng.integers(4, 12))
+        of = rng.choice([*subjects_, ""], size, p=[*[0.75 / len(subjects_)] * len(subjects_), 0.25]) if subjects_ else [""] * size
+        said = []
+        for o in of:
+            words = [str(x) for x in rng.choice(plain, 5)]
+            if o and rng.random() > 0.3:
+                words[2] = str(rng.choice(own[o]))
+            said.append(" ".join(words) + ".")
+        labels = {s for s in subjects_ if (np.array(of) == s).mean() >= 0.25}
+        out.append((" ".join(said), source, labels))
+    examples = [(s, f"plainaa {w} plainba. plainca {own[s][(i + 1) % 12]}.") for s in own for i, w in enumerate(own[s])]
+    return out, examples
+
+
+def test_chain_uses_sources_and_cooccurrence(spark, monkeypatch):
+    """On a corpus with lost subject words, the chain finds more right labels than the plain quarter of the sentences
+    seen, and less without sources or without the other labels."""
+    monkeypatch.setattr(subjects, "LOST", 0.3)
+    made, examples = noisy_corpus(11)
+    docs = spark.createDataFrame([(i, t, s) for i, (t, s, _) in enumerate(made)], "doc_id long, text string, source string")
+    cases = spark.createDataFrame(examples, "subject string, text string")
+    want = {(i, s) for i, (_, _, labels) in enumerate(made) for s in labels}
+
+    def f1(got):
+        return 2 * len(got & want) / (len(got) + len(want))
+
+    full = f1(pairs(subjects.subjects_of(docs, cases)))
+    no_source = f1(pairs(subjects.subjects_of(docs, cases, source=False)))
+    no_labels = f1(pairs(subjects.subjects_of(docs, cases, together=False)))
+    model = subjects.fit(docs.drop("doc_id"), examples)
+    t = subjects.Text.of_sentences([[np.array([subjects.word_id(w) for w in s], np.int64) for s in subjects.sentences(x)] for x, _, _ in made], np.zeros((len(made), subjects.FORM)))
+    hard = subjects.features(model.terms, t, np.zeros((t.n, 4)))["hard"]
+    plain = f1({(int(i), model.subjects[k]) for i, k in zip(*np.nonzero(hard >= 0.25))})
+    print(full, no_source, no_labels, plain)
+    assert full > plain + 0.03
+    assert full > no_source and full > no_labels
+
+
+def test_labels_do_not_depend_on_the_size_of_the_table(spark, sf):
+    """The same documents and the same terms give the same labels in any table."""
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").select("text", "source").limit(60).collect()]
+    examples = [(r.subject, r.text) for r in spark.read.parquet(f"{sf}/subject_examples.parquet").collect()]
+    model = subjects.fit(spark.createDataFrame(docs), examples)
+    whole = model.classify([r.text for r in docs], [r.source for r in docs])
+    assert all((model.classify([r.text], [r.source]) == whole[i]).all() for i, r in enumerate(docs[:20]))
