@@ -7,15 +7,17 @@ pair follows from its two sizes. (Weights by rarity would lose cases: one change
 the cosine below any threshold.)
 
 Every vector's terms are ordered by how rare they are in both splits. The inverted lists hold a
-vector only under the terms before which the rest can't reach the threshold any more: after the first
-common term, at positions i and j, the dot product is at most
+vector only under the terms before which the rest can't reach the threshold any more. Vectors that meet in a
+list, with their first common term at positions i and j, are pruned by two bounds on their dot product:
 
-- weight * weight + residual norm * residual norm (Cauchy-Schwarz), and
-- weight * weight + the rest of the one vector times the other's maximum weight, either way,
+- maximum weight: the weights of the first common term, and the rest of the one vector times the other's
+  maximum weight, either way;
+- residual norms: by Cauchy-Schwarz in each of ``BLOCKS`` blocks of terms, by hash, the sum of the products of
+  the two norms. (Over all terms at once, with equal weights, this bound is implied by the first: the root of x * y
+  is never below the smaller one. In blocks it isn't, as the vectors' words fall into different ones.)
 
-and both bounds prune the postings and again the pairs that meet in a list. Lists are kept apart by
-the size of the training body, so that only sizes that can reach the threshold meet. The pairs left
-get exact dot products.
+Lists are kept apart by the size of the training body, so that only sizes that can reach the threshold meet. The
+pairs left get exact dot products.
 
 Bodies with the same words are one vector: the join runs over classes of equal bodies, whose members
 are joined in at the end.
@@ -28,7 +30,10 @@ from pyspark.sql import functions as F
 
 from siftmark.functions.text import words
 from siftmark.llm.copies import body_of
-from siftmark.runtime import Scratch
+from siftmark.runtime import Scratch, most_frequent
+
+#: Blocks of terms, each with a byte of a packed number; frequent terms whose counts are broadcast.
+BLOCKS, HOT = 8, 4096
 
 
 def _sets(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -42,33 +47,55 @@ def alpha(n: Column, m: Column, share: float) -> Column:
     return F.ceil(F.lit(share) / F.lit(1 + share) * (n + m) - 1e-9)
 
 
-def _bound_ok(n: Column, i: Column, m: Column, j: Column, share: float) -> Column:
-    """Both bounds for vectors whose first common term is at positions i and j (from 0)."""
-    need = alpha(n, m, share)
-    norms = 1 + F.sqrt(((n - i - 1) * (m - j - 1)).cast("double")) >= need - 1e-9
-    maxima = 1 + F.least(n - i - 1, m - j - 1) >= need
-    return norms & maxima
+def _maxima(n: Column, i: Column, m: Column, j: Column, share: float) -> Column:
+    """The bound by maximum weights, for vectors whose first common term is at positions i and j (from 0)."""
+    return 1 + F.least(n - i - 1, m - j - 1) >= alpha(n, m, share)
+
+
+def _packed(terms: Column) -> Column:
+    """How many terms a vector has in each block, its squared norms there times its size: a byte a block; all bits are
+    set if it has too many terms for that."""
+    block = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(t, F.lit(BLOCKS)) * 8).cast("int"))
+    return F.when(F.size(terms) < 128, F.aggregate(terms, F.lit(0).cast("long"), lambda s, t: s + block(t))).otherwise(F.lit(-1).cast("long"))
+
+
+def _norms(a: Column, n: Column, b: Column, m: Column, share: float) -> Column:
+    """The bound by norms in blocks."""
+    part = lambda x, k: F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)).cast("double")
+    total = sum((F.sqrt(part(a, k) * part(b, k)) for k in range(1, BLOCKS)), F.sqrt(part(a, 0) * part(b, 0)))
+    return (a == -1) | (b == -1) | (total >= alpha(n, m, share) - 1e-9)
+
+
+def met(left: DataFrame, right: DataFrame, share: float) -> DataFrame:
+    """(l, n, i, a, r, m, j, b) of ordered vectors (set, n, terms, norms) for each list in which two meet: their names,
+    sizes, the term's positions, and packed norms."""
+    # A partner has between share * n and n / share words; the shortest leaves the longest prefix.
+    least = alpha(F.col("n"), F.ceil(F.col("n") * share - 1e-9), share)
+    post = right.select(F.col("set").alias("r"), F.col("n").alias("m"), F.col("norms").alias("b"), F.posexplode(F.slice("terms", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("j", "t"))
+    sizes = F.sequence(F.ceil(F.col("n") * share - 1e-9).cast("int"), F.floor(F.col("n") / share + 1e-9).cast("int"))
+    ask = left.select(F.col("set").alias("l"), "n", "terms", F.col("norms").alias("a"), F.explode(sizes).alias("m"))
+    ask = ask.select("l", "n", "m", "a", F.posexplode(F.slice("terms", F.lit(1), F.greatest(F.lit(0), F.col("n") - alpha(F.col("n"), F.col("m"), share) + 1).cast("int"))).alias("i", "t"))
+    return ask.join(post, ["t", "m"])
 
 
 def overlapping_sets(left: DataFrame, right: DataFrame, share: float, scratch: Scratch) -> DataFrame:
     """(l, r, dot): the classes of (set, terms) whose sets of words share at least ``share``."""
-    # Rarity is counted over the classes of both sides; the most frequent terms need no count, as those
-    # without one come last in the order.
+    # Rarity is counted over the classes of both sides. The counts of the most frequent terms, a bounded number, are
+    # broadcast, so that no word's rows gather in one task.
     counted = left.unionByName(right).select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    counted = scratch.keep(counted, "counts")
+    hot = F.broadcast(most_frequent(counted, "df", HOT))
 
     def ordered(side: DataFrame) -> DataFrame:
         n = F.size("terms")
-        rows = side.select("set", n.alias("n"), F.explode("terms").alias("t")).join(counted, "t")
-        return rows.groupBy("set", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o")).select("set", "n", F.transform("o", lambda x: x["t"]).alias("terms"))
+        rows = side.select("set", n.alias("n"), F.explode("terms").alias("t"))
+        rows = rows.join(hot, "t").unionByName(rows.join(hot.select("t"), "t", "left_anti").join(counted, "t"))
+        whole = rows.groupBy("set", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o")).select("set", "n", F.transform("o", lambda x: x["t"]).alias("terms"))
+        return whole.withColumn("norms", _packed(F.col("terms")))
 
     lo, ro = scratch.keep(ordered(left), "left"), scratch.keep(ordered(right), "right")
-    # A partner has between share * n and n / share words; the shortest leaves the longest prefix.
-    least = alpha(F.col("n"), F.ceil(F.col("n") * share - 1e-9), share)
-    post = ro.select(F.col("set").alias("r"), F.col("n").alias("m"), F.posexplode(F.slice("terms", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("j", "t"))
-    sizes = F.sequence(F.ceil(F.col("n") * share - 1e-9).cast("int"), F.floor(F.col("n") / share + 1e-9).cast("int"))
-    ask = lo.select(F.col("set").alias("l"), "n", "terms", F.explode(sizes).alias("m"))
-    ask = ask.select("l", "n", "m", F.posexplode(F.slice("terms", F.lit(1), F.greatest(F.lit(0), F.col("n") - alpha(F.col("n"), F.col("m"), share) + 1).cast("int"))).alias("i", "t"))
-    pairs = ask.join(post, ["t", "m"]).where(_bound_ok(F.col("n"), F.col("i"), F.col("m"), F.col("j"), share)).select("l", "r").distinct()
+    n, i, m, j = (F.col(c) for c in "nimj")
+    pairs = met(lo, ro, share).where(_maxima(n, i, m, j, share) & _norms(F.col("a"), n, F.col("b"), m, share)).select("l", "r").distinct()
     full = pairs.join(lo.select(F.col("set").alias("l"), F.col("terms").alias("a")), "l").join(ro.select(F.col("set").alias("r"), F.col("terms").alias("b")), "r")
     common = F.size(F.array_intersect("a", "b"))
     n, m = F.size("a"), F.size("b")

@@ -471,3 +471,23 @@ def test_labels_do_not_depend_on_the_size_of_the_table(spark, sf):
     model = subjects.fit(spark.createDataFrame(docs), examples)
     whole = model.classify([r.text for r in docs], [r.source for r in docs])
     assert all((model.classify([r.text], [r.source]) == whole[i]).all() for i, r in enumerate(docs[:20]))
+
+
+def test_each_bound_prunes(spark):
+    """Pairs that meet in a list and aren't above the threshold: each bound rejects some that the other lets pass, and
+    none rejects a pair above it."""
+    rng = np.random.default_rng(8)
+    base = [set(rng.choice(80, rng.integers(6, 22), replace=False).tolist()) for _ in range(120)]
+    near_ = [set(rng.permutation(sorted(s))[1:].tolist()) | {int(rng.integers(80))} for s in base]
+    df = {t: sum(t in s for s in base + near_) for t in range(80)}
+
+    def frame(sets):
+        rows = [(i, len(s), sorted((int(np.int64(t * 7919)) for t in s), key=lambda x: (df[x // 7919], x))) for i, s in enumerate(sets)]
+        return spark.createDataFrame(rows, "set long, n int, terms array<long>").withColumn("norms", overlaps._packed(F.col("terms")))
+
+    n, i, m, j = (F.col(c) for c in "nimj")
+    got = overlaps.met(frame(base), frame(near_), 0.75).select("l", "r", overlaps._maxima(n, i, m, j, 0.75).alias("x"), overlaps._norms(F.col("a"), n, F.col("b"), m, 0.75).alias("y")).collect()
+    assert sum(not r.x and r.y for r in got) > 20 and sum(r.x and not r.y for r in got) > 20
+    passed = {(r.l, r.r) for r in got if r.x and r.y}
+    want = {(a, b) for a, s in enumerate(base) for b, t in enumerate(near_) if len(s & t) >= 0.75 * len(s | t)}
+    assert want and want <= passed
