@@ -96,13 +96,15 @@ class Pieces:
             inside = doc_of[: len(r)] == doc_of[n - 1 : n - 1 + len(r)]
             at = np.searchsorted(hashes, r)
             hit = np.flatnonzero(inside & (hashes[np.minimum(at, len(hashes) - 1)] == r))
-            for p in hit.tolist():
-                d, j = int(doc_of[p]), int(at[p])
-                while j < len(hashes) and hashes[j] == r[p]:
-                    key = (d, int(item[j]))
-                    if key not in done and self._verified(doc, p, j, lo[d], hi[d], item, start, offset, size):
-                        done.add(key)
-                    j += 1
+            # each piece once a document and place in the window, with all items that have it
+            _, one = np.unique(doc_of[hit] * len(hashes) + at[hit], return_index=True) if not self.budget else (None, np.arange(len(hit)))
+            hit, first = hit[one], at[hit[one]]
+            many = np.searchsorted(hashes, r[hit], side="right") - first
+            j = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            p = np.repeat(hit, many)
+            for d, k, x, y in zip(doc_of[p].tolist(), item[j].tolist(), p.tolist(), j.tolist()):
+                if (d, k) not in done and self._verified(doc, x, y, lo[d], hi[d], item, start, offset, size):
+                    done.add((d, k))
         return sorted(done)
 
     def _verified(self, doc, p, j, lo, hi, item, start, offset, size) -> bool:
@@ -116,15 +118,18 @@ def _hashed(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias(name), F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("h"))
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """The items, a bounded number of words at a time; an item longer than that is a block by itself."""
+def _blocks(items: DataFrame, window: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The items, a bounded number of words at a time. A longer item comes in parts, which overlap so that each of its
+    windows is whole in one of them."""
     block, n = [], 0
     for row in items.toLocalIterator():
-        block.append((row.item_id, np.array(row.h, np.int64).view(np.uint64)))
-        n += len(row.h)
-        if n >= BLOCK_WORDS:
-            yield block
-            block, n = [], 0
+        h = np.array(row.h, np.int64).view(np.uint64)
+        for s in range(0, max(1, len(h) - window + 1), BLOCK_WORDS):
+            block.append((row.item_id, h[s : s + BLOCK_WORDS + window - 1]))
+            n += len(block[-1][1])
+            if n >= BLOCK_WORDS:
+                yield block
+                block, n = [], 0
     if block:
         yield block
 
@@ -142,7 +147,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 12, budget: int
     hashed = _hashed(docs, "doc_id", "text", "doc_id").where(F.size("h") > 0).dropna(subset=["doc_id"])
     asked = _hashed(items, "item_id", "text", "item_id").where(F.size("h") > 0).dropna(subset=["item_id"])
     out = spark.createDataFrame([], schema)
-    for block in _blocks(asked):
+    for block in _blocks(asked, window):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -24,17 +24,15 @@ The frequencies broadcast are those of the ``COMMON`` most frequent words: 12 by
 from __future__ import annotations
 
 import math
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.runtime import Scratch, broadcast_if_small
+from siftmark.functions.text import words
+from siftmark.runtime import Scratch, broadcast_if_small, most_frequent
 
 COMMON, LIGHT, DEPTH = 65_536, 2_048, 3
 #: Sizes whose ratio is at least this are nearly the same. The kinds of the signatures for other pairs.
@@ -43,7 +41,7 @@ _FAR = np.uint64(0x5851F42D4C957F2D)
 #: Sets that a task remembers at most; beyond that, it may send a set's signatures again.
 SEEN = 500_000
 #: Keys of candidates that are broadcast at most (8 bytes each); more of them are joined by shuffle.
-ASKED = 1_000_000
+ASKED = 250_000
 #: Bits of the map of words; rows of one signature that are paired in a task, and rows that it holds at once.
 MAP, GROUP, CHUNK = 96, 20_000, 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -58,33 +56,11 @@ def passages(raw: DataFrame) -> DataFrame:
     return p.where(F.col("text").isNotNull() & F.col("line").isNotNull()).select((F.col("line") * 100 + F.col("pos")).alias("key"), "text")
 
 
-class _Hashes(dict):
-    """The hash of a word, computed once for each spelling that a task meets."""
-
-    LIMIT = 2_000_000
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass"))
-        return h
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) to (key, id, terms): the different words' hashes, and their sum, mixed, as the set's id."""
-    find, hashes = regex.compile(r"[\p{L}\p{N}]+").findall, _Hashes()
-    for b in batches:
-        keys, sizes, flat = [], [], array("Q")
-        for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
-            s = {hashes[w] for w in find(text)}
-            if s:
-                keys.append(key)
-                sizes.append(len(s))
-                flat.extend(sorted(s))
-        w = np.frombuffer(flat, np.uint64) if flat else np.zeros(0, np.uint64)
-        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        ident = np.add.reduceat(_mixed(w), starts[:-1]) if keys else w
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ident.view(np.int64)), pa.ListArray.from_arrays(pa.array(starts), pa.array(w.view(np.int64)))], ["key", "id", "terms"])
+def word_sets(texts: DataFrame) -> DataFrame:
+    """(key, id, terms): the different words' hashes, sorted, and a hash of them; texts without words are left out."""
+    terms = F.sort_array(F.array_distinct(F.transform(words(F.col("text")), lambda w: F.xxhash64(w))))
+    found = texts.select(F.col("key").cast("long").alias("key"), terms.alias("terms")).where(F.col("key").isNotNull() & (F.size("terms") > 0))
+    return found.select("key", F.xxhash64("terms").alias("id"), "terms")
 
 
 def _mixed(w: np.ndarray) -> np.ndarray:
@@ -115,7 +91,8 @@ class Order:
     def __init__(self, words_: np.ndarray, df: np.ndarray, rows: int):
         by = np.argsort(words_)
         self.words, self.df, self.rows = words_[by], df[by], rows
-        self.rest = int(df.min()) if len(df) >= COMMON else 1
+        # what a word that isn't among them may have at most: the least of them, as all more frequent ones are
+        self.rest = int(df.min()) if len(df) else 1
 
     def df_of(self, w: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -320,11 +297,11 @@ def _split(rows: dict[str, np.ndarray], group: int) -> list[tuple[dict[str, np.n
 
 def _can(a: str, b: str, share: float) -> Column:
     """What the rows of two sets with a common signature allow: map of words, kind, position and size. The
-    map comes first, as it rejects almost all, in whole numbers."""
+    map comes first, as it rejects almost all, in whole numbers. Bits of 32 are counted without the sign's copies."""
     n, m = (F.shiftright(F.col(f"{x}.place"), 24) for x in (a, b))
     i, j = (F.shiftright(F.col(f"{x}.place"), 4).bitwiseAND(F.lit(0xFFFFF)) for x in (a, b))
     c, e = (F.col(f"{x}.place").bitwiseAND(F.lit(15)) for x in (a, b))
-    differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) + F.bit_count(F.col(f"{a}.more").bitwiseXOR(F.col(f"{b}.more")))
+    differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) + F.bit_count(F.col(f"{a}.more").bitwiseXOR(F.col(f"{b}.more")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     few = differ * 1_000_000 <= (n + m) * math.ceil((1 - share) / (1 + share) * 1_000_000)
     need = F.ceil(F.lit(share / (1 + share)) * (n + m) - 1e-9)
     words_ = F.when(c >= LARGE, 1).otherwise(c)
@@ -340,8 +317,8 @@ def near_sets(texts: DataFrame, share: float, group: int = GROUP, chunk: int = C
     """
     spark = texts.sparkSession
     scratch = Scratch(spark, "near")
-    sets = scratch.keep(texts.select(F.col("key").cast("long").alias("key"), "text").dropna().mapInArrow(_sets, "key long, id long, terms array<long>"), "sets", dictionary_mb=16)
-    top = frequencies(sets).orderBy(F.desc("df"), "w").limit(COMMON).toPandas()
+    sets = scratch.keep(word_sets(texts), "sets", dictionary_mb=16)
+    top = most_frequent(scratch.keep(frequencies(sets), "frequencies"), "df", COMMON).toPandas()
     order = spark.sparkContext.broadcast(Order(top.w.to_numpy(np.int64), top.df.to_numpy(np.int64), sets.count()))
     sig = sets.mapInArrow(_signature_rows(order, share), "sig int, key long, bits long, more int, place long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

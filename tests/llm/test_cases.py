@@ -263,6 +263,55 @@ def test_item_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "beta gamma"), (4, "delta alpha")], "item_id long, text string")
     assert pairs(leaks.find_leaks(docs, items)) == {(1, 1), (1, 2), (1, 3)}
+    # an item of more words than a block, of which the last two stand in the text
+    long = spark.createDataFrame([(1, "a b c d e f g h gamma delta"), (2, "a b c d")], "item_id long, text string")
+    for budget, want in ((0, {(1, 1)}), (1, {(1, 1)})):
+        assert pairs(leaks.find_leaks(docs, long, window=2, budget=budget)) >= want
+
+
+def test_window_of_many_items(spark):
+    """A window that 400 items share, in a text that repeats it."""
+    text = " ".join(f"w{i}" for i in range(12))
+    items = spark.createDataFrame([(i, f"x{i} {text}") for i in range(400)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{text} and " * 30), (2, "other words")], "doc_id long, text string")
+    assert pairs(leaks.find_leaks(docs, items)) == {(1, i) for i in range(400)}
+
+
+def test_deletion_variants_of_segments():
+    """The method named for problem 4, as a measured prototype: words as bits, cut by hash into half as many segments as
+    two sets may differ in words, plus one; a segment and its variants with one word left out are signatures. It finds
+    every pair, but candidates grow as the square of the rows where words are few and frequent, which is why
+    ``near`` has other signatures; these find fewer candidates on the same sets."""
+
+    def candidates(sets, share=0.7):
+        by = {}
+        for i, s in enumerate(sets):
+            for m in range(int(len(s) * share), int(len(s) / share) + 2):
+                differ = int((1 - share) / (1 + share) * (len(s) + m) + 1e-9)
+                cuts = differ // 2 + 1
+                for k in range(cuts):
+                    part = frozenset(w for w in s if w * 2654435761 % 97 % cuts == k)
+                    for variant in [part, *(part - {w} for w in part)]:
+                        by.setdefault((min(len(s), m), max(len(s), m), k, variant), set()).add(i)
+        out = set()
+        for members in by.values():
+            m = sorted(members)
+            out.update((a, b) for x, a in enumerate(m) for b in m[x + 1 :])
+        return out
+
+    counts = []
+    for n in (150, 600):
+        rng = np.random.default_rng(n)
+        chance = 1 / np.arange(1, 121)
+        sets = [set(rng.choice(120, rng.integers(8, 20), replace=False, p=chance / chance.sum()).tolist()) for _ in range(n)]
+        sets += [set(sorted(s)[1:]) for s in sets[: n // 10]]
+        got = candidates(sets)
+        want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b]) - 1e-9}
+        assert want <= got  # exact: two sets above the threshold have a segment that differs in one word at most
+        counts.append((len(got), len(want), len(sets) * (len(sets) - 1) // 2))
+    print(counts)
+    assert counts[1][0] > 8 * counts[0][0]  # four times the rows: a steady part of all pairs
+    assert counts[1][0] > 20 * counts[1][1]
 
 
 def test_subjects_edges(spark):
