@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from siftmark.operators.order import numbered
 
+#: Parts of a group whose documents are numbered.
+SALTS = 64
+
 
 def anchors(docs: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` documents (doc) without replacement; all if ``n`` is not between 1 and their number."""
@@ -62,21 +65,38 @@ def _unranked(n: Column, p: Column) -> tuple[Column, Column]:
 
 
 def _drawn(groups: DataFrame, take: Column, total: Column, seed: int) -> DataFrame:
-    """Rows of ``groups`` with p: ``take`` different numbers below ``total``. A group that is taken whole lists
-    all; else an arithmetic progression modulo ``total`` with a step coprime to it, from a hashed start."""
+    """Rows of ``groups`` with p: ``take`` different numbers below ``total``, one from each of ``take`` parts of about
+    equal size, by the hash of its place. A group that is taken whole lists all."""
     listed = groups.withColumn("take", take.cast("long")).withColumn("total", total.cast("long")).where("take > 0")
     rows = listed.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("take") - 1)))
-    start = F.pmod(F.xxhash64("g", F.lit(seed)), F.col("total"))
-    # a large prime is coprime to any smaller number
-    step = F.pmod(F.lit(2_147_483_647).cast("long"), F.col("total"))
-    return rows.withColumn("p", F.pmod(start + F.pmod(F.col("r") * step, F.col("total")), F.col("total")))
+    base, more = F.expr("total div take"), F.col("total") % F.col("take")
+    size = base + (F.col("r") < more).cast("long")
+    first = F.col("r") * base + F.least(F.col("r"), more)
+    return rows.withColumn("p", first + F.pmod(F.xxhash64("g", "r", F.lit(seed)), size))
 
 
-def random_pairs(docs: DataFrame, target: int, seed: int = 42) -> DataFrame:
-    """(a, b): ``target`` different unordered pairs of documents, a before b in the order of hashes.
+def random_pairs(docs: DataFrame, target: int, seed: int = 42, codes: DataFrame | None = None) -> DataFrame:
+    """(a, b): ``target`` different unordered pairs of documents, a before b in the order of hashes. With ``codes``
+    (doc, codes) only pairs whose first codes differ.
 
-    Fails if there are fewer pairs. Pair numbers are drawn, then unranked; no list of pairs is made.
+    Fails if there are fewer pairs. Pair numbers are drawn, then unranked; no list of pairs is made. Where codes
+    must differ, more are drawn by as much as pairs have equal ones.
     """
+    if codes is not None:
+        first = codes.select("doc", F.col("codes")[0].alias("c"))
+        all_ = docs.select("doc").join(first, "doc")
+        s = all_.groupBy("c").agg(F.count("*").alias("s")).agg(F.sum("s").alias("n"), F.sum(F.expr("s * (s - 1) div 2")).alias("same")).first()
+        total = (s.n or 0) * ((s.n or 0) - 1) // 2
+        if target > total - (s.same or 0):
+            raise ValueError(f"{target} pairs wanted of {total - (s.same or 0)}")
+        want = target
+        while True:
+            want = min(total, int(want * total / max(total - s.same, 1) * 1.2) + 16)
+            drawn = random_pairs(all_, want, seed)
+            a, b = first.select(F.col("doc").alias("a"), F.col("c").alias("ca")), first.select(F.col("doc").alias("b"), F.col("c").alias("cb"))
+            found = drawn.join(a, "a").join(b, "b").where("ca <> cb").select("a", "b").orderBy(F.xxhash64("a", "b", F.lit(seed)), "a", "b").limit(target)
+            if want == total or found.count() == target:
+                return found
     n = docs.count()
     total = n * (n - 1) // 2
     if target > total:
@@ -104,7 +124,12 @@ def same_prefix_pairs(codes: DataFrame, level: int, target: int, base_cap: int =
     drawn = _drawn(size, F.least(F.col("n_pairs"), F.lit(cap)), F.col("n_pairs"), seed)
     i, j = _unranked(F.col("s"), F.col("p"))
     pairs = drawn.select("g", i.alias("i"), j.alias("j"))
-    at = rows.withColumn("n", (F.row_number().over(Window.partitionBy("g").orderBy("doc")) - 1).cast("long"))
+    # a group's documents are numbered in parts, shifted by the sizes of the parts before
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(SALTS)))
+    part = salted.groupBy("g", "salt").agg(F.count("*").alias("c"))
+    before = part.select("g", "salt", (F.sum("c").over(Window.partitionBy("g").orderBy("salt")) - F.col("c")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("g", "salt").orderBy("doc")) - 1
+    at = salted.withColumn("r", inside).join(before, ["g", "salt"]).withColumn("n", (F.col("before") + F.col("r")).cast("long"))
     a, b = at.select("g", F.col("n").alias("i"), F.col("doc").alias("a")), at.select("g", F.col("n").alias("j"), F.col("doc").alias("b"))
     found = pairs.join(a, ["g", "i"]).join(b, ["g", "j"]).select("a", "b")
     return found.orderBy(F.xxhash64("a", "b", F.lit(seed)), "a", "b").limit(target)

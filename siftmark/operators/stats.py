@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ def summary_ci(df: DataFrame, value: Column, by: list[str] | None = None) -> Dat
 def empirical_cdf(df: DataFrame, value: Column) -> DataFrame:
     """(value, cdf): each value with its share of values up to it in order; for plots of result tables."""
     v = df.select(value.alias("value")).where(F.col("value").isNotNull())
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    return v.withColumn("cdf", F.row_number().over(Window.orderBy("value")) / n)
+    n = F.broadcast(v.agg(F.count("*").alias("all")))  # one row
+    return numbered(v, [F.col("value")]).crossJoin(n).select("value", ((F.col("n") + 1) / F.col("all")).alias("cdf"))
 
 
 def rank_sums(df: DataFrame, group: Column, value: Column) -> DataFrame:
@@ -67,7 +68,7 @@ def mann_whitney(df: DataFrame, group: Column, value: Column) -> DataFrame:
     """(n_x, n_y, u1, u2, u_min, z_approx, cliffs_delta, cohens_d, mean_diff): rank-sum test of x and y.
 
     Average ranks for ties, variance corrected for ties, z with a continuity correction and without sign.
-    Without variance z is 0. If either group is empty, all but the counts are null.
+    Without variance z is 0 and Cohen's d null. If either group is empty, all but the counts are null.
     """
     s = rank_sums(df, group, value)
     nx, ny = F.col("n_x").cast("double"), F.col("n_y").cast("double")
@@ -76,12 +77,23 @@ def mann_whitney(df: DataFrame, group: Column, value: Column) -> DataFrame:
     var = nx * ny / 12 * (n + 1 - F.col("ties") / (n * (n - 1)))
     z = F.when(var > 0, (F.abs(u1 - nx * ny / 2) - 0.5) / F.sqrt(var)).otherwise(F.lit(0.0))
     pooled = ((nx - 1) * F.col("var_x") + (ny - 1) * F.col("var_y")) / F.nullif(n - 2, F.lit(0.0))
-    d = F.when(pooled > 0, (F.col("mean_x") - F.col("mean_y")) / F.sqrt(pooled)).otherwise(F.lit(0.0))
+    d = F.when(pooled > 0, (F.col("mean_x") - F.col("mean_y")) / F.sqrt(pooled))
     some = (F.col("n_x") > 0) & (F.col("n_y") > 0)
     cols = {"u1": u1, "u2": nx * ny - u1, "u_min": F.least(u1, nx * ny - u1), "z_approx": z, "cliffs_delta": 2 * u1 / (nx * ny) - 1, "cohens_d": d, "mean_diff": F.col("mean_x") - F.col("mean_y")}
     return s.select("n_x", "n_y", *(F.when(some, c).alias(k) for k, c in cols.items()))
 
 
 def p_two_sided(z: float | None) -> float | None:
-    """Two-sided probability of a z value, on the driver: one number of one row."""
+    """Two-sided probability of a z value."""
     return None if z is None else math.erfc(abs(z) / math.sqrt(2))
+
+
+def with_p(tests: DataFrame) -> DataFrame:
+    """The few rows of ``mann_whitney`` with p_two_sided_approx after z_approx. The engine has no error function."""
+
+    @F.pandas_udf("double")
+    def p(z: pd.Series) -> pd.Series:
+        return z.map(lambda x: p_two_sided(None if pd.isna(x) else x))
+
+    at = tests.columns.index("z_approx") + 1
+    return tests.select(*tests.columns[:at], p("z_approx").alias("p_two_sided_approx"), *tests.columns[at:])

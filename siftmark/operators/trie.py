@@ -32,9 +32,11 @@ def beam_search(queries: DataFrame, trie: DataFrame, score: DataFrame, levels: i
     state = queries.select("query", F.array().cast("array<int>").alias("codes"), F.lit(0.0).alias("total"))
     order = Window.partitionBy("query").orderBy(F.desc("total"), "codes")
     step = trie.select(F.col("prefix").alias("codes"), "next")
+    # all queries start from the empty prefix: its edges, one for each first code, go to the queries
+    root = F.broadcast(step.where(F.size("codes") == 0))
     for level in range(levels):
         at = score.where(F.col("level") == level).select("query", F.col("code").alias("next"), "s")
-        met = state.join(step, "codes", "left").join(at, ["query", "next"], "left")
+        met = state.join(root if level == 0 else step.where(F.size("codes") == level), "codes", "left").join(at, ["query", "next"], "left")
         # a leaf has no edge, and stays as it is
         leaf = F.col("next").isNull()
         met = met.where(leaf | F.col("s").isNotNull())

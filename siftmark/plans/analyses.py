@@ -46,6 +46,14 @@ def _methods(codes: DataFrame, runs: int, seed: int, real: str) -> dict[str, Dat
     return out
 
 
+def _contract(ranks: DataFrame, queries: DataFrame) -> DataFrame:
+    """The report of single queries under its published column names; gt_semid is null if ``queries`` lacks it."""
+    semid = F.col("gt_semid") if "gt_semid" in queries.columns else F.lit(None).cast("string")
+    rows = ranks.join(queries.select("query", semid.alias("gt_semid")), "query")
+    mean = F.col("random_mean") if "random_mean" in ranks.columns else F.lit(None).cast("double")
+    return rows.select(F.col("query").alias("query_index"), "gt_semid", F.col("gold").alias("gt_doc_index"), "gold_rank", F.col("gold_sim").alias("gold_similarity"), F.col("top1_doc").alias("top1_doc_index"), F.col("top1_sim").alias("top1_similarity"), "top1_is_gold", F.col("gap").alias("top1_minus_gold_gap"), F.col("top_mean").alias("top_non_gold_mean_similarity"), mean.alias("random_mean_similarity"))
+
+
 def gold_rank(queries: DataFrame, docs: DataFrame, recall_ks=RECALL_KS, top_n: int = 10, random_docs: int = 1, seed: int = 42) -> dict[str, DataFrame]:
     """Where the gold documents stand: ranks, recall, histogram, summary, gap."""
     n = docs.count()
@@ -68,7 +76,7 @@ def gold_rank(queries: DataFrame, docs: DataFrame, recall_ks=RECALL_KS, top_n: i
     ranks = scratch.keep(ranks, "ranks")
     values = [c for c in ("gold_rank", "gold_sim", "top1_sim", "top_mean", "random_mean", "gap") if c in ranks.columns]
     long = ranks.select(F.explode(F.create_map(*(x for c in values for x in (F.lit(c), F.col(c).cast("double"))))).alias("metric", "value"))
-    return {"per_query": ranks, "recall": metrics.recall_at(ranks, ks), "histogram": metrics.rank_histogram(ranks), "summary": stats.summary(long, F.col("value"), ["metric"]), "gap": metrics.gap_summary(ranks)}
+    return {"per_query": _contract(ranks, queries), "ranks": ranks, "recall": metrics.recall_at(ranks, ks), "histogram": metrics.rank_histogram(ranks), "summary": stats.summary(long, F.col("value"), ["metric"]), "gap": metrics.gap_summary(ranks)}
 
 
 def _prefix(near: DataFrame, anchors: DataFrame, methods: dict[str, DataFrame], ks, levels: int, anchor_codes: bool) -> dict[str, DataFrame]:
@@ -162,7 +170,7 @@ def semanticity(docs: DataFrame, codes: DataFrame, target: int = 100_000, base_c
     rows = []
     for left, right in tests:
         two = sims.where(F.col("pair_type").isin(left, right)).select(F.when(F.col("pair_type") == left, "x").otherwise("y").alias("g"), "sim")
-        r = stats.mann_whitney(two, F.col("g"), F.col("sim"))
+        r = stats.with_p(stats.mann_whitney(two, F.col("g"), F.col("sim")))
         rows.append(r.select(F.lit(left).alias("left"), F.lit(right).alias("right"), *r.columns))
     groups = sampling.prefix_groups(codes, levels)
     return {"summary": stats.summary_ci(sims, F.col("sim"), ["pair_type"]), "significance": reduce(DataFrame.unionByName, rows), "groups": groups}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,10 +20,27 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     lines = spark.read.text(path, wholetext=False).withColumn("n", F.monotonically_increasing_id())
     lines = lines.where(py_strip(F.col("value")) != "")
     # without this mode a broken line would come out as nulls
-    parsed = lines.select(F.col("n").alias("line_no"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("j"))
+    parsed = lines.select(F.col("n").alias("line_no"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("j"), "value")
+    if schema == QA:
+        raw = F.get_json_object("value", "$.passages.is_selected")
+        parsed = parsed.withColumn("j", F.col("j").withField("passages", F.when(F.col("j.passages").isNotNull(), F.col("j.passages").withField("is_selected", _flags(raw)))))
     return parsed.select("line_no", "j.*")
 
 
+def _flags(raw: Column) -> Column:
+    """Strings of a JSON list of flags by their types, as ``functions.text.is_positive`` takes them: a number that
+    truncates to 1 is ``1``, another ``0``; a string stays as it is; what is neither, nor a boolean, is null."""
+    each = F.from_json(raw, "array<variant>", {"mode": "PERMISSIVE"})
+
+    def one(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        number = F.try_variant_get(v, "$", "double")
+        as_number = F.when((number >= 1) & (number < 2), "1").otherwise("0")
+        return F.when(v.isNull() | (kind == "VOID") | kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.lit(None)).when(kind.isin("STRING", "BOOLEAN"), F.try_variant_get(v, "$", "string")).otherwise(as_number)
+
+    return F.transform(each, one)
+
+
 def json_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     r = spark.read.option("multiLine", True).option("mode", "FAILFAST")
     return (r.schema(schema) if schema else r).json(path)
@@ -39,22 +56,17 @@ def detect_format(spark: SparkSession, path: str) -> str:
     return first.f or "unknown"
 
 
-def splits(spark: SparkSession, paths: dict[str, str]) -> tuple[str, DataFrame]:
-    """(format, rows with split and split_ord) of the files of each split, in the order of ``paths``. All
-    must have one format; one of unknown format gives no rows."""
+def splits(spark: SparkSession, paths: dict[str, str]) -> tuple[dict[str, str], dict[str, DataFrame]]:
+    """(format of each split, rows of each format with split and split_ord), the splits in the order of ``paths``.
+    Splits may have different formats; one of unknown format gives no rows. Both formats are keys of the rows."""
     found = {name: detect_format(spark, p) for name, p in paths.items()}
-    kinds = set(found.values()) - {"unknown"}
-    if len(kinds) > 1:
-        raise ValueError(f"splits of different formats: {found}")
-    kind = kinds.pop() if kinds else "unknown"
-    schema = OPERATION if kind == "operation" else QA
-    parts = [json_lines(spark, p, schema).withColumns({"split": F.lit(s), "split_ord": F.lit(i)}) for i, (s, p) in enumerate(paths.items()) if found[s] != "unknown"]
-    if not parts:
-        return kind, spark.createDataFrame([], f"line_no LONG, {schema}, split STRING, split_ord INT")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return kind, out
+    rows = {}
+    for kind, schema in (("operation", OPERATION), ("qa", QA)):
+        rows[kind] = spark.createDataFrame([], f"line_no LONG, {schema}, split STRING, split_ord INT")
+        for i, (s, p) in enumerate(paths.items()):
+            if found[s] == kind:
+                rows[kind] = rows[kind].unionByName(json_lines(spark, p, schema).withColumns({"split": F.lit(s), "split_ord": F.lit(i)}))
+    return found, rows
 
 
 def qa_corpus(corpus: DataFrame) -> DataFrame:

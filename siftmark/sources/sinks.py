@@ -6,7 +6,7 @@ import json
 import math
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,12 +36,21 @@ def clean(x):
     return None if isinstance(x, float) and not math.isfinite(x) else x
 
 
-def json_report(tables: dict[str, DataFrame], meta: dict, path: str) -> dict:
-    """Writes small result tables and ``meta`` as one JSON file on the driver, and returns it."""
-    report = {"created_at_utc": datetime.now(timezone.utc).isoformat(), **meta, **{k: [r.asDict(True) for r in t.collect()] for k, t in tables.items()}}
+def json_report(tables: dict[str, DataFrame], meta: dict, path: str, most: int = 10_000) -> dict:
+    """Writes small result tables and ``meta`` as one JSON file, anywhere Spark can write, and returns it. A table of
+    more than ``most`` rows is an error: it belongs in ``parquet`` or ``csv_report``."""
+    report = {"created_at_utc": datetime.now(timezone.utc).isoformat(), **meta}
+    for name, t in tables.items():
+        rows = t.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{name} has more than {most} rows")
+        report[name] = [r.asDict(True) for r in rows]
     report = clean(report)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(report, f, indent=2, allow_nan=False)
+    spark = SparkSession.getActiveSession()
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(json.dumps(report, indent=2, allow_nan=False), "utf-8"))
+    out.close()
     return report
 
 

@@ -308,10 +308,24 @@ def test_json_lines(spark, tmp_path):
     with pytest.raises(Exception, match="MALFORMED|malformed|JSON"):
         readers.json_lines(spark, str(bad), readers.OPERATION).collect()
     assert readers.detect_format(spark, str(bad)) == "unknown"
-    kind, all_rows = readers.splits(spark, {"train": str(p), "test": str(p), "valid": str(bad)})
-    assert kind == "operation" and sorted((r.split, r.split_ord) for r in all_rows.collect()) == [("test", 1)] * 2 + [("train", 0)] * 2
-    with pytest.raises(ValueError):
-        readers.splits(spark, {"train": str(p), "test": str(q)})
+    kinds, all_rows = readers.splits(spark, {"train": str(p), "test": str(p), "valid": str(bad)})
+    assert kinds == {"train": "operation", "test": "operation", "valid": "unknown"} and not all_rows["qa"].collect()
+    assert sorted((r.split, r.split_ord) for r in all_rows["operation"].collect()) == [("test", 1)] * 2 + [("train", 0)] * 2
+    # splits of different formats
+    one_qa = tmp_path / "d.jsonl"
+    one_qa.write_text(q.read_text().splitlines()[-1])
+    kinds, all_rows = readers.splits(spark, {"train": str(p), "test": str(one_qa)})
+    assert kinds == {"train": "operation", "test": "qa"} and all_rows["operation"].count() == 2 and [r.query for r in all_rows["qa"].collect()] == ["q"]
+
+
+def test_json_flags(spark, tmp_path):
+    """What counts as selected, by the JSON type of the flag."""
+    flags = '[true, 1, 1.0, 1.9, " true ", "True", "1", false, 0, 2, "TRUE", "1.0", null, [1], {"a": 1}, -1, 0.9]'
+    texts = str([f"t{i}" for i in range(17)]).replace("'", '"')
+    p = tmp_path / "q.jsonl"
+    p.write_text(f'{{"query": " q ", "passages": {{"passage_text": {texts}, "is_selected": {flags}, "url": []}}}}\n{{"query": "r", "passages": null}}\n{{"query": "s", "passages": {{"passage_text": ["x"]}}}}\n')
+    rows = readers.splits(spark, {"train": str(p)})[1]["qa"]
+    assert sorted(r.text for r in ingest.qa_pairs(rows).collect()) == [f"t{i}" for i in range(7)]
 
 
 def test_other_sources(spark, tmp_path):
