@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from siftmark.functions.text import rqid, rqid_codes
 from siftmark.operators import ingest, knn, metrics, models, rq, sampling, samples, stats, trie
-from siftmark.plans import frames
+from siftmark.plans import frames, pipeline
 from siftmark.plans.oracle import ORACLE
 from siftmark.runtime import Scratch, table
-from siftmark.sources import readers
+from siftmark.sources import readers, sinks
 from siftmark.streaming import ingest as stream
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -105,6 +105,44 @@ def rq_kmeans_codes(spark, d):
     return rq.assign(docs, books).select("doc", rqid(F.col("codes")).alias("rqid"))
 
 
+def _as_files(spark, d):
+    """The raw rows as JSON line files: train and test as questions, valid in the operation format."""
+    root = Scratch(spark, "files").root
+    qa = table(spark, d, "raw_qa")
+    for split in ("train", "test"):
+        sinks.json_samples(qa.where(F.col("split") == split).select("query", "passages"), f"{root}/{split}")
+    pairs = ingest.qa_pairs(qa.where("split = 'valid'"))
+    rows = pairs.select(F.lit("indexing").alias("operation"), "doc_id", "text").unionByName(pairs.select(F.lit("query").alias("operation"), "doc_id", F.col("query").alias("text")))
+    sinks.json_samples(rows, f"{root}/valid")
+    return {s: f"{root}/{s}" for s in ("train", "valid", "test")}
+
+
+@query
+def files_scan(spark, d):
+    """The pairs of all splits, written as JSON lines of two formats and read again."""
+    return pipeline.loaded(spark, _as_files(spark, d))[1].select("split", "query", "doc_id")
+
+
+@query
+def files_documents(spark, d):
+    """The documents of the same files, each once."""
+    return pipeline.loaded(spark, _as_files(spark, d))[0].select("doc_id", "split")
+
+
+@query
+def files_formats(spark, d):
+    """The format that is found in each file."""
+    found = {s: readers.detect_format(spark, p) for s, p in _as_files(spark, d).items()}
+    return spark.createDataFrame(sorted(found.items()), "split string, format string")
+
+
+@query
+def codes_from_ids(spark, d):
+    """Codes by document where only identifiers are there."""
+    ids = table(spark, d, "semid_to_rqid").where("rqid is not null").select(F.col("doc_id").alias("doc"), "rqid")
+    return readers.codes(None, ids).select(F.col("doc").alias("doc_id"), F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
+
+
 @query
 def rqid_parse(spark, d):
     rows = table(spark, d, "train_samples").where("output is not null")
@@ -420,7 +458,9 @@ def encoded_documents(spark, d):
 
 @query
 def generate_pseudo_queries(spark, d):
-    return models.pseudo_queries(table(spark, d, "documents"), ["doc_id"], "text", models.SpanGenerator()).select("doc_id", F.size("pseudo_queries").alias("n"))
+    """How many, and the texts, with a bar between them."""
+    made = models.pseudo_queries(table(spark, d, "documents"), ["doc_id"], "text", models.SpanGenerator())
+    return made.select("doc_id", F.size("pseudo_queries").cast("long").alias("n"), F.array_join("pseudo_queries", "|").alias("queries"))
 
 
 @query

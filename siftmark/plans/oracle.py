@@ -8,6 +8,7 @@ from siftmark.operators.metrics import RANK_BUCKETS, bin_edges
 from siftmark.operators.sampling import caps
 
 _SP = "||".join(f"chr({ord(c)})" for c in PY_SPACE)
+_SPACES = "".join(f"\\x{{{ord(c):x}}}" for c in PY_SPACE)
 KS = "(VALUES (10::BIGINT), (50), (100)) AS t(k)"
 L4 = range(1, 5)
 
@@ -169,6 +170,11 @@ SELECT nx::BIGINT AS n_x, ny::BIGINT AS n_y, round(u1, 6) AS u1, round(nx * ny -
     "trie_allowed": f"WITH {CODES}, {_TRIE}, asked AS (SELECT DISTINCT codes[1:n] AS prefix FROM (SELECT codes, unnest(range(len(codes) + 1)) AS n FROM codes)) SELECT array_to_string(a.prefix, ',') AS prefix, t.next::BIGINT AS next FROM asked a LEFT JOIN trie t ON a.prefix = t.prefix",
     "beam_search": _beam() + " SELECT query, rank, rqid, total FROM beams",
     "hits_at_k": _beam() + f", gold AS (SELECT query_idx AS query, '<r0_' || codes[1] || '> <r1_' || codes[2] || '> <r2_' || codes[3] || '> <r3_' || codes[4] || '>' AS gold FROM tq), pos AS (SELECT g.query, min(b.rank) AS rank FROM gold g LEFT JOIN beams b ON b.query = g.query AND b.rqid = g.gold GROUP BY 1) SELECT k, round(avg(coalesce(rank <= k, false)::INT), 4) AS hits FROM pos CROSS JOIN (VALUES (1::BIGINT), (5), (10)) AS t(k) GROUP BY k",
+    "files_scan": f"WITH {_PAIRS} SELECT split, query, doc_id FROM pairs",
+    "files_documents": f"WITH {_PAIRS} SELECT doc_id, split FROM first_docs",
+    "files_formats": "SELECT * FROM (VALUES ('test', 'qa'), ('train', 'qa'), ('valid', 'operation')) t(split, format)",
+    "codes_from_ids": "SELECT doc_id, array_to_string(regexp_extract_all(rqid, '<r[0-9]+_([0-9]+)>', 1), ',') AS codes FROM semid_to_rqid WHERE rqid IS NOT NULL",
+    "generate_pseudo_queries": f"WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[{_SPACES}]+'), lambda x: x <> '') AS w FROM documents), q AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE list_transform(range(5), lambda i: array_to_string(w[len(w) * i // 5 + 1:len(w) * i // 5 + 6], ' ')) END AS q FROM w) SELECT doc_id, len(q) AS n, array_to_string(q, '|') AS queries FROM q",
     "encode_documents": "SELECT doc_id, 64 AS dim FROM documents",
     "stream_ingest": f"WITH {_PAIRS} SELECT doc_id FROM first_docs",
 }
