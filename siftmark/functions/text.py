@@ -63,6 +63,11 @@ def rqid(codes: Column) -> Column:
     return F.array_join(F.transform(codes, lambda c, i: F.concat(F.lit("<r"), i.cast("string"), F.lit("_"), c.cast("string"), F.lit(">"))), " ")
 
 
+def rqid_tokens(levels: int, codes: int) -> list[str]:
+    """The tokens that identifiers are made of, in order: what a tokenizer has to add to its vocabulary."""
+    return [f"<r{level}_{c}>" for level in range(levels) for c in range(codes)]
+
+
 def rqid_codes(text: Column) -> Column:
     """The codes of an rqid; a text without any gives an error, null gives null."""
     found = F.regexp_extract_all(text, F.lit(r"<r[0-9]+_([0-9]+)>"), F.lit(1)).cast("array<int>")

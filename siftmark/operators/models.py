@@ -4,12 +4,13 @@ stand-ins for tests. Real models plug in through the same protocols."""
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,6 +41,40 @@ class HashingEncoder:
         return out / np.where(n == 0, 1, n)[:, None]
 
 
+def last_states(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Of a batch of token states (texts x tokens x dimensions) the state of each text's last token, by the attention
+    mask: the last place where all texts end there (padding on the left), else the last place that isn't padding."""
+    if len(mask) and mask[:, -1].all():
+        return states[:, -1]
+    return states[np.arange(len(states)), np.maximum(mask.sum(1) - 1, 0)]
+
+
+class PooledEncoder:
+    """An encoder from ``model``, which maps a list of texts to (states, mask): states of the last tokens, of
+    length one. Texts are taken ``batch`` at a time."""
+
+    def __init__(self, model: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], batch: int = 128):
+        self.model, self.batch = model, batch
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        parts = [last_states(*self.model(texts[s : s + self.batch])) for s in range(0, len(texts), self.batch)]
+        v = np.concatenate(parts).astype(np.float64) if parts else np.zeros((0, 1))
+        return v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+
+
+def best_checkpoint(spark: SparkSession, folder: str) -> str | None:
+    """What the last training state below ``folder`` (checkpoint-*/trainer_state.json, by name) calls the best
+    checkpoint; None without any."""
+    try:
+        rows = spark.read.option("multiLine", True).schema("best_model_checkpoint string").json(f"{folder}/checkpoint-*/trainer_state.json")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    last = rows.select("best_model_checkpoint", F.input_file_name().alias("f")).agg(F.max_by(F.coalesce("best_model_checkpoint", F.lit("")), "f").alias("best")).first()
+    return last.best or None
+
+
 class SpanGenerator:
     """Spans of words at fixed places of the text; none for a text without words."""
 

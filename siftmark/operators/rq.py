@@ -14,6 +14,8 @@ from siftmark.runtime import Scratch
 
 #: Codebook entries (levels x codes x dimensions) that are sent to every task.
 MAX_ENTRIES = 8_000_000
+#: How far, in parts of their length, the centres of a split cluster move.
+SPLIT = 1 / 1024
 
 
 def codebook_arrays(codebooks: DataFrame) -> list[np.ndarray]:
@@ -23,6 +25,10 @@ def codebook_arrays(codebooks: DataFrame) -> list[np.ndarray]:
         raise ValueError(f"codebooks of {n} entries; at most {MAX_ENTRIES}")
     rows = codebooks.select("level", "code", "centroid").orderBy("level", "code").collect()
     levels = sorted({r.level for r in rows})
+    for level in levels:
+        found = [r.code for r in rows if r.level == level]
+        if found != list(range(len(found))):
+            raise ValueError(f"codes of level {level} are not 0, 1, ...: a gap or a code twice")
     return [np.array([r.centroid for r in rows if r.level == level], np.float64) for level in levels]
 
 
@@ -62,8 +68,8 @@ def lloyd(points: DataFrame, k: int, rounds: int = 20, seed: int = 42) -> np.nda
     """Centres (k x dimensions) of k-means on ``points`` (doc, v), by distributed Lloyd rounds.
 
     Each round is one map-side pass with the centres in every task and one small aggregate of k sums. The
-    first centres are points chosen by the hash of their id; a centre without points keeps its place.
-    Fewer than k points give as many centres.
+    first centres are points chosen by the hash of their id; a centre without points takes half of the largest
+    cluster: both centres move a little apart. Fewer than k points give as many centres.
     """
     sc = points.sparkSession.sparkContext
     first = points.orderBy(F.xxhash64("doc", F.lit(seed)), "doc").limit(k).select("v").collect()
@@ -83,7 +89,9 @@ def lloyd(points: DataFrame, k: int, rounds: int = 20, seed: int = 42) -> np.nda
                 for s in range(0, len(x), 4096):
                     part = x[s : s + 4096]
                     near = ((c * c).sum(1)[None, :] - 2 * part @ c.T).argmin(1)
-                    np.add.at(total, near, part)
+                    order = np.argsort(near, kind="stable")
+                    first = np.flatnonzero(np.r_[True, np.diff(near[order]) > 0])
+                    total[near[order[first]]] += np.add.reduceat(part[order], first, axis=0)
                     n += np.bincount(near, minlength=len(c))
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(total[at].tolist(), pa.list_(pa.float64()))], ["c", "n", "s"])
@@ -92,6 +100,15 @@ def lloyd(points: DataFrame, k: int, rounds: int = 20, seed: int = 42) -> np.nda
         new = centres.copy()
         rows = sums.select("c", "n", F.posexplode("s").alias("p", "s")).groupBy("c", "p").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).toPandas()
         new[rows.c.to_numpy(int), rows.p.to_numpy(int)] = rows.s.to_numpy() / rows.n.to_numpy()
+        size = np.zeros(len(new))
+        size[rows.c.to_numpy(int)] = rows.n.to_numpy()
+        apart = 1 + np.where(np.arange(new.shape[1]) % 2, SPLIT, -SPLIT)
+        for c in np.flatnonzero(size == 0):
+            j = int(size.argmax())
+            if size[j] < 2:
+                break
+            new[c], new[j] = new[j] * apart, new[j] * (2 - apart)
+            size[c] = size[j] = size[j] / 2
         moved = np.abs(new - centres).max()
         centres = new
         if moved < 1e-12:

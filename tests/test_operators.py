@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -446,3 +447,65 @@ def test_same_prefix_summary_has_far_pairs(spark, sf):
     got = {r.pair_type: r.n_pairs for r in catalogue.QUERIES["same_prefix_summary"](spark, sf).collect()}
     assert {k: v for k, v in got.items() if k != "random_all"} == {k: v for k, v in want.items() if v}
     assert len(catalogue.QUERIES["same_prefix_tests"](spark, sf).collect()) == 4
+
+
+def test_tokens_checkpoints_and_pooling(spark, tmp_path):
+    from siftmark.functions.text import rqid_tokens
+
+    assert rqid_tokens(2, 2) == ["<r0_0>", "<r0_1>", "<r1_0>", "<r1_1>"]
+    assert models.best_checkpoint(spark, str(tmp_path)) is None
+    for name, best in (("checkpoint-10", "x"), ("checkpoint-20", "y")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "trainer_state.json").write_text('{"best_model_checkpoint": "%s", "epoch": 1}' % best)
+    assert models.best_checkpoint(spark, str(tmp_path)) == "y"
+    states = np.arange(24.0).reshape(2, 4, 3)
+    left, right = np.array([[0, 1, 1, 1], [1, 1, 1, 1]]), np.array([[1, 1, 0, 0], [1, 1, 1, 1]])
+    assert (models.last_states(states, left) == states[:, -1]).all()
+    assert (models.last_states(states, right) == states[[0, 1], [1, 3]]).all()
+    enc = models.PooledEncoder(lambda t: (np.ones((len(t), 2, 4)), np.ones((len(t), 2), int)), 2)
+    assert np.allclose(enc(["a", "b", "c"]), 0.5) and enc([]).shape[0] == 0
+
+
+def test_empty_centres_and_gaps(spark):
+    """Nine copies of one point and one other: no centre stays empty while a cluster can be split."""
+    rows = [(i, [1.0, 2.0 + 0.01 * i]) for i in range(40)] + [(100, [50.0, 50.0])]
+    c = rq.lloyd(spark.createDataFrame(rows, "doc long, v array<double>"), 6, 10)
+    x = np.array([v for _, v in rows])
+    near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+    assert len(np.unique(near)) == 6
+    books = spark.createDataFrame([(0, 0, [1.0]), (0, 2, [2.0])], "level int, code int, centroid array<double>")
+    with pytest.raises(ValueError, match="gap"):
+        rq.codebook_arrays(books)
+
+
+def test_plans_without_hot_keys(spark):
+    """No window over a whole table or a whole prefix group, and no query key at the root of the trie."""
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+
+    cdf = plan(stats.empirical_cdf(spark.range(100).select(F.col("id").cast("double").alias("v")), F.col("v")))
+    windows = [x for x in cdf.splitlines() if "Window [" in x]
+    assert windows and all("__part" in x for x in windows)
+    edges = trie.edges(spark.createDataFrame([([1, 2],), ([1, 3],)], "codes array<int>"))
+    q = spark.createDataFrame([(1,), (2,)], "query long")
+    score = spark.createDataFrame([(i, 0, 1, 0.5) for i in (1, 2)], "query long, level int, code int, s double")
+    assert "BroadcastNestedLoopJoin" in (p := plan(trie.beam_search(q, edges, score, 1))) or "BroadcastHashJoin" in p
+
+
+def test_strata_of_pair_numbers(spark):
+    """Drawn pairs are spread over all documents: of 2,000 among 1,000, each tenth of the documents has about a tenth."""
+    docs = spark.range(1000).select(F.col("id").alias("doc"))
+    got = one(sampling.random_pairs(docs, 2000))
+    assert len({frozenset(p) for p in got}) == 2000
+    each = np.bincount([x // 100 for p in got for x in p], minlength=10)
+    assert each.min() > 300 and each.max() < 500
+    codes = docs.select("doc", F.array((F.col("doc") % 3).cast("int")).alias("codes"))
+    other = one(sampling.random_pairs(docs, 500, codes=codes))
+    assert len({frozenset(p) for p in other}) == 500 and all(a % 3 != b % 3 for a, b in other)
+    with pytest.raises(ValueError):
+        sampling.random_pairs(docs.limit(3), 4, codes=codes)
+    one_group = spark.range(3000).select(F.col("id").alias("doc"), F.array(F.lit(1)).alias("codes"))
+    same = one(sampling.same_prefix_pairs(one_group, 1, 1500))
+    each = np.bincount([x // 300 for p in same for x in p], minlength=10)
+    assert len({frozenset(p) for p in same}) == 1500 and each.min() > 220 and each.max() < 390
