@@ -162,28 +162,22 @@ def _local(least: float):
         mx, qx = np.searchsorted(ids, g.mi), np.searchsorted(ids, g.qi)
         a, b, w, some = [], [], [], []
 
-        def blocks(q: np.ndarray, m: np.ndarray):
-            step = max(16, min(1024, 8_000_000 // len(m)))
-            return (q[s : s + step] for s in range(0, len(q), step))
-
         def add(q: np.ndarray, m: np.ndarray) -> None:
             a.append(qx[q])
             b.append(mx[m])
             w.append(np.einsum("id,id->i", g.qu[q], g.mu[m]))
 
-        for _, m, queries in g.cells:
-            linked = []
-            for q in blocks(queries, m):
-                cos = _linked(q, m, g, least)
-                any_ = (cos > -2).any(1)
-                q, cos = q[any_], cos[any_]
-                if not len(q):
-                    continue
-                linked.append(q)
-                best = np.argpartition(-cos, NEAREST - 1, axis=1)[:, :NEAREST] if len(m) > NEAREST else np.tile(np.arange(len(m)), (len(q), 1))
-                row, col = np.nonzero(np.take_along_axis(cos, best, 1) > -2)
-                add(q[row], m[best[row, col]])
-            some.append((m, np.concatenate(linked) if linked else queries[:0]))
+        for _, members, lo, hi, q in g.blocks(least, 1024):
+            m = members[lo:hi]
+            cos = _linked(q, m, g, least)
+            rows, cols = (cos > -2).any(1), (cos > -2).any(0)
+            q, m, cos = q[rows], m[cols], cos[rows][:, cols]
+            if not len(q):
+                continue
+            some.append((m, q))
+            best = np.argpartition(-cos, NEAREST - 1, axis=1)[:, :NEAREST] if len(m) > NEAREST else np.tile(np.arange(len(m)), (len(q), 1))
+            row, col = np.nonzero(np.take_along_axis(cos, best, 1) > -2)
+            add(q[row], m[best[row, col]])
         if not a:
             return [np.zeros(0), np.zeros(0)]
         while True:
@@ -193,14 +187,13 @@ def _local(least: float):
             label = -1 - np.arange(len(ids))  # a member that nobody's nearest are is alone so far
             label[nodes] = spectral(ids[nodes], at[: len(one)], at[len(one) :], np.concatenate(w)[one])
             more = 0
-            for m, queries in some:  # every link between two clusters is an affinity that was missed
-                for q in blocks(queries, m):
-                    cos = _linked(q, m, g, least)
-                    row, col = np.nonzero((cos > -2) & (label[qx[q]][:, None] != label[mx[m]][None]))
-                    if len(row):
-                        best = _strongest(label, qx[q[row]], mx[m[col]], cos[row, col])
-                        add(q[row[best]], m[col[best]])
-                        more += len(best)
+            for m, q in some:  # every link between two clusters is an affinity that was missed
+                cos = _linked(q, m, g, least)
+                row, col = np.nonzero((cos > -2) & (label[qx[q]][:, None] != label[mx[m]][None]))
+                if len(row):
+                    best = _strongest(label, qx[q[row]], mx[m[col]], cos[row, col])
+                    add(q[row[best]], m[col[best]])
+                    more += len(best)
             if not more:
                 break
         cell, j, i = g.key
@@ -221,8 +214,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def distributed(parts: DataFrame, scratch: Scratch) -> DataFrame | None:
     """(c, label) of the clusters (doc, c) that share documents with others: power iteration and k-means as in
     a group, on vectors that are tables. None if no document is shared."""
-    shared = parts.groupBy("doc").agg(F.collect_set("c").alias("cs")).where(F.size("cs") > 1).select(F.array_sort("cs").alias("cs"))
-    edges = shared.select(F.col("cs")[0].alias("a"), F.explode(F.slice("cs", 2, F.size("cs") - 1)).alias("b")).groupBy("a", "b").agg(F.count("*").cast("double").alias("w"))
+    shared = parts.groupBy("doc").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a < z").select("doc", "a")
+    edges = parts.join(shared, "doc").where("c > a").groupBy("a", F.col("c").alias("b")).agg(F.count("*").cast("double").alias("w"))
     both = scratch.keep(edges.union(edges.select("b", "a", "w")), "both")
     if both.isEmpty():
         return None

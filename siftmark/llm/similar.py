@@ -88,7 +88,7 @@ def shaped(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def scan(q: np.ndarray, codes: np.ndarray, size: np.ndarray, books: np.ndarray, base: np.ndarray) -> np.ndarray:
     """Scores (members x queries): ``base`` (the inner products with the centre) and, times the length of the
     member's residual, one table entry for each of its codes."""
-    tables = np.ascontiguousarray(np.einsum("npw,pcw->pcn", q.reshape(len(q), PARTS, -1), books, optimize=True))
+    tables = np.matmul(books, np.ascontiguousarray(q.reshape(len(q), PARTS, -1).transpose(1, 2, 0)))
     out = tables[0].take(codes[:, 0], axis=0)
     more = np.empty_like(out)
     for p in range(1, PARTS):
@@ -115,37 +115,37 @@ def _may(high: np.ndarray, error: np.ndarray, k: int, least: float) -> np.ndarra
 def _search(k: int, least: float, books: np.ndarray, centres: np.ndarray):
     def f(g: vectors.Group) -> list[np.ndarray]:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for cell, m, queries in g.cells:
-            centre = centres[cell]
-            r, size = shaped(g.m32[m] - centre)
-            codes = encode(g.m32[m], r, books)
-            error = r - np.concatenate([books[p][codes[:, p]] for p in range(PARTS)], 1)
-            error = SURE * size * np.sqrt((error * error).sum(1)) / np.sqrt(r.shape[1])
-            step = max(16, min(512, 4_000_000 // len(m)))
-            for s in range(0, len(queries), step):
-                q = queries[s : s + step]
-                high = scan(g.q32[q], codes, size, books, (g.q32[q] @ centre)[None])
-                high += error[:, None]
-                some = np.flatnonzero(high.max(0) >= least)
-                if not len(some):
-                    continue
-                high, q = high[:, some], q[some]
-                high[g.mi[m][:, None] == g.qi[q][None]] = -9
-                may = _may(high, error, k, least)
-                rows = np.flatnonzero(may.any(1))
-                if not len(rows):  # a query's own row
-                    continue
-                may, exact = may[rows], np.full((len(rows), len(q)), -9.0)
-                if may.sum() > may.size / 20:  # one product of the blocks costs less than many single ones
-                    exact[may] = np.round(g.mu[m[rows]] @ g.qu[q].T, 12)[may]
-                else:
-                    row, col = np.nonzero(may)
-                    exact[row, col] = np.round(np.einsum("id,id->i", g.mu[m[rows[row]]], g.qu[q[col]]), 12)
-                exact[exact < least] = -9
-                for top, side in ((exact >= _kth(exact.T, k)[None], 0), (exact >= _kth(exact, k)[:, None], 1)):
-                    row, col = np.nonzero(top & (exact > -9))
-                    pair = (g.qi[q[col]], g.mi[m[rows[row]]])
-                    found.append((pair[side], pair[1 - side], exact[row, col]))
+        now = -1
+        for cell, members, lo, hi, q in g.blocks(least, 256):
+            if cell != now:  # members are coded once a cell
+                now, centre = cell, centres[cell]
+                r, size = shaped(g.m32[members] - centre)
+                codes = encode(g.m32[members], r, books)
+                lost = r - np.concatenate([books[p][codes[:, p]] for p in range(PARTS)], 1)
+                errors = SURE * size * np.sqrt((lost * lost).sum(1)) / np.sqrt(r.shape[1])
+            m, error = members[lo:hi], errors[lo:hi]
+            high = scan(g.q32[q], codes[lo:hi], size[lo:hi], books, (g.q32[q] @ centre)[None])
+            high += error[:, None]
+            some = np.flatnonzero(high.max(0) >= least)
+            if not len(some):
+                continue
+            high, q = high[:, some], q[some]
+            high[g.mi[m][:, None] == g.qi[q][None]] = -9
+            may = _may(high, error, k, least)
+            rows = np.flatnonzero(may.any(1))
+            if not len(rows):  # a query's own row
+                continue
+            may, exact = may[rows], np.full((len(rows), len(q)), -9.0)
+            if may.sum() > may.size / 20:  # one product of the blocks costs less than many single ones
+                exact[may] = np.round(g.mu[m[rows]] @ g.qu[q].T, 12)[may]
+            else:
+                row, col = np.nonzero(may)
+                exact[row, col] = np.round(np.einsum("id,id->i", g.mu[m[rows[row]]], g.qu[q[col]]), 12)
+            exact[exact < least] = -9
+            for top, side in ((exact >= _kth(exact.T, k)[None], 0), (exact >= _kth(exact, k)[:, None], 1)):
+                row, col = np.nonzero(top & (exact > -9))
+                pair = (g.qi[q[col]], g.mi[m[rows[row]]])
+                found.append((pair[side], pair[1 - side], exact[row, col]))
         return list(_first(found, k))
 
     return f

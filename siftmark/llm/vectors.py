@@ -5,7 +5,7 @@ The cells' centres are fitted on a bounded sample; all rows are put in cells. As
 many cells probes most of them, cells are sent in regions of about ``BLOCK`` members, a vector once to each
 region in which it probes a cell, and meet there cell by cell. A region of any size is cut into member
 blocks and query blocks of bounded size, and each pair of blocks is one group: no task gets more than
-``BLOCK`` members and four times as many queries, whatever part of all rows one cell holds.
+1.5 * ``BLOCK`` members and four times as many queries, whatever part of all rows one cell holds.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.llm.copies import several
-from siftmark.runtime import Scratch
+from siftmark.runtime import Scratch, broadcast_if_small
 
 #: Rows of the sample that cells and codebooks are fitted on at most, cells, rows of a block.
 SAMPLE, MAX_CELLS, BLOCK = 262_144, 16_384, 16_384
@@ -32,8 +32,10 @@ BORDER = 0.2**0.5 / 2 + 1e-4
 
 def usable(rows: DataFrame, id_col: str, vector_col: str, dim: int = 64) -> DataFrame:
     """(doc, v): the rows with ``dim`` finite entries that are not all zero, and an id."""
-    v = F.col("v")
-    ok = (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
+    v, inf = F.col("v"), F.lit(float("inf")).cast("float")
+    least, most = F.array_min(v), F.array_max(v)
+    # to look for a value in a list with nulls gives null; NaN is the largest number
+    ok = (F.size(v) == dim) & (F.array_contains(v, inf) == F.lit(False)) & ~F.isnan(most) & (least > -inf) & ((least != 0) | (most != 0))
     return rows.select(F.col(id_col).cast("long").alias("doc"), F.col(vector_col).cast("array<float>").alias("v")).where("doc is not null and v is not null").where(ok)
 
 
@@ -154,7 +156,7 @@ def meetings(vectors: DataFrame, cells: Cells, scratch: Scratch) -> DataFrame:
     kept = scratch.keep(vectors.mapInArrow(placed, "doc long, regions array<int>, v array<float>"), "placed")
     at = kept.select("doc", "v", F.posexplode("regions").alias("p", "cell")).withColumn("own", F.col("p") == 0)
     # the sizes of at most MAX_CELLS regions
-    sizes = {r.cell: (-(-r.own // BLOCK) or 1, -(-r.all // (4 * BLOCK))) for r in at.groupBy("cell").agg(F.sum(F.col("own").cast("int")).alias("own"), F.count("*").alias("all")).collect()}
+    sizes = {r.cell: (max(1, round(r.own / BLOCK)), max(1, round(r.all / (4 * BLOCK)))) for r in at.groupBy("cell").agg(F.sum(F.col("own").cast("int")).alias("own"), F.count("*").alias("all")).collect()}
     large = {c: s for c, s in sizes.items() if s != (1, 1)}
     h = F.xxhash64("doc", F.lit(11))
     if not large:
@@ -203,7 +205,27 @@ class Group:
                 asked[k].append(row[order[cut[k] : cut[k + 1]]] + s)
         order = np.argsort(own, kind="stable")
         cut = np.searchsorted(own[order], np.arange(len(here) + 1))
-        self.cells = [(int(here[k]), order[cut[k] : cut[k + 1]], np.concatenate(asked[k])) for k in range(len(here)) if cut[k] < cut[k + 1] and asked[k]]
+        self.cells: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            if asked[k]:
+                centre = c.centres[here[k]].astype(np.float64)
+                centre /= np.sqrt(centre @ centre)
+                m, q = order[cut[k] : cut[k + 1]], np.concatenate(asked[k])
+                am, aq = (np.arccos(np.clip(x @ centre, -1, 1)) for x in (self.mu[m], self.qu[q]))
+                i, j = np.argsort(am, kind="stable"), np.argsort(aq, kind="stable")
+                self.cells.append((int(here[k]), m[i], am[i], q[j], aq[j]))
+
+    def blocks(self, least: float, size: int, pairs: int = 8_000_000) -> Iterator[tuple[int, np.ndarray, int, int, np.ndarray]]:
+        """(cell, its members, from, to, queries): blocks of queries, and the members that may have a cosine of ``least``
+        with one of them: the angles to the cell's centre differ by no more than the angle of ``least``."""
+        wide = np.arccos(least) + 1e-6
+        for cell, m, am, q, aq in self.cells:
+            step = max(16, min(size, pairs // len(m)))
+            for s in range(0, len(q), step):
+                part = q[s : s + step]
+                lo, hi = np.searchsorted(am, [aq[s] - wide, aq[s + len(part) - 1] + wide])
+                if lo < hi:
+                    yield cell, m, int(lo), int(hi), part
 
 
 def per_meeting(met: DataFrame, f: Callable[[Group], list[np.ndarray]], schema: str, cells: Cells) -> DataFrame:
@@ -222,7 +244,11 @@ def one_each(rows: DataFrame, id_col: str, vector_col: str, scratch: Scratch) ->
     """(doc, v), one row for each different usable vector, with its smallest id; (doc, first), the ids of vectors
     that several docs have, and the smallest of them, None without any; and how many different vectors there are.
     A doc with several rows has the least of its vectors. Copies are found by two 64-bit hashes."""
-    v = scratch.keep(usable(rows, id_col, vector_col).groupBy("doc").agg(F.min("v").alias("v")), "vectors")
+    v = scratch.keep(usable(rows, id_col, vector_col), "vectors")
+    again = scratch.keep(v.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "again")
+    if not again.isEmpty():
+        again = broadcast_if_small(again, 250_000)
+        v = v.join(again, "doc", "left_anti").unionByName(v.join(again, "doc").groupBy("doc").agg(F.min("v").alias("v")))
     key = F.struct(F.xxhash64("v"), F.xxhash64(F.lit(1), "v"))
     copies = scratch.keep(several(v.select(F.col("doc").alias("id"), key.alias("k")), "k").select(F.col("id").alias("doc"), "first"), "copies")
     n = v.count()
