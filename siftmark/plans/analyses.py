@@ -35,6 +35,12 @@ def _width(codes: DataFrame, levels: int) -> int:
     return min(levels, widths[0])
 
 
+def _gold_width(queries: DataFrame, levels: int) -> int:
+    """``levels``, or as many as the shortest gold codes have."""
+    least = queries.agg(F.min(F.size("codes"))).first()[0]
+    return levels if least is None or least < 1 else min(levels, least)
+
+
 def _named(df: DataFrame, method: str) -> DataFrame:
     return df.select(F.lit(method).alias("method"), *df.columns)
 
@@ -93,7 +99,7 @@ def _prefix(near: DataFrame, anchors: DataFrame, methods: dict[str, DataFrame],
 
 def query_prefix(queries: DataFrame, docs: DataFrame, codes: DataFrame, ks=PREFIX_KS, levels: int = 4, exclude_gold: bool = False) -> dict[str, DataFrame]:
     """How the codes of a query's most similar documents begin, against its gold codes."""
-    ks, levels = k_values(list(ks)), _width(codes, levels)
+    ks, levels = k_values(list(ks)), _gold_width(queries, _width(codes, levels))
     _check_k(ks[-1], docs.count())
     near = Scratch(docs.sparkSession, "near").keep(knn.top_k(queries, docs, ks[-1], "gold" if exclude_gold else None), "near")
     return _prefix(near, queries, {"query": codes}, ks, levels, True)
@@ -139,7 +145,7 @@ def document_consistency(docs: DataFrame, codes: DataFrame, k: int = 100, levels
 
 def query_consistency(queries: DataFrame, docs: DataFrame, codes: DataFrame, k: int = 100, levels: int = 4, exclude_gold: bool = False, baselines: int = 1, bins=(0.0, 1.0, 0.05), seed: int = 42) -> dict[str, DataFrame]:
     """The same from queries to documents. A gold document whose codes differ from the query's is an error."""
-    edges, levels = metrics.bin_edges(*bins), _width(codes, levels)
+    edges, levels = metrics.bin_edges(*bins), _gold_width(queries, _width(codes, levels))
     _check_k(k, docs.count())
     wrong = queries.select("gold", F.col("codes").alias("q")).join(codes.select(F.col("doc").alias("gold"), "codes"), "gold").where("q <> codes").count()
     if wrong:

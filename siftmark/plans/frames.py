@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmark.functions.vectors import normalised, usable
+from siftmark.operators import models
 from siftmark.operators.order import numbered
 from siftmark.runtime import Scratch, table
+from siftmark.sources import readers
 
 DIM = 64
 
@@ -24,6 +26,31 @@ def codes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "rq_codes").where("codes is not null").groupBy(F.col("doc_idx").alias("doc")).agg(F.min("codes").alias("codes"))
 
 
+def encoded_queries(rows: DataFrame, docs: DataFrame, encoder: models.Encoder, instruction: str = "", max_queries: int = -1, keep_prefix: bool = False, cache: str | None = None, recompute: bool = False) -> DataFrame:
+    """(query, v, gold, codes, gt_semid): what the query reports take, from test rows (query_idx, input, output,
+    gt_semid, gt_rqid) and documents (doc, doc_id).
+
+    The first ``max_queries`` rows, all if it is not positive; texts without their leading mark unless
+    ``keep_prefix``; ``instruction`` goes before each text. With ``cache`` the vectors are kept there and used
+    again if there are enough of them, unless ``recompute``. An unknown gold document is an error.
+    """
+    spark = rows.sparkSession
+    asked = readers.gold_docs(readers.test_queries(rows, max_queries, keep_prefix), docs)
+
+    def make() -> DataFrame:
+        return models.encode(asked, "query_idx", "text", encoder, instruction)
+
+    if not cache:
+        vectors = make()
+    elif recompute:
+        make().write.mode("overwrite").parquet(cache)
+        vectors = spark.read.parquet(cache)
+    else:
+        vectors = models.cached(spark, cache, asked.count(), make, False)
+    met = asked.join(vectors, "query_idx")
+    return met.select(F.col("query_idx").alias("query"), normalised(F.col("embedding")).alias("v"), "gold", "codes", "gt_semid")
+
+
 def queries(spark: SparkSession, d: str, all_docs: DataFrame) -> DataFrame:
     """(query, v, gold, codes): test rows whose gold document is known and has a vector.
 

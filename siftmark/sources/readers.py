@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siftmark.functions.text import py_strip, query_text, rqid_codes
 
@@ -80,12 +80,18 @@ def qa_corpus(corpus: DataFrame) -> DataFrame:
 
 
 def matrix(spark: SparkSession, path: str, key: str = "doc_idx") -> DataFrame:
-    """(key, embedding ARRAY<FLOAT>) of a 2-D .npy file on the driver, memory-mapped and sent in parts."""
+    """(key, embedding ARRAY<FLOAT>) of a 2-D .npy file on the driver, memory-mapped and sent as Arrow tables of
+    65,536 rows."""
     m = np.load(path, mmap_mode="r")
     if m.ndim != 2:
         raise ValueError(f"{path}: expected two dimensions, found {m.ndim}")
-    schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
-    return spark.createDataFrame(((i, [float(x) for x in row]) for i, row in enumerate(m)), schema)
+    schema = pa.schema([(key, pa.int64()), ("embedding", pa.list_(pa.float32()))])
+    parts = []
+    for s in range(0, len(m), 65_536):
+        x = np.ascontiguousarray(m[s : s + 65_536], np.float32)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+        parts.append(pa.table([pa.array(np.arange(s, s + len(x))), lists], schema=schema))
+    return spark.createDataFrame(pa.concat_tables(parts) if parts else schema.empty_table())
 
 
 def json_map(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:

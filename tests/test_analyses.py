@@ -57,3 +57,37 @@ def test_semanticity(frames):
     assert s["random_all"].n_pairs == 300 and s["same_l2"]["mean"] > s["same_l1"]["mean"] > s["random_all"]["mean"] - 0.2
     for x in r["significance"].collect():
         assert x.u1 + x.u2 == x.n_x * x.n_y
+
+
+def test_encoded_queries_to_report(spark, tmp_path):
+    """Test rows to the report of single queries, under its published names; vectors come from the cache."""
+    from siftmark.operators import models
+    from siftmark.plans import frames as inputs
+
+    words = [f"w{i} x{i}" for i in range(40)]
+    docs = models.encode(spark.createDataFrame([(i, f"s{i}", t) for i, t in enumerate(words)], "doc long, doc_id string, text string"), "doc", "text", models.HashingEncoder())
+    docs = docs.select("doc", docs.embedding.cast("array<double>").alias("v"))
+    names = spark.createDataFrame([(i, f"s{i}") for i in range(40)], "doc long, doc_id string")
+    rows = spark.createDataFrame([(i, f"query: {words[i]}", "<r0_1> <r1_2>", f"s{i}", None) for i in range(20)], "query_idx long, input string, output string, gt_semid string, gt_rqid string")
+    path = str(tmp_path / "cache")
+    q = inputs.encoded_queries(rows, names, models.HashingEncoder(), max_queries=15, cache=path)
+    assert q.count() == 15 and q.first().codes == [1, 2]
+    again = inputs.encoded_queries(rows, names, None, max_queries=10, cache=path)  # no encoder is needed
+    assert again.count() == 10
+    got = analyses.gold_rank(q, docs, (1, 5), 3)["per_query"]
+    assert got.columns == ["query_index", "gt_semid", "gt_doc_index", "gold_rank", "gold_similarity", "top1_doc_index", "top1_similarity", "top1_is_gold", "top1_minus_gold_gap", "top_non_gold_mean_similarity", "random_mean_similarity"]
+    for r in got.collect():
+        assert r.gt_semid == f"s{r.gt_doc_index}" and r.gold_rank == 1 and abs(r.gold_similarity - 1) < 1e-6
+    with pytest.raises(ValueError):
+        inputs.encoded_queries(rows, names.limit(3), models.HashingEncoder())
+
+
+def test_levels_end_with_the_gold_codes(frames):
+    from pyspark.sql import functions as F
+
+    q, d, c = frames
+    short = q.withColumn("codes", F.slice("codes", 1, 1))
+    r = analyses.query_prefix(short, d, c, (5,), 4)["recall"]
+    assert "l1" in r.columns and "l2" not in r.columns
+    r = analyses.semanticity(d, c, 300)["significance"].collect()
+    assert all(0 <= x.p_two_sided_approx <= 1 for x in r)
