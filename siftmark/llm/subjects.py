@@ -260,8 +260,14 @@ def _count(shared, rare: bool):
             context = (per_document(t, p)[t.doc] - p) / np.maximum(others, 1)[:, None]
             told = others[t.of] > 0
             ok = told & (at >= 0)
-            for c in range(k):
-                counts[c] += np.bincount(at[ok], weights=context[t.of[ok], c], minlength=size)
+            # a context's parts are one in all, so what the subjects leave is about none; most contexts have few of them
+            word, of = at[ok], t.of[ok]
+            counts[k - 1] += np.bincount(word, minlength=size)
+            for c in range(k - 1):
+                some = np.flatnonzero((context[:, c] > 0)[of])
+                here = np.bincount(word[some], weights=context[of[some], c], minlength=size)
+                counts[c] += here
+                counts[k - 1] -= here
             ok = told & (at < 0)
             if rare and ok.any():
                 words, of = np.unique(t.w[ok], return_inverse=True)
