@@ -226,6 +226,7 @@ def distributed(parts: DataFrame, scratch: Scratch) -> DataFrame | None:
     own = F.col("a") == F.col("b")
     sent = scratch.keep(p.union(nodes.select(F.col("c").alias("a"), F.col("c").alias("b"), F.lit(0.0).alias("p"))), "sent")
     x, gap, tries = nodes.drop("d"), WIDE, 0
+    old: list[DataFrame] = []
     while True:
         r = 1 - gap
         x = x.withColumns({f"l{k}": F.lit(0.0) for k in _X})
@@ -234,13 +235,16 @@ def distributed(parts: DataFrame, scratch: Scratch) -> DataFrame | None:
             kept = lambda k: F.sum(F.when(own, F.col(k)).otherwise(0.0))
             grown = lambda k: F.sum(F.when(own, F.col(k) * (1 - r)).otherwise(F.col("p") * F.col(k)))
             x = met.groupBy(F.col("a").alias("c")).agg(*((grown(k) * (u / r) + kept(f"l{k}") * v).alias(k) for k in _X), *(kept(k).alias(f"l{k}") for k in _X))
-        x = scratch.keep(x.select("c", *_X), "x")
+        new = scratch.keep(x.select("c", *_X), "x")
+        scratch.drop(*old)  # a round needs the last one only
+        x = new
         keys = scratch.keep(x.mapInArrow(_keys, "c long, key long, own boolean"), "keys")
         filled = keys.where("own").select("key").distinct()
         label = scratch.keep(keys.join(filled, "key", "left_semi").groupBy("c").agg(F.min("key").alias("label")), "label")
         ends = p.select("a", "b").join(label.select(F.col("c").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("c").alias("b"), F.col("label").alias("lb")), "b")
         if ends.where("la <> lb").isEmpty():
             return label
+        old = [x, keys, label]
         tries += 1
         gap = WIDE / 4 ** (tries // 2)
 
