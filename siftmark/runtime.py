@@ -45,11 +45,13 @@ def _remove(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables written to the shared folder, so that lineage is cut and a lost executor costs nothing.
 
-    ``keep`` writes a table and reads it back; ``drop`` deletes one that no later step reads.
+    ``keep`` writes a table and reads it back; ``drop`` deletes one that no later step reads. ``kept`` has the last
+    table of each name.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
+        self.kept: dict[str, DataFrame] = {}
 
     def keep(self, df: DataFrame, name: str, dictionary_mb: int = 1) -> DataFrame:
         """``dictionary_mb`` is how large a column's dictionary may grow before its values are written out."""
@@ -58,6 +60,7 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").option("parquet.dictionary.page.size", dictionary_mb << 20).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.kept[name] = out
         return out
 
     def drop(self, *tables: DataFrame) -> None:
