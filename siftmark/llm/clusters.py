@@ -264,8 +264,8 @@ def clusters(rows: DataFrame, id_col: str, vector_col: str, least: float = 0.9,
     if not n:
         return spark.createDataFrame([], "cluster_idx long, doc_idx long")
     cells = vectors.Cells(vectors.fit_cells(vectors.sample(v, n), vectors.cells_for(n)), n, vectors.border_for(least))
-    parts = scratch.keep(vectors.per_meeting(vectors.meetings(v, cells, scratch), _local(least), "doc long, c long", cells), "parts")
-    scratch.drop(scratch.kept["placed"], scratch.kept["vectors"])  # no later step reads vectors
+    parts = scratch.keep(vectors.per_meeting(vectors.meetings(v, cells, scratch), _local(least), "doc long, c long", cells, scratch), "parts")
+    scratch.drop(scratch.kept["placed"])  # no later step reads vectors
     label = distributed(parts, scratch)
     # a name is its kind and a number: 0, a cluster of one group; 1, of the second graph; 2, copies that nothing else is linked to
     labels = parts.groupBy("doc").agg(F.min("c").alias("c"))

@@ -182,10 +182,10 @@ def neighbours(rows: DataFrame, id_col: str, vector_col: str, k: int = 10, least
     cells = vectors.Cells(vectors.fit_cells(x, vectors.cells_for(n)), n, vectors.border_for(least))
     x = x[np.random.default_rng(3).permutation(len(x))[:TRAIN]]
     books = fit_books(x, shaped(x - cells.centres[vectors.nearest(x, cells.centres)[0]])[0])
-    found = vectors.per_meeting(vectors.meetings(v, cells, scratch), _search(k, least, books, cells.centres), schema, cells).dropDuplicates(["doc", "neighbour"])
+    found = vectors.per_meeting(vectors.meetings(v, cells, scratch), _search(k, least, books, cells.centres), schema, cells, scratch).dropDuplicates(["doc", "neighbour"])
     best = Window.partitionBy("doc").orderBy(F.desc("cos"), "neighbour")
     found = scratch.keep(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"), "found")
-    scratch.drop(scratch.kept["placed"], scratch.kept["vectors"])  # no later step reads vectors
+    scratch.drop(scratch.kept["placed"])  # no later step reads vectors
     if copies is None:
         return found
     # the k + 1 smallest ids of each class; a partial limit comes before the shuffle

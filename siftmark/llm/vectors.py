@@ -6,11 +6,15 @@ many cells probes most of them, cells are sent in regions of about ``BLOCK`` mem
 region in which it probes a cell, and meet there cell by cell. A region of any size is cut into member
 blocks and query blocks of bounded size, and each pair of blocks is one group: no task gets more than
 1.5 * ``BLOCK`` members and four times as many queries, whatever part of all rows one cell holds.
+
+A vector meets several regions, so groups are sent in waves of about as many rows as there are vectors, and the files of a
+wave's shuffle go before the next one: the disk holds the vectors about twice, however many regions each of them probes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.llm.copies import several
-from siftmark.runtime import Scratch, broadcast_if_small
+from siftmark.runtime import Scratch, broadcast_if_small, swept
 
 #: Rows of the sample that cells and codebooks are fitted on at most, cells, rows of a block.
 SAMPLE, MAX_CELLS, BLOCK = 262_144, 16_384, 16_384
+#: Rows of a wave at least; ids that are broadcast at most (8 bytes each).
+WAVE, IDS = 1_000_000, 1_000_000
 #: Centres that are fitted at once.
 DIRECT = 1024
 #: A cell is probed if its border is at most this far from the vector: two vectors with a cosine of 0.9 are
@@ -58,7 +64,8 @@ def sample(vectors: DataFrame, n: int) -> np.ndarray:
     """Unit vectors of about 64 rows for each cell, at most about ``SAMPLE``, chosen by the hash of the id."""
     want = min(SAMPLE, 64 * cells_for(n))
     part = vectors if n <= want else vectors.where(F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(1 << 30)) < int(want / n * (1 << 30)))
-    t = part.select("v").toArrow()
+    with swept(vectors.sparkSession):
+        t = part.select("v").toArrow()
     return unit(matrix(t["v"])).astype(np.float32) if t.num_rows else np.zeros((0, 64), np.float32)
 
 
@@ -99,15 +106,27 @@ def probes(x: np.ndarray, c: np.ndarray, border: float = BORDER) -> tuple[np.nda
     at most ``border`` away, rank 1."""
     d = x @ c.T
     own = d.argmax(1)
-    wide = c.astype(np.float64)
-    apart = np.sqrt(np.maximum(2 - 2 * (wide @ wide.T), 0)).astype(np.float32)
-    # and what single precision may get wrong, which is more than centres of a tight cluster are apart
-    near = d[np.arange(len(x)), own][:, None] - d <= border * apart[own] + 1e-5
+    near = _within(d[np.arange(len(x)), own], d, own, c, c, border)
     near[np.arange(len(x)), own] = True
     row, cell = np.nonzero(near)
     return row, cell, (cell != own[row]).astype(np.int64)
 
 
+def probes_among(x: np.ndarray, c: np.ndarray, own: np.ndarray, here: np.ndarray, border: float = BORDER) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in ``here``) of the cells ``here`` that unit vectors probe whose own cells are known."""
+    near = _within(np.einsum("id,id->i", x, c[own]), x @ c[here].T, own, c, c[here], border)
+    return np.nonzero(near | (own[:, None] == here[None]))
+
+
+def _within(best: np.ndarray, d: np.ndarray, own: np.ndarray, c: np.ndarray, others: np.ndarray, border: float) -> np.ndarray:
+    """Whether the border to each of ``others`` is near enough. Only the own centres' distances are taken, as those of all
+    centres are the square of their number."""
+    some, at = np.unique(own, return_inverse=True)
+    apart = np.sqrt(np.maximum(2 - 2 * (c[some].astype(np.float64) @ others.astype(np.float64).T), 0)).astype(np.float32)
+    # and what single precision may get wrong, which is more than centres of a tight cluster are apart
+    return best[:, None] - d <= border * apart[at] + 1e-5
+
+
 def cells_for(n: int) -> int:
     return int(min(MAX_CELLS, max(1, 1.3 * n**0.5)))
 
@@ -128,10 +147,10 @@ def border_for(least: float) -> float:
     return (2 - 2 * least) ** 0.5 / 2 + 1e-4
 
 
-def meetings(vectors: DataFrame, cells: Cells, scratch: Scratch) -> DataFrame:
-    """(cell, j, i, role, doc, v): one group of (cell, j, i) for every pair of a member block j and a
-    query block i of a region, called cell. role 0 is a member, 1 a query, 2 both. Queries are all vectors,
-    in the region of their own cell and in those of the cells they probe. Vectors are placed once: a row of
+def meetings(vectors: DataFrame, cells: Cells, scratch: Scratch) -> list[DataFrame]:
+    """(cell, j, i, role, doc, own, v) in waves: one group of (cell, j, i) for every pair of a member block j and a
+    query block i of a region, called cell. role 0 is a member, 1 a query, 2 both; own is the vector's cell. Queries are all
+    vectors, in the region of their own cell and in those of the cells they probe. Vectors are placed once: a row of
     the kept table has a vector and the list of its regions, its own one first."""
     shared = vectors.sparkSession.sparkContext.broadcast(cells)
 
@@ -144,32 +163,43 @@ def meetings(vectors: DataFrame, cells: Cells, scratch: Scratch) -> DataFrame:
             for s in range(0, len(m), step):
                 part = m[s : s + step]
                 row, cell, rank = c.probes(unit(part).astype(np.float32))
-                first = np.zeros(len(part), np.int64)
-                first[row[rank == 0]] = c.region[cell[rank == 0]]
+                own = cell[rank == 0]
+                first = c.region[own]
                 key = np.unique(row * many + c.region[cell])
                 row, region = key // many, key % many
                 order = np.lexsort((region, region != first[row], row))
                 ends = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(region[order].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column("doc").slice(s, len(part)), lists, as_lists(part)], ["doc", "regions", "v"])
+                yield pa.RecordBatch.from_arrays([b.column("doc").slice(s, len(part)), pa.array(own.astype(np.int32)), lists, as_lists(part)], ["doc", "own", "regions", "v"])
 
-    kept = scratch.keep(vectors.mapInArrow(placed, "doc long, regions array<int>, v array<float>"), "placed")
-    at = kept.select("doc", "v", F.posexplode("regions").alias("p", "cell")).withColumn("own", F.col("p") == 0)
+    kept = scratch.keep(vectors.mapInArrow(placed, "doc long, own int, regions array<int>, v array<float>"), "placed")
+    if "vectors" in scratch.kept:
+        scratch.drop(scratch.kept["vectors"])  # the placed ones are read from here on
+    at = kept.select("doc", "own", "v", F.posexplode("regions").alias("p", "cell")).withColumn("home", F.col("p") == 0)
     # the sizes of at most MAX_CELLS regions
-    sizes = {r.cell: (max(1, round(r.own / BLOCK)), max(1, round(r.all / (4 * BLOCK)))) for r in at.groupBy("cell").agg(F.sum(F.col("own").cast("int")).alias("own"), F.count("*").alias("all")).collect()}
-    large = {c: s for c, s in sizes.items() if s != (1, 1)}
-    h = F.xxhash64("doc", F.lit(11))
-    if not large:
-        role = F.when(F.col("own"), F.lit(2)).otherwise(F.lit(1))
-        return at.select("cell", F.lit(0).alias("j"), F.lit(0).alias("i"), role.alias("role"), "doc", "v")
-    cuts = F.broadcast(vectors.sparkSession.createDataFrame([(c, b, q) for c, (b, q) in sizes.items()], "cell int, nb int, nq int"))
-    at = at.join(cuts, "cell")
-    small = at.where("nb = 1 and nq = 1").select("cell", F.lit(0).alias("j"), F.lit(0).alias("i"), F.when(F.col("own"), F.lit(2)).otherwise(F.lit(1)).alias("role"), "doc", "v")
-    big = at.where("nb > 1 or nq > 1")
-    j, i = F.pmod(h, F.col("nb")).cast("int"), F.pmod(F.xxhash64("doc", F.lit(13)), F.col("nq")).cast("int")
-    members = big.where("own").select("cell", j.alias("j"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("i"), F.lit(0).alias("role"), "doc", "v")
-    queries = big.select("cell", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), i.alias("i"), F.lit(1).alias("role"), "doc", "v")
-    return small.unionByName(members).unionByName(queries)
+    counts = at.groupBy("cell").agg(F.sum(F.col("home").cast("int")).alias("home"), F.count("*").alias("all")).collect()
+    cuts, sent = [], 0
+    for r in sorted(counts, key=lambda r: r.cell):
+        nb, nq = max(1, round(r.home / BLOCK)), max(1, round(r.all / (4 * BLOCK)))
+        rows = r.all if nb == nq == 1 else r.all + -(-r.home * nq // nb)  # of each member block
+        cuts.append((r.cell, nb, nq, sent, rows))
+        sent += nb * rows
+    size = max(WAVE, sum(r.home for r in counts))
+    cols = ("cell", "j", "i", "role", "doc", "own", "v")
+    zero, role = F.lit(0), F.when(F.col("home"), F.lit(2)).otherwise(F.lit(1)).alias("role")
+    if sent <= size and all(c[1:3] == (1, 1) for c in cuts):
+        return [at.select("cell", zero.alias("j"), zero.alias("i"), role, "doc", "own", "v")]
+    at = at.join(F.broadcast(vectors.sparkSession.createDataFrame(cuts, "cell int, nb int, nq int, at long, rows long")), "cell")
+    wave = F.floor((F.col("at") + F.col("j") * F.col("rows")) / F.lit(size))
+    j, i = F.pmod(F.xxhash64("doc", F.lit(11)), F.col("nb")).cast("int"), F.pmod(F.xxhash64("doc", F.lit(13)), F.col("nq")).cast("int")
+    small, big = at.where("nb = 1 and nq = 1").withColumn("j", zero), at.where("nb > 1 or nq > 1")
+    out = []
+    for w in sorted({(a + b * rows) // size for _, nb, _, a, rows in cuts for b in range(nb)}):
+        alone = small.where(wave == w).select("cell", "j", zero.alias("i"), role, "doc", "own", "v")
+        members = big.where("home").withColumn("j", j).where(wave == w).withColumn("i", F.explode(F.sequence(zero, F.col("nq") - 1))).withColumn("role", zero)
+        queries = big.withColumn("j", F.explode(F.sequence(zero, F.col("nb") - 1))).where(wave == w).withColumn("i", i).withColumn("role", F.lit(1))
+        out.append(alone.unionByName(members.select(*cols)).unionByName(queries.select(*cols)) if any(c[1:3] != (1, 1) for c in cuts) else alone)
+    return out
 
 
 class Group:
@@ -178,27 +208,23 @@ class Group:
     that probe it. A doc that comes several times is taken once for each role."""
 
     def __init__(self, t: pa.Table, c: Cells):
-        role, doc, v = np.asarray(t["role"]), np.asarray(t["doc"]), matrix(t["v"])
+        role, doc, cell_of, v = np.asarray(t["role"]), np.asarray(t["doc"]), np.asarray(t["own"]), matrix(t["v"])
         self.key = tuple(t[x][0].as_py() for x in ("cell", "j", "i"))
 
-        def pick(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def pick(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             at = np.flatnonzero(mask)
             _, one = np.unique(doc[at], return_index=True)
-            return doc[at[one]], unit(v[at[one]])
+            return doc[at[one]], cell_of[at[one]], unit(v[at[one]])
 
-        self.mi, self.mu = pick(role != 1)
-        self.qi, self.qu = pick(role != 0)
+        self.mi, mc, self.mu = pick(role != 1)
+        self.qi, qc, self.qu = pick(role != 0)
         self.m32, self.q32 = self.mu.astype(np.float32), self.qu.astype(np.float32)
         here = np.flatnonzero(c.region == self.key[0])
-        own = nearest(self.m32, c.centres[here])[0]
+        own = np.searchsorted(here, mc)
         asked: list[list[np.ndarray]] = [[] for _ in here]
-        step = max(64, min(2048, 2_000_000 // len(c.centres)))
-        place = np.full(len(c.region), -1)
-        place[here] = np.arange(len(here))
+        step = max(64, min(8192, 2_000_000 // len(here)))
         for s in range(0, len(self.qi), step):
-            row, cell, _ = c.probes(self.q32[s : s + step])
-            ok = place[cell] >= 0
-            row, at = row[ok], place[cell[ok]]
+            row, at = probes_among(self.q32[s : s + step], c.centres, qc[s : s + step], here, c.border)
             order = np.argsort(at, kind="stable")
             cut = np.searchsorted(at[order], np.arange(len(here) + 1))
             for k in np.unique(at).tolist():
@@ -228,16 +254,19 @@ class Group:
                     yield cell, m, int(lo), int(hi), part
 
 
-def per_meeting(met: DataFrame, f: Callable[[Group], list[np.ndarray]], schema: str, cells: Cells) -> DataFrame:
-    """``f(group)`` of every group: the columns of ``schema``."""
+def per_meeting(waves: list[DataFrame], f: Callable[[Group], list[np.ndarray]], schema: str, cells: Cells, scratch: Scratch) -> DataFrame:
+    """``f(group)`` of every group: the columns of ``schema``. Of several waves, the results are kept one after the other."""
     names, types = zip(*(x.split() for x in schema.split(", ")))
-    shared = met.sparkSession.sparkContext.broadcast(cells)
+    shared = scratch.spark.sparkContext.broadcast(cells)
     kinds = {"long": (np.int64, pa.int64()), "double": (np.float64, pa.float64())}
 
     def run(t: pa.Table) -> pa.Table:
         return pa.table([pa.array(col.astype(kinds[k][0]), kinds[k][1]) for col, k in zip(f(Group(t, shared.value)), types)], names=list(names))
 
-    return met.groupBy("cell", "j", "i").applyInArrow(run, schema)
+    found = [met.groupBy("cell", "j", "i").applyInArrow(run, schema) for met in waves]
+    if len(found) > 1:
+        found = [scratch.keep(x, "met") for x in found]
+    return reduce(DataFrame.unionByName, found)
 
 
 def one_each(rows: DataFrame, id_col: str, vector_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame | None, int]:
@@ -247,12 +276,13 @@ def one_each(rows: DataFrame, id_col: str, vector_col: str, scratch: Scratch) ->
     v = scratch.keep(usable(rows, id_col, vector_col), "vectors")
     again = scratch.keep(v.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "again")
     if not again.isEmpty():
-        again = broadcast_if_small(again, 250_000)
+        again = broadcast_if_small(again, IDS)
         v = v.join(again, "doc", "left_anti").unionByName(v.join(again, "doc").groupBy("doc").agg(F.min("v").alias("v")))
     key = F.struct(F.xxhash64("v"), F.xxhash64(F.lit(1), "v"))
     copies = scratch.keep(several(v.select(F.col("doc").alias("id"), key.alias("k")), "k").select(F.col("id").alias("doc"), "first"), "copies")
-    n = v.count()
+    with swept(rows.sparkSession):
+        n = v.count()
     if copies.isEmpty():
         return v, None, n
-    others = copies.where("doc > first")
-    return v.join(others.select("doc"), "doc", "left_anti"), copies, n - others.count()
+    others = copies.where("doc > first").select("doc")
+    return v.join(broadcast_if_small(others, IDS), "doc", "left_anti"), copies, n - others.count()

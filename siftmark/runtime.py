@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Actions in it remove their shuffle files as soon as they end, instead of when the driver's garbage is collected.
+    Only for actions whose plan is not run again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 class Scratch:
     """Tables written to the shared folder, so that lineage is cut and a lost executor costs nothing.
 
@@ -57,7 +72,8 @@ class Scratch:
         """``dictionary_mb`` is how large a column's dictionary may grow before its values are written out."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.mode("overwrite").option("compression", "zstd").option("parquet.dictionary.page.size", dictionary_mb << 20).parquet(path)
+        with swept(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").option("parquet.dictionary.page.size", dictionary_mb << 20).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         self.kept[name] = out

@@ -540,3 +540,51 @@ def test_each_bound_prunes(spark):
     passed = {(r.l, r.r) for r in got if r.x and r.y}
     want = {(a, b) for a, s in enumerate(base) for b, t in enumerate(near_) if len(s & t) >= 0.75 * len(s | t)}
     assert want and want <= passed
+
+
+def shuffle_files(spark):
+    from pathlib import Path
+
+    return {p for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for p in Path(d).rglob("shuffle_*.data")}
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    from siftmark.runtime import Scratch
+
+    scratch, rows, before = Scratch(spark, "swept"), spark.range(5000).repartition(3, "id"), shuffle_files(spark)
+    kept = scratch.keep(rows, "rows")
+    assert not shuffle_files(spark) - before
+    assert kept.count() == 5000
+
+
+def test_waves_are_bounded_and_find_the_same(spark, monkeypatch):
+    """Vectors that probe many regions are sent in waves of about as many rows as there are vectors, each pair of blocks once."""
+    from siftmark.llm import vectors as v
+    from siftmark.runtime import Scratch
+
+    monkeypatch.setattr(v, "BLOCK", 16)
+    monkeypatch.setattr(v, "WAVE", 1)
+    rows, all_rows = made_vectors()
+    assert pairs(similar.similar_pairs(vectors(spark, all_rows), "doc_idx", "embedding")) == brute.p5(rows)
+    assert pairs(clusters.clusters(vectors(spark, all_rows), "doc_idx", "embedding")) == brute.p1(rows)
+    scratch = Scratch(spark, "waves")
+    unique, _, n = v.one_each(vectors(spark, all_rows), "doc_idx", "embedding", scratch)
+    cells = v.Cells(v.fit_cells(v.sample(unique, n), v.cells_for(n)), n)
+    waves = v.meetings(unique, cells, scratch)
+    sizes = [w.count() for w in waves]
+    per_block = max(max(r["count"] for r in w.groupBy("cell", "j").count().collect()) for w in waves)
+    assert len(waves) > 1 and sum(sizes) > n and max(sizes) <= n + per_block
+    groups = [(r.cell, r.j, r.i) for w in waves for r in w.select("cell", "j", "i").distinct().collect()]
+    assert len(groups) == len(set(groups))
+
+
+def test_probes_take_few_distances(monkeypatch):
+    """The distances between centres are those of the own centres only, not the square of all centres."""
+    from siftmark.llm import vectors as v
+
+    c = v.unit(np.random.default_rng(2).normal(size=(4000, 64))).astype(np.float32)
+    seen, sqrt = [], np.sqrt
+    monkeypatch.setattr(v.np, "sqrt", lambda x: (seen.append(np.size(x)), sqrt(x))[1])
+    row, cell, rank = v.probes(c[:20], c)
+    assert sorted(row[rank == 0]) == list(range(20)) and sorted(cell[rank == 0]) == list(range(20))
+    assert max(seen) <= 20 * 4000
