@@ -35,7 +35,8 @@ def beam_search(queries: DataFrame, trie: DataFrame, score: DataFrame, levels: i
     # all queries start from the empty prefix: its edges, one for each first code, go to the queries
     root = F.broadcast(step.where(F.size("codes") == 0))
     for level in range(levels):
-        at = score.where(F.col("level") == level).select("query", F.col("code").alias("next"), "s")
+        # merged, as scores made by exploding a small table are taken for small too, and would all be broadcast by the driver
+        at = score.where(F.col("level") == level).select("query", F.col("code").alias("next"), "s").hint("merge")
         met = state.join(root if level == 0 else step.where(F.size("codes") == level), "codes", "left").join(at, ["query", "next"], "left")
         # a leaf has no edge, and stays as it is
         leaf = F.col("next").isNull()

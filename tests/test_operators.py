@@ -509,3 +509,13 @@ def test_strata_of_pair_numbers(spark):
     same = one(sampling.same_prefix_pairs(one_group, 1, 1500))
     each = np.bincount([x // 300 for p in same for x in p], minlength=10)
     assert len({frozenset(p) for p in same}) == 1500 and each.min() > 220 and each.max() < 390
+
+
+def test_scores_are_never_broadcast(spark):
+    """Scores exploded from a few rows look small to the planner; the driver must not gather them."""
+    q = spark.createDataFrame([(1,)], "query long")
+    score = spark.createDataFrame([(1, 0)], "query long, level int").select("query", "level", F.explode(F.sequence(F.lit(0), F.lit(5000))).alias("code")).withColumn("s", F.lit(0.5))
+    edges = trie.edges(spark.createDataFrame([([1, 2],), ([1, 3],)], "codes array<int>"))
+    text = trie.beam_search(q, edges, score, 2)._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in text.splitlines() if "Join [query" in x]
+    assert len(joins) == 2 and all("SortMergeJoin" in x for x in joins), text
