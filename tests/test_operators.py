@@ -519,3 +519,28 @@ def test_scores_are_never_broadcast(spark):
     text = trie.beam_search(q, edges, score, 2)._jdf.queryExecution().executedPlan().toString()
     joins = [x for x in text.splitlines() if "Join [query" in x]
     assert len(joins) == 2 and all("SortMergeJoin" in x for x in joins), text
+
+
+def test_top_k_shuffles_no_vectors_per_block(spark, monkeypatch):
+    """Whatever the number of blocks, vectors don't come several times in a shuffle; ties and codes as by plain code."""
+    import numpy as np
+
+    monkeypatch.setattr(knn, "BLOCK", 16)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(90, 8))
+    x[40:60] = x[0]  # copies
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    codes = [None if i == 7 else [int(c) for c in rng.integers(0, 2, 3)] for i in range(90)]
+    d = spark.createDataFrame([(i, v.tolist(), c) for i, (v, c) in enumerate(zip(x, codes))], "doc long, v array<double>, codes0 array<int>")
+    q = d.withColumn("query", F.col("doc")).withColumnRenamed("doc", "self")
+    got = knn.top_k(q, d, 5, "self", levels=[3])
+    assert "Group" not in (p := got._jdf.queryExecution().executedPlan().toString()) and "Generate" not in p
+    sim = np.round(x @ x.T, 9)
+    want = []
+    for i in range(90):
+        near = sorted((j for j in range(90) if j != i), key=lambda j: (-sim[i, j], j))[:5]
+        for r, j in enumerate(near):
+            if codes[i] and codes[j]:
+                shared = next((n for n in range(3) if codes[i][n] != codes[j][n]), 3)
+                want.append((i, j, r + 1, shared, codes[j][0]))
+    assert sorted(one(got.select("query", "doc", "rank", "shared0", "c0"))) == sorted(want)
