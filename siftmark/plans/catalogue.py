@@ -149,12 +149,24 @@ def rqid_parse(spark, d):
     return rows.select("sample_id", F.array_join(rqid_codes(F.col("output")).cast("array<string>"), ",").alias("codes"))
 
 
-def _doc_shared(spark, d, deal=False):
-    docs, near = _self_near(spark, d, max(KS))
-    codes = frames.codes(spark, d)
-    if deal:
-        codes = metrics.dealt(codes)
-    return Scratch(spark, "near").keep(metrics.with_shared(near, codes.withColumnRenamed("doc", "query"), codes, LEVELS), "shared")
+def _doc_coded(spark, d, *codes):
+    """(query, sim, rank, shared0, shared1, ..., c0): every document's nearest ones, with the codes they share in each of
+    the tables ``codes``. Codes go along with the vectors, so that no pairs are shuffled."""
+    docs = frames.docs(spark, d)
+    for i, c in enumerate(codes):
+        docs = docs.join(c.select("doc", F.col("codes").alias(f"codes{i}")), "doc", "left")
+    docs = Scratch(spark, "near").keep(docs, "docs")
+    asked = docs.withColumn("query", F.col("doc")).withColumnRenamed("doc", "self")
+    return knn.top_k(asked, docs, max(KS), "self", levels=[LEVELS] * len(codes)).drop("doc")
+
+
+def _doc_shared(spark, d):
+    return _doc_coded(spark, d, frames.codes(spark, d)).withColumnRenamed("shared0", "shared")
+
+
+def _kept_shared(spark, d):
+    """What several passes read of them."""
+    return Scratch(spark, "near").keep(_doc_shared(spark, d).select("sim", "shared"), "shared")
 
 
 LS = [f"l{n}" for n in range(1, LEVELS + 1)]
@@ -177,14 +189,10 @@ def doc_unique_l1(spark, d):
 
 @query
 def doc_prefix_random_baseline(spark, d):
-    docs, near = _self_near(spark, d, max(KS))
-    near = Scratch(spark, "near").keep(near, "near")
-    out = None
-    for i, step in enumerate((1_000_003, 998_244_353)):
-        codes = metrics.dealt(frames.codes(spark, d), step)
-        rows = metrics.with_shared(near, codes.withColumnRenamed("doc", "query"), codes, LEVELS)
-        got = metrics.prefix_recall(rows, KS, LEVELS).select(F.lit(f"random_code_{i + 1}").alias("method"), "k", *LS)
-        out = got if out is None else out.unionByName(got)
+    codes = frames.codes(spark, d)
+    near = _doc_coded(spark, d, *(metrics.dealt(codes, step) for step in (1_000_003, 998_244_353)))
+    each = F.explode(F.array(*(F.struct(F.lit(f"random_code_{i + 1}").alias("method"), F.col(f"shared{i}").alias("shared")) for i in range(2)))).alias("m")
+    out = Scratch(spark, "near").keep(metrics.prefix_recall(near.select("rank", each).select("rank", "m.*"), KS, LEVELS, ["method"]), "recall")
     return rounded(metrics.averaged(out), *LS)
 
 
@@ -295,13 +303,13 @@ def group_cap(spark, d):
 
 @query
 def pair_cosine_summary(spark, d):
-    rows = _doc_shared(spark, d).withColumn("shared", F.col("shared").cast("long"))
+    rows = _kept_shared(spark, d).withColumn("shared", F.col("shared").cast("long"))
     return rounded(stats.summary_ci(rows, F.col("sim"), ["shared"]), "mean", "median", "std", "q25", "q75", "ci95_low", "ci95_high")
 
 
 @query
 def mann_whitney(spark, d):
-    rows = _doc_shared(spark, d).select(F.when(F.col("shared") > 0, "x").otherwise("y").alias("g"), "sim")
+    rows = _kept_shared(spark, d).select(F.when(F.col("shared") > 0, "x").otherwise("y").alias("g"), "sim")
     return rounded(stats.mann_whitney(rows, F.col("g"), F.col("sim")), "u1", "u2", "u_min", "z_approx", "cliffs_delta", "cohens_d", "mean_diff")
 
 
