@@ -14,11 +14,12 @@ instead is exact too: variable-length prefix signatures.
   light signature of one word has one of two or three.
 - If two sets differ much in size, the smaller one's first common word must be among its very first, and
   so it is hardly ever a frequent word. Such pairs meet by that word alone, the larger set's frequent
-  words against the smaller set's few.
-- Sets that meet are compared by position, size and a small map of their words at once, a block of rows
-  at a time; what passes is compared word by word.
+  words against the smaller set's few; larger sets never meet each other there, however many they are.
+- Sets that meet are compared by a small map of their words, blocks of rows of one signature against each
+  other, in order of size so that only sizes that can be a pair meet; then by position, and what passes
+  word by word.
 
-The frequencies broadcast are those of the ``COMMON`` most frequent words: 12 bytes each.
+The frequencies broadcast are those of the ``COMMON`` most frequent words: 24 bytes each, and 1 MB to find them.
 """
 
 from __future__ import annotations
@@ -31,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.functions.text import words
+from siftmark.functions.text import word_text
 from siftmark.runtime import Scratch, broadcast_if_small, most_frequent
 
-COMMON, LIGHT, DEPTH = 65_536, 2_048, 3
+COMMON, LIGHT, DEPTH = 65_536, 8_192, 3
 #: Sizes whose ratio is at least this are nearly the same. The kinds of the signatures for other pairs.
-ALIKE, LARGE, SMALL = 0.88, 14, 15
+ALIKE, LARGE, SMALL = 0.82, 14, 15
 _FAR = np.uint64(0x5851F42D4C957F2D)
 #: Sets that a task remembers at most; beyond that, it may send a set's signatures again.
 SEEN = 500_000
@@ -44,6 +45,12 @@ SEEN = 500_000
 ASKED = 250_000
 #: Bits of the map of words; rows of one signature that are paired in a task, and rows that it holds at once.
 MAP, GROUP, CHUNK = 96, 20_000, 400_000
+#: Signatures of at most so many rows are paired together, others in blocks of rows.
+SHORT, BLOCK = 32, 64
+#: The most words of a set, as an array of longs has at most 2 GB. Rows of words for each different set from which on copies go first.
+SIZE, COPIES = 0xFFFFFFF, 1.25
+#: With more sets than each of these, signatures are made in one more wave, as all at once would take more disk than the sets allow.
+WAVES = (500_000, 16_000_000)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,8 +65,10 @@ def passages(raw: DataFrame) -> DataFrame:
 
 def word_sets(texts: DataFrame) -> DataFrame:
     """(key, id, terms): the different words' hashes, sorted, and a hash of them; texts without words are left out."""
-    terms = F.sort_array(F.array_distinct(F.transform(words(F.col("text")), lambda w: F.xxhash64(w))))
-    found = texts.select(F.col("key").cast("long").alias("key"), terms.alias("terms")).where(F.col("key").isNotNull() & (F.size("terms") > 0))
+    # texts without words go by a look at the text, as a condition on the terms would compute them twice
+    worded = texts.where(F.col("key").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))
+    terms = F.sort_array(F.array_distinct(F.transform(F.split(word_text(F.col("text")), " "), lambda w: F.xxhash64(w))))
+    found = worded.select(F.col("key").cast("long").alias("key"), terms.alias("terms"))
     return found.select("key", F.xxhash64("terms").alias("id"), "terms")
 
 
@@ -93,16 +102,28 @@ class Order:
         self.words, self.df, self.rows = words_[by], df[by], rows
         # what a word that isn't among them may have at most: the least of them, as all more frequent ones are
         self.rest = int(df.min()) if len(df) else 1
-
-    def df_of(self, w: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.full(len(w), self.rest)
-        at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
-        return np.where(self.words[at] == w, self.df[at], 0)
+        # a word's place in the order, from 1 on
+        self.rank = np.empty(len(by), np.int64)
+        self.rank[np.lexsort((self.words, self.df))] = np.arange(1, len(by) + 1)
+        # where the words with the same upper 17 bits begin; they are hashes, so that there are few
+        self.begin = np.searchsorted(self.words >> 47, np.arange(-(1 << 16), (1 << 16) + 1))
+        self.most = int(np.diff(self.begin).max())
 
     def sort(self, w: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        df = self.df_of(w)
-        by = np.lexsort((w, df, row))
+        """The words of rows, each row's in ascending order, in the global order, with their rows and frequencies."""
+        df, rank = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
+        if len(self.words):
+            at = self.begin[(w >> 47) + (1 << 16)]
+            for _ in range(self.most):
+                at += self.words[np.minimum(at, len(self.words) - 1)] < w
+            at = np.minimum(at, len(self.words) - 1)
+            known = self.words[at] == w
+            df, rank = np.where(known, self.df[at], 0), np.where(known, self.rank[at], 0)
+        where = len(w).bit_length()
+        if int(row[-1] + 1 if len(row) else 1) * (len(self.words) + 1) >> (63 - where):
+            by = np.lexsort((w, rank, row))
+        else:  # one number for row, rank and place is sorted much faster; unknown words keep their order
+            by = np.sort((row * (len(self.words) + 1) + rank) << where | np.arange(len(w))) & ((1 << where) - 1)
         return w[by], row[by], np.maximum(df[by], self.rest)
 
 
@@ -160,10 +181,11 @@ def signatures(w: np.ndarray, row: np.ndarray, df: np.ndarray, sizes: np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _signature_rows(order, share: float):
-    """(key, id, terms) to (sig, key, bits, more, place): a row for each signature of each set that the task meets
-    for the first time. place packs the number of words, the position and the kind;
-    bits and more are a map of ``MAP`` bits, each of which tells whether the words that hash to it are odd in
+def _signature_rows(order, share: float, wave: int = 0, waves: int = 1):
+    """(key, id, terms) to (sig, key, bits, place): a row for each signature of the wave of each set that the task
+    meets for the first time. sig is the hash (32 bits), 15 less the kind (4 bits) and the number of words, so that
+    rows in its order have the kinds ``SMALL``, ``LARGE``, 3, 2, 1 one after the other and in each the smaller sets first.
+    place has the position in its lower half; bits and its upper half are a map of ``MAP`` bits, each of which tells whether the words that hash to it are odd in
     number, so that two sets differ in at least as many words as their maps in bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,58 +208,81 @@ def _signature_rows(order, share: float):
             bit = (_mixed(w.view(np.uint64)) >> np.uint64(32)) * np.uint64(MAP) >> np.uint64(32)
             low, one = bit < 64, np.uint64(1)
             bits = np.bitwise_xor.reduceat(np.where(low, one << (bit & np.uint64(63)), np.uint64(0)), starts).view(np.int64)
-            more = np.bitwise_xor.reduceat(np.where(low, np.uint64(0), one << (bit & np.uint64(31))), starts).astype(np.uint32).view(np.int32)
+            more = np.bitwise_xor.reduceat(np.where(low, np.uint64(0), one << (bit & np.uint64(31))), starts).view(np.int64) << 32
             sig, r, last, kind = signatures(w, row, df, sizes, o.rows, share)
-            by = np.argsort(r, kind="stable")  # a set's rows together, which shuffles in fewer bytes
+            by = np.flatnonzero((sig >> np.uint64(32)) % np.uint64(waves) == wave)
+            by = by[np.argsort(r[by], kind="stable")]  # a set's rows together, which shuffles in fewer bytes
             sig, r, last, kind = sig[by], r[by], last[by], kind[by]
-            place = sizes[r] << 24 | last << 4 | kind
-            yield pa.RecordBatch.from_arrays([pa.array((sig >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(keys[r]), pa.array(bits[r]), pa.array(more[r]), pa.array(place)], ["sig", "key", "bits", "more", "place"])
+            sig = (sig >> np.uint64(32) << np.uint64(32)).view(np.int64) | (15 - kind) << 28 | sizes[r]
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(keys[r]), pa.array(bits[r]), pa.array(more[r] | last)], list(ROW))
 
     return run
 
 
+def _runs(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the runs of rows of one hash and kind: what they have in common, the first row, the number of rows."""
+    run = sig >> 28
+    first = np.flatnonzero(np.r_[True, np.diff(run) != 0]) if len(run) else np.zeros(0, np.int64)
+    return run[first], first, np.diff(np.r_[first, len(run)])
+
+
 def _pairs_of(r: dict[str, np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray]:
-    """The rows (i, j) of one signature each, sorted by it, that ``_can`` allows to be a pair."""
-    sig, bits, more, place = r["sig"], r["bits"].view(np.uint64), r["more"].view(np.uint32), r["place"]
-    n, pos, kind = place >> 24, place >> 4 & 0xFFFFF, place & 15
+    """The rows (i, j) of one signature each, in its order, that ``_can`` allows to be a pair."""
+    bits, more = r["bits"].view(np.uint64), (r["place"].view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    n, pos, kind = r["sig"] & SIZE, r["place"] & 0xFFFFFFFF, 15 - (r["sig"] >> 28 & 15)
     rate = (1 - share) / (1 + share)
+    most = np.minimum(np.ceil(n * rate), 64).astype(np.uint8)  # bits that a row allows of those in ``bits``
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
-    def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def add(i: np.ndarray, j: np.ndarray) -> None:
         differ = np.bitwise_count(bits[i] ^ bits[j]) + np.bitwise_count(more[i] ^ more[j])
-        at = np.flatnonzero(differ <= (n[i] + n[j]) * rate + 1e-6)
-        i, j = i[at], j[at]
+        ok = differ <= (n[i] + n[j]) * rate + 1e-6
+        i, j = i[ok], j[ok]
         c = np.where(kind[i] >= LARGE, 1, kind[i])
-        return at[c + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= needed(n[i], n[j], share)]
-
-    a, b = [], []
-    own = np.flatnonzero(kind < LARGE)
-    end = np.searchsorted(sig[own], sig[own], side="right")
-    i, d = np.arange(len(own)), 1
+        ok = c + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= needed(n[i], n[j], share)
+        a.append(i[ok])
+        b.append(j[ok])
+
+    def block(x: int, y: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the rows x to y and lo to hi, those whose first bits allow it."""
+        at = np.flatnonzero(np.bitwise_count(bits[x:y, None] ^ bits[None, lo:hi]) <= most[x:y, None] + most[None, lo:hi])
+        return x + at // max(hi - lo, 1), lo + at % max(hi - lo, 1)
+
+    def up_to(lo: int, hi: int, words_: float) -> int:
+        return lo + int(np.searchsorted(n[lo:hi], words_ + 1e-6, side="right"))
+
+    run, first, rows = _runs(r["sig"])
+    own = run & 15 > 15 - LARGE
+    short = own & (rows <= SHORT)
+    i, end, d = np.flatnonzero(np.repeat(short, rows)), np.repeat(first + rows, rows), 1
     while len(i := i[i + d < end[i]]):
-        x, y = own[i], own[i + d]
-        ok = allowed(x, y)
-        ok = ok[kind[x[ok]] == kind[y[ok]]]
-        a.append(x[ok])
-        b.append(y[ok])
+        add(i, i + d)
         d += 1
-    large = np.flatnonzero(kind == LARGE)
-    lo, hi = (np.searchsorted(sig[large], sig, side=e) for e in ("left", "right"))
-    for s in np.flatnonzero((kind == SMALL) & (lo < hi)).tolist():
-        x = large[lo[s] : hi[s]]
-        x = x[n[x] > n[s]]
-        ok = allowed(x, np.full(len(x), s))
-        a.append(x[ok])
-        b.append(np.full(len(ok), s))
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
-
-
-ROW = {"sig": np.int32, "key": np.int64, "bits": np.int64, "more": np.int32, "place": np.int64}
+    for k in np.flatnonzero(own & ~short).tolist():
+        lo, hi = int(first[k]), int(first[k] + rows[k])
+        # sizes that are less alike meet as large and small, unless the signature is of one word
+        least = share if kind[lo] == 1 else min(ALIKE, 1)
+        for x in range(lo, hi, BLOCK):
+            y = min(x + BLOCK, hi)
+            i, j = block(x, y, x, up_to(lo, hi, n[y - 1] / least))
+            add(i[i < j], j[i < j])
+    for k in np.flatnonzero((run[:-1] & 15 == 15 - SMALL) & (run[1:] == run[:-1] + 1)).tolist():
+        lo, mid, hi = int(first[k]), int(first[k + 1]), int(first[k + 1] + rows[k + 1])
+        for x in range(lo, mid, BLOCK):
+            y = min(x + BLOCK, mid)
+            for z in range(up_to(mid, hi, n[x]), to := up_to(mid, hi, n[y - 1] / share), GROUP):
+                j, i = block(x, y, z, min(z + GROUP, to))
+                add(i[n[i] > n[j]], j[n[i] > n[j]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+ROW = {"sig": np.int64, "key": np.int64, "bits": np.int64, "place": np.int64}
 
 
 def _meet(share: float, group: int, chunk: int):
-    """Rows sorted by signature to (a, b) for every pair that is allowed, or, if one signature has more than
-    ``group`` rows, to those rows as they came."""
+    """Rows in order of their signature to (a, b) for every pair that is allowed, or, if more than ``group`` rows of one
+    signature and kind would have to be held, to those rows as they came. Rows of the kind ``LARGE`` need not be: they
+    meet those of the kind ``SMALL``, which come before them, and are forgotten."""
 
     def out(rows: dict[str, np.ndarray], deferred: bool) -> pa.RecordBatch:
         if deferred:
@@ -252,61 +297,70 @@ def _meet(share: float, group: int, chunk: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
-        n, over = 0, None
+        n, over = 0, []
         for b in batches:
-            rows = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ROW}
             if not b.num_rows:
                 continue
-            if over is not None:
-                same = int(np.searchsorted(rows["sig"], over, side="right"))
-                if same:
-                    yield out({k: v[:same] for k, v in rows.items()}, True)
-                rows = {k: v[same:] for k, v in rows.items()}
-                if not len(rows["sig"]):
-                    continue
-                over = None
-            held.append(rows)
-            n += len(rows["sig"])
+            held.append({k: b.column(k).to_numpy(zero_copy_only=False) for k in ROW})
+            n += b.num_rows
             if n < chunk:
                 continue
             rows = {k: np.concatenate([h[k] for h in held]) for k in ROW}
-            cut = int(np.searchsorted(rows["sig"], rows["sig"][-1], side="left"))  # the last signature may go on
-            for part, deferred in _split({k: v[:cut] for k, v in rows.items()}, group):
-                yield out(part, deferred)
-            last = {k: v[cut:] for k, v in rows.items()}
-            if len(last["sig"]) > group:
-                over = last["sig"][0]
-                yield out(last, True)
-                held, n = [], 0
-            else:
-                held, n = [last], len(last["sig"])
+            last = rows["sig"][-1] >> 32 << 32  # the last signature may go on
+            rows, deferred, over = _split(rows, group, over)
+            if len(deferred["sig"]):
+                yield out(deferred, True)
+            cut = int(np.searchsorted(rows["sig"], last))
+            yield out({k: v[:cut] for k, v in rows.items()}, False)
+            rows = {k: v[cut:] for k, v in rows.items()}
+            kind = 15 - (rows["sig"] >> 28 & 15)
+            if (kind == LARGE).any():
+                yield out({k: v[kind >= LARGE] for k, v in rows.items()}, False)
+            held = [{k: v[kind != LARGE] for k, v in rows.items()}]
+            n = len(held[0]["sig"])
         if held:
-            for part, deferred in _split({k: np.concatenate([h[k] for h in held]) for k in ROW}, group):
-                yield out(part, deferred)
+            rows, deferred, _ = _split({k: np.concatenate([h[k] for h in held]) for k in ROW}, group, over)
+            if len(deferred["sig"]):
+                yield out(deferred, True)
+            yield out(rows, False)
 
     return run
 
 
-def _split(rows: dict[str, np.ndarray], group: int) -> list[tuple[dict[str, np.ndarray], bool]]:
-    """Rows of signatures of at most ``group`` rows, and the others."""
-    first = np.flatnonzero(np.r_[True, np.diff(rows["sig"]) != 0]) if len(rows["sig"]) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[first, len(rows["sig"])])
-    big = np.repeat(size > group, size)
-    return [({k: v[m] for k, v in rows.items()}, d) for m, d in ((~big, False), (big, True)) if m.any()]
+def _split(rows: dict[str, np.ndarray], group: int, over: list[int]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], list[int]]:
+    """Rows that can be paired here; those of more than ``group`` rows of one signature and kind, or of what is in ``over``,
+    or ``LARGE`` whose ``SMALL`` are too many; and what of that may go on."""
+    run, _, size = _runs(rows["sig"])
+    small, large = run & 15 == 15 - SMALL, run & 15 == 15 - LARGE
+    big = (size > group) & ~large | np.isin(run, over)
+    big |= np.isin(run, run[small & big] + 1)
+    if len(run):
+        over = [run[-1], run[-1] + 1] if big[-1] and small[-1] else [run[-1]] if big[-1] else []
+    many = np.repeat(big, size)
+    return {k: v[~many] for k, v in rows.items()}, {k: v[many] for k, v in rows.items()}, over
 
 
 def _can(a: str, b: str, share: float) -> Column:
-    """What the rows of two sets with a common signature allow: map of words, kind, position and size. The
-    map comes first, as it rejects almost all, in whole numbers. Bits of 32 are counted without the sign's copies."""
-    n, m = (F.shiftright(F.col(f"{x}.place"), 24) for x in (a, b))
-    i, j = (F.shiftright(F.col(f"{x}.place"), 4).bitwiseAND(F.lit(0xFFFFF)) for x in (a, b))
-    c, e = (F.col(f"{x}.place").bitwiseAND(F.lit(15)) for x in (a, b))
-    differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) + F.bit_count(F.col(f"{a}.more").bitwiseXOR(F.col(f"{b}.more")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    """What the rows of two sets with a common signature allow: map of words, position and size, by order of key or as large
+    and small. The map comes first, as it rejects almost all, in whole numbers."""
+    n, m = (F.col(f"{x}.sig").bitwiseAND(F.lit(SIZE)) for x in (a, b))
+    i, j = (F.col(f"{x}.place").bitwiseAND(F.lit(0xFFFFFFFF)) for x in (a, b))
+    kind = 15 - F.col(f"{a}.run").bitwiseAND(F.lit(15))
+    differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) + F.bit_count(F.shiftrightunsigned(F.col(f"{a}.place").bitwiseXOR(F.col(f"{b}.place")), 32))
     few = differ * 1_000_000 <= (n + m) * math.ceil((1 - share) / (1 + share) * 1_000_000)
     need = F.ceil(F.lit(share / (1 + share)) * (n + m) - 1e-9)
-    words_ = F.when(c >= LARGE, 1).otherwise(c)
-    pair = ((c == e) & (c < LARGE) & (F.col(f"{a}.key") < F.col(f"{b}.key"))) | ((c == LARGE) & (e == SMALL) & (n > m))
-    return few & pair & (words_ + F.least(n - i - 1, m - j - 1) >= need)
+    pair = F.when(kind < LARGE, F.col(f"{a}.key") < F.col(f"{b}.key")).otherwise(n > m)
+    return few & pair & (F.when(kind < LARGE, kind).otherwise(1) + F.least(n - i - 1, m - j - 1) >= need)
+
+
+def _met_elsewhere(deferred: DataFrame, share: float) -> DataFrame:
+    """(a, b) of rows that were too many for a task: sort-merge joins, whose skewed partitions are split at run time. Large sets
+    are joined to small ones only."""
+    d = deferred.withColumn("run", F.shiftright("sig", 28))
+    kind = 15 - F.col("run").bitwiseAND(F.lit(15))
+    own, large, small = d.where(kind < LARGE), d.where(kind == LARGE), d.where(kind == SMALL).withColumn("run", F.col("run") + 1)
+    met = [x.alias("a").join(y.alias("b"), (F.col("a.run") == F.col("b.run")) & _can("a", "b", share)).select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")) for x, y in ((own, own), (large, small))]
+    return met[0].union(met[1])
 
 
 def near_sets(texts: DataFrame, share: float, group: int = GROUP, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
@@ -318,19 +372,27 @@ def near_sets(texts: DataFrame, share: float, group: int = GROUP, chunk: int = C
     spark = texts.sparkSession
     scratch = Scratch(spark, "near")
     sets = scratch.keep(word_sets(texts), "sets", dictionary_mb=16)
-    top = most_frequent(scratch.keep(frequencies(sets), "frequencies"), "df", COMMON).toPandas()
-    order = spark.sparkContext.broadcast(Order(top.w.to_numpy(np.int64), top.df.to_numpy(np.int64), sets.count()))
-    sig = sets.mapInArrow(_signature_rows(order, share), "sig int, key long, bits long, more int, place long")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = sig.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(_meet(share, group, chunk), "a long, b long, sig int, key long, bits long, more int, place long")
-    near = scratch.keep(near, "near")
+    rows, ids = sets.agg(F.count("*"), F.approx_count_distinct("id")).first()
+    unique = sets
+    if rows > COPIES * ids:
+        # copies of a set, which tasks would meet again and again, would meet each other in every signature
+        one = scratch.keep(sets.groupBy("id").agg(F.min("key").alias("key")).select("key"), "one")
+        unique = scratch.keep(sets.join(broadcast_if_small(one, ASKED), "key", "left_semi"), "unique", dictionary_mb=16)
+        rows = unique.count()
+    top = most_frequent(scratch.keep(frequencies(unique), "frequencies"), "df", COMMON).toPandas()
+    order = spark.sparkContext.broadcast(Order(top.w.to_numpy(np.int64), top.df.to_numpy(np.int64), rows))
+    waves = 1 + sum(rows > n for n in WAVES)
+    parts = math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / waves)
+    near = None
+    for wave in range(waves):
+        sig = unique.mapInArrow(_signature_rows(order, share, wave, waves), "sig long, key long, bits long, place long")
+        part = sig.repartition(parts, F.shiftright("sig", 32)).sortWithinPartitions("sig").mapInArrow(_meet(share, group, chunk), "a long, b long, sig long, key long, bits long, place long")
+        part = scratch.keep(part, f"near-{wave}")
+        near = part if near is None else near.union(part)
     met = near.where("a is not null").select("a", "b")
     deferred = near.where("sig is not null").select(*ROW)
     if not deferred.isEmpty():
-        # signatures of very many rows: a sort-merge join, whose skewed partitions are split at run time
-        a, b = deferred.alias("a"), deferred.alias("b")
-        joined = a.join(b, (F.col("a.sig") == F.col("b.sig")) & _can("a", "b", share))
-        met = met.union(joined.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")))
+        met = met.union(_met_elsewhere(deferred, share))
     met = met.distinct()
     met = scratch.keep(met, "candidates")
     asked = met.select(F.col("a").alias("key")).union(met.select(F.col("b").alias("key"))).distinct()

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -136,6 +137,32 @@ def test_signatures_of_many_sets(spark, group, chunk):
     assert got == brute.jaccard_pairs(data, None, 0.7)
 
 
+def test_large_sets_of_a_frequent_word(monkeypatch):
+    """They meet the few small sets of that word while they pass, in batches of any size; none is kept to be joined to the others."""
+    monkeypatch.setattr(near, "LIGHT", 4)
+    rng = np.random.default_rng(3)
+    base = [rng.choice(150, 45, replace=False).astype(np.int64) for _ in range(300)]
+    sets = base + [s[:35] for s in base[:20]] + [s[:-3] for s in base[20:40]]
+    words, df = np.unique(np.concatenate(sets), return_counts=True)
+    order = type("Sent", (), {"value": near.Order(words, df, len(sets))})
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array(range(len(sets))), pa.array(sets, pa.list_(pa.int64()))], ["key", "id", "terms"])
+    rows = pa.Table.from_batches(near._signature_rows(order, 0.7)([rows])).sort_by("sig").combine_chunks()
+    out = pa.concat_tables(pa.Table.from_batches([b]) for b in near._meet(0.7, 90, 64)(iter(rows.to_batches(max_chunksize=50))))
+    assert out["sig"].null_count == len(out)
+    got = set(zip(out["a"].to_pylist(), out["b"].to_pylist()))
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if (c := len(np.intersect1d(sets[i], sets[j]))) >= 0.7 * (len(sets[i]) + len(sets[j]) - c) - 1e-9}
+    assert len(want) >= 40 and want <= got
+
+
+def test_copies_and_waves(spark, monkeypatch):
+    """Copies of one text meet others once, and sets whose signatures are made in several waves give the same pairs."""
+    monkeypatch.setattr(near, "WAVES", (5, 10))
+    rng = np.random.default_rng(11)
+    some = [" ".join(rng.choice(list("abcdefghijklm"), rng.integers(1, 12))) for _ in range(30)]
+    data = list(enumerate(some * 4))
+    assert pairs(near.near_pairs(spark.createDataFrame(data, "key long, text string"))) == brute.jaccard_pairs(data, None, 0.7)
+
+
 def test_passages(spark):
     raw = spark.createDataFrame([(1, (["a", None, "b"],)), (2, (None,)), (3, None), (None, (["x"],))], "line_no long, passages struct<passage_text: array<string>>")
     assert pairs(near.passages(raw)) == {(100, "a"), (102, "b")}
