@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftmark.functions.text import rqid, rqid_codes
-from siftmark.operators import ingest, knn, metrics, models, rq, sampling, samples, stats, trie
+from siftmark.operators import allpairs, ingest, knn, metrics, models, rq, sampling, samples, stats, trie
 from siftmark.plans import frames, pipeline
 from siftmark.plans.oracle import ORACLE
 from siftmark.runtime import Scratch, table
@@ -303,8 +303,9 @@ def group_cap(spark, d):
 
 @query
 def pair_cosine_summary(spark, d):
-    rows = _kept_shared(spark, d).withColumn("shared", F.col("shared").cast("long"))
-    return rounded(stats.summary_ci(rows, F.col("sim"), ["shared"]), "mean", "median", "std", "q25", "q75", "ci95_low", "ci95_high")
+    """Over all pairs of documents with codes."""
+    docs = frames.docs(spark, d).join(frames.codes(spark, d), "doc")
+    return rounded(allpairs.cosine_summary(docs, LEVELS), "mean", "median", "std", "q25", "q75", "ci95_low", "ci95_high")
 
 
 @query

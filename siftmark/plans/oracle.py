@@ -46,6 +46,8 @@ SHARED = "CASE WHEN a[1] IS DISTINCT FROM b[1] THEN 0 WHEN a[2] IS DISTINCT FROM
 DOC_NEAR = f"""WITH {DOCS}, {CODES}, top AS MATERIALIZED ({_top(SELF, 100)}),
 near AS MATERIALIZED (SELECT query, doc, sim, rank, {SHARED} AS shared, b[1] AS c0 FROM (
   SELECT t.*, x.codes AS a, y.codes AS b FROM top t JOIN codes x ON x.doc = t.query JOIN codes y ON y.doc = t.doc))"""
+ALL_PAIRS = f"""WITH {DOCS}, {CODES}, near AS MATERIALIZED (SELECT sim, {SHARED} AS shared FROM (
+  SELECT t.sim, x.codes AS a, y.codes AS b FROM ({SELF}) t JOIN codes x ON x.doc = t.query JOIN codes y ON y.doc = t.doc))"""
 QUERY_NEAR = f"""WITH {DOCS}, {CODES}, {QUERIES}, top AS MATERIALIZED ({_top(ASKED, 100)}),
 near AS MATERIALIZED (SELECT query, doc, sim, rank, {SHARED} AS shared, b[1] AS c0 FROM (
   SELECT t.*, q.codes AS a, y.codes AS b FROM top t JOIN queries q ON q.query = t.query JOIN codes y ON y.doc = t.doc WHERE len(q.codes) > 0))"""
@@ -153,7 +155,7 @@ ORACLE: dict[str, str] = {
     "prefix_groups": f"WITH {CODES} SELECT level, count(*) AS n_groups_total, count_if(s >= 2)::BIGINT AS n_groups_valid, sum(s * (s - 1) // 2)::BIGINT AS n_pairs FROM (SELECT level, codes[1:level] AS p, count(*) AS s FROM codes CROSS JOIN range(1, 5) AS r(level) GROUP BY 1, 2) GROUP BY level",
     "shared_prefix_ratio": f"{DOC_NEAR} SELECT count(*) AS n_pairs, " + ", ".join(f"round(avg((shared >= {n})::INT), 6) AS l{n}" for n in L4) + " FROM near",
     "group_cap": f"WITH {CODES}, g AS (SELECT s * (s - 1) // 2 AS n FROM (SELECT count(*) AS s FROM codes GROUP BY codes[1:1])), t AS (SELECT cap, sum(least(n, cap))::BIGINT AS total FROM g CROSS JOIN (VALUES {_CAPS}) AS c(cap) GROUP BY cap) SELECT cap, total FROM t WHERE cap = coalesce((SELECT min(cap) FROM t WHERE total >= 20000), (SELECT max(cap) FROM t))",
-    "pair_cosine_summary": f"{DOC_NEAR} SELECT shared::BIGINT AS shared, n AS n_pairs, round(m, 6) AS mean, round(med, 6) AS median, round(s, 6) AS std, round(q1, 6) AS q25, round(q3, 6) AS q75, round(m - 1.96 * s / sqrt(n), 6) AS ci95_low, round(m + 1.96 * s / sqrt(n), 6) AS ci95_high FROM (SELECT shared, count(*) AS n, avg(sim) AS m, quantile_cont(sim, 0.5) AS med, coalesce(stddev_samp(sim), 0) AS s, quantile_cont(sim, 0.25) AS q1, quantile_cont(sim, 0.75) AS q3 FROM near GROUP BY 1)",
+    "pair_cosine_summary": f"{ALL_PAIRS} SELECT shared::BIGINT AS shared, n AS n_pairs, round(m, 6) AS mean, round(med, 6) AS median, round(s, 6) AS std, round(q1, 6) AS q25, round(q3, 6) AS q75, round(m - 1.96 * s / sqrt(n), 6) AS ci95_low, round(m + 1.96 * s / sqrt(n), 6) AS ci95_high FROM (SELECT shared, count(*) AS n, avg(sim) AS m, quantile_cont(sim, 0.5) AS med, coalesce(stddev_samp(sim), 0) AS s, quantile_cont(sim, 0.25) AS q1, quantile_cont(sim, 0.75) AS q3 FROM near GROUP BY 1)",
     "mann_whitney": f"""{DOC_NEAR}, v AS (SELECT shared > 0 AS x, sim FROM near), r AS (SELECT x, sim, rank() OVER (ORDER BY sim) + (count(*) OVER (PARTITION BY sim) - 1) / 2.0::DOUBLE AS r FROM v),
 s AS (SELECT count_if(x)::DOUBLE AS nx, count_if(NOT x)::DOUBLE AS ny, sum(CASE WHEN x THEN r ELSE 0 END) AS rx, avg(CASE WHEN x THEN sim END) AS mx, avg(CASE WHEN NOT x THEN sim END) AS my, var_samp(CASE WHEN x THEN sim END) AS vx, var_samp(CASE WHEN NOT x THEN sim END) AS vy FROM r),
 t AS (SELECT sum(c::DOUBLE * c * c - c) AS ties FROM (SELECT count(*) AS c FROM v GROUP BY sim)), u AS (SELECT *, rx - nx * (nx + 1) / 2 AS u1, nx * ny / 12 * (nx + ny + 1 - ties / ((nx + ny) * (nx + ny - 1))) AS va FROM s, t)

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftmark.functions import text, vectors
-from siftmark.operators import ingest, knn, metrics, models, order, rq, sampling, samples, stats, trie
+from siftmark.operators import allpairs, ingest, knn, metrics, models, order, rq, sampling, samples, stats, trie
+from siftmark.plans import catalogue
 from siftmark.sources import readers, sinks
 
 
@@ -544,3 +545,38 @@ def test_top_k_shuffles_no_vectors_per_block(spark, monkeypatch):
                 shared = next((n for n in range(3) if codes[i][n] != codes[j][n]), 3)
                 want.append((i, j, r + 1, shared, codes[j][0]))
     assert sorted(one(got.select("query", "doc", "rank", "shared0", "c0"))) == sorted(want)
+
+
+def test_cosine_summary_of_all_pairs(spark, monkeypatch):
+    """All pairs count, not those of the nearest documents only; files that meet on one core or several give the same."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(400, 64))
+    v[300:] = v[:100] + 0.01 * rng.normal(size=(100, 64))
+    v[390:] = v[0]
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    codes = [[int(x) for x in rng.integers(0, 3, 4)] for _ in v]
+    codes[5], codes[6], codes[7], codes[8] = [1], [1], [], [1, None, 2, 0]
+    whole = [tuple((c + [None] * 4)[:4]) for c in codes]
+    groups = {}
+    for i in range(len(v)):
+        for j in range(len(v)):
+            if i != j:
+                same = [a == b for a, b in zip(whole[i], whole[j])]
+                groups.setdefault(same.index(False) if False in same else 4, []).append(round(float(v[i] @ v[j]), 9))
+    docs = spark.createDataFrame([(i, x.tolist(), c) for i, (x, c) in enumerate(zip(v, codes))], "doc long, v array<double>, codes array<int>")
+    for block in (8192, 40):
+        monkeypatch.setattr(allpairs, "BLOCK", block)
+        got = {r.shared: r for r in allpairs.cosine_summary(docs, 4).collect()}
+        assert set(got) == set(groups) == {0, 1, 2, 3, 4}
+        for g, x in groups.items():
+            r, half = got[g], 1.96 * np.std(x, ddof=1) / len(x) ** 0.5
+            assert r.n_pairs == len(x)
+            want = [np.mean(x), *np.percentile(x, [25, 50, 75]), np.std(x, ddof=1), np.mean(x) - half, np.mean(x) + half]
+            assert [r.mean, r.q25, r.median, r.q75, r.std, r.ci95_low, r.ci95_high] == pytest.approx(want, abs=2e-9)
+    assert allpairs.cosine_summary(docs.limit(0), 4).collect() == allpairs.cosine_summary(docs.limit(1), 4).collect() == []
+
+
+def test_pair_cosine_summary_has_all_pairs(spark, sf):
+    """A document has pairs with all others that have codes, not with its hundred nearest only."""
+    docs = catalogue.frames.docs(spark, sf).join(catalogue.frames.codes(spark, sf), "doc").count()
+    assert sum(r.n_pairs for r in catalogue.pair_cosine_summary(spark, sf).collect()) == docs * (docs - 1)
