@@ -9,7 +9,7 @@ Method: power-iteration spectral clustering.
    direction doesn't shrink with the size of a cluster.
 3. k-means of the places, with as many centres as there are filled cells of a fine grid, gives the clusters.
 
-Both steps run twice. Within a group of vectors (see ``vectors.meetings``), of bounded size, they run on
+Both steps run twice. Within a group of vectors (see ``vectors.per_region``), of bounded size, they run on
 the documents. Clusters of different groups that share documents then are the nodes of a second graph, whose
 vectors are distributed tables. Nothing but the k-means of the places makes documents one cluster.
 
@@ -136,14 +136,21 @@ def spectral(ids: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np
     return np.unique(label, return_inverse=True)[1]
 
 
-def _linked(q: np.ndarray, m: np.ndarray, g: vectors.Group, least: float) -> np.ndarray:
-    """Which queries are linked to which members of the group; doubtful cosines are taken in double precision."""
+def _linked(q: np.ndarray, m: np.ndarray, g: vectors.Group, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The queries and the members of the group with links to one another, and their cosines, -2 without a link; doubtful
+    ones are taken in double precision. Most have none, and go before anything but the product is done with them."""
+    low = np.float32(least - 1e-5)
     cos = g.q32[q] @ g.m32[m].T
+    some = np.flatnonzero(cos.max(1) >= low)
+    q, cos = q[some], cos[some]
+    some = np.flatnonzero(cos.max(0) >= low) if len(q) else np.zeros(0, np.int64)
+    m, cos = m[some], cos[:, some]
     link = cos >= least
     close = np.nonzero(np.abs(cos - least) < 1e-5)
     link[close] = np.einsum("id,id->i", g.qu[q[close[0]]], g.mu[m[close[1]]]) >= least
     link[g.qi[q, None] == g.mi[None, m]] = False
-    return np.where(link, cos, -2)
+    rows, cols = link.any(1), link.any(0)
+    return q[rows], m[cols], np.where(link, cos, -2)[rows][:, cols]
 
 
 def _strongest(label: np.ndarray, at: np.ndarray, to: np.ndarray, cos: np.ndarray) -> np.ndarray:
@@ -168,10 +175,7 @@ def _local(least: float):
             w.append(np.einsum("id,id->i", g.qu[q], g.mu[m]))
 
         for _, members, lo, hi, q in g.blocks(least, 1024):
-            m = members[lo:hi]
-            cos = _linked(q, m, g, least)
-            rows, cols = (cos > -2).any(1), (cos > -2).any(0)
-            q, m, cos = q[rows], m[cols], cos[rows][:, cols]
+            q, m, cos = _linked(q, members[lo:hi], g, least)
             if not len(q):
                 continue
             some.append((m, q))
@@ -188,7 +192,7 @@ def _local(least: float):
             label[nodes] = spectral(ids[nodes], at[: len(one)], at[len(one) :], np.concatenate(w)[one])
             more = 0
             for m, q in some:  # every link between two clusters is an affinity that was missed
-                cos = _linked(q, m, g, least)
+                q, m, cos = _linked(q, m, g, least)
                 row, col = np.nonzero((cos > -2) & (label[qx[q]][:, None] != label[mx[m]][None]))
                 if len(row):
                     best = _strongest(label, qx[q[row]], mx[m[col]], cos[row, col])
@@ -264,8 +268,8 @@ def clusters(rows: DataFrame, id_col: str, vector_col: str, least: float = 0.9,
     if not n:
         return spark.createDataFrame([], "cluster_idx long, doc_idx long")
     cells = vectors.Cells(vectors.fit_cells(vectors.sample(v, n), vectors.cells_for(n)), n, vectors.border_for(least))
-    parts = scratch.keep(vectors.per_meeting(vectors.meetings(v, cells, scratch), _local(least), "doc long, c long", cells, scratch), "parts")
-    scratch.drop(scratch.kept["placed"])  # no later step reads vectors
+    parts = scratch.keep(vectors.per_region(v, _local(least), "doc long, c long", cells, scratch), "parts")
+    vectors.done(scratch)  # no later step reads vectors
     label = distributed(parts, scratch)
     # a name is its kind and a number: 0, a cluster of one group; 1, of the second graph; 2, copies that nothing else is linked to
     labels = parts.groupBy("doc").agg(F.min("c").alias("c"))

@@ -7,7 +7,8 @@ region in which it probes a cell, and meet there cell by cell. A region of any s
 blocks and query blocks of bounded size, and each pair of blocks is one group: no task gets more than
 1.5 * ``BLOCK`` members and four times as many queries, whatever part of all rows one cell holds.
 
-A vector meets several regions, so groups are sent in waves of about as many rows as there are vectors, and the files of a
+A task holds the members of a unit, about ``BLOCK`` rows of a region, and reads the files of all others (``per_region``): each vector is
+written once. Where the workers can't open the shared folder, a vector meets several regions, so groups are sent in waves of about as many rows as there are vectors, and the files of a
 wave's shuffle go before the next one: the disk holds the vectors about twice, however many regions each of them probes.
 """
 
@@ -18,11 +19,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.llm.copies import several
-from siftmark.runtime import Scratch, broadcast_if_small, swept
+from siftmark.operators.knn import _files
+from siftmark.runtime import Scratch, _remove, broadcast_if_small, swept
 
 #: Rows of the sample that cells and codebooks are fitted on at most, cells, rows of a block.
 SAMPLE, MAX_CELLS, BLOCK = 262_144, 16_384, 16_384
@@ -122,9 +126,16 @@ def _within(best: np.ndarray, d: np.ndarray, own: np.ndarray, c: np.ndarray, oth
     """Whether the border to each of ``others`` is near enough. Only the own centres' distances are taken, as those of all
     centres are the square of their number."""
     some, at = np.unique(own, return_inverse=True)
-    apart = np.sqrt(np.maximum(2 - 2 * (c[some].astype(np.float64) @ others.astype(np.float64).T), 0)).astype(np.float32)
-    # and what single precision may get wrong, which is more than centres of a tight cluster are apart
-    return best[:, None] - d <= border * apart[at] + 1e-5
+    # with what single precision may get wrong, which is more than centres of a tight cluster are apart
+    far = c[some] @ others.T
+    far *= np.float32(-2)
+    far += np.float32(2 + 1e-5)
+    far = np.sqrt(np.maximum(far, 0))
+    far *= np.float32(border)
+    far += np.float32(1e-5)
+    far = far[at]
+    far += d
+    return far >= best[:, None]
 
 
 def cells_for(n: int) -> int:
@@ -202,14 +213,109 @@ def meetings(vectors: DataFrame, cells: Cells, scratch: Scratch) -> list[DataFra
     return out
 
 
+def _by_unit(vectors: DataFrame, cells: Cells, scratch: Scratch) -> tuple[str, list[tuple[int, int, list[str]]]] | None:
+    """Vectors (doc, own, v), each written once, into the files of their unit: about ``BLOCK`` rows of a region. (folder, (region,
+    part of it, files) of each unit), or None if the workers can't open the shared folder."""
+    spark = vectors.sparkSession
+    if _files(scratch.kept["vectors"]._scratch_path if "vectors" in scratch.kept else scratch.root) is None:
+        return None
+    shared = spark.sparkContext.broadcast(cells)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for b in batches:
+            own = nearest(unit(matrix(b.column("v"))).astype(np.float32), c.centres, max(64, min(4096, 2_000_000 // len(c.centres))))[0]
+            cols = [b.column("doc"), pa.array(own.astype(np.int32)), pa.array(c.region[own].astype(np.int32)), b.column("v")]
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "own", "cell", "v"])
+
+    kept = scratch.keep(vectors.mapInArrow(placed, "doc long, own int, cell int, v array<float>"), "placed")
+    if "vectors" in scratch.kept:
+        scratch.drop(scratch.kept["vectors"])  # the placed ones are read from here on
+    cuts, keys = [], []
+    for r in sorted(kept.groupBy("cell").count().collect(), key=lambda r: r.cell):  # at most MAX_CELLS regions
+        nb = max(1, round(r["count"] / BLOCK))
+        cuts.append((r.cell, nb, len(keys)))
+        keys += [(r.cell, j) for j in range(nb)]
+    at = kept.join(F.broadcast(spark.createDataFrame(cuts, "cell int, nb int, first int")), "cell")
+    laid = at.select("doc", "own", "v", (F.col("first") + F.pmod(F.xxhash64("doc", F.lit(11)), F.col("nb"))).cast("int").alias("unit")).repartition(max(1, min(len(keys), 512)), "unit")
+    path = f"{scratch.root}/units"
+    with swept(spark):
+        laid.write.mode("overwrite").option("compression", "none").option("parquet.enable.dictionary", "false").partitionBy("unit").parquet(path)
+    scratch.drop(kept)
+    system, root = fs.FileSystem.from_uri(path)
+    files: list[list[str]] = [[] for _ in keys]
+    for x in system.get_file_info(fs.FileSelector(root, recursive=True)):
+        if x.path.endswith(".parquet"):
+            files[int(x.path.rsplit("unit=", 1)[1].split("/")[0])].append(x.path)
+    return path, [(*key, sorted(f)) for key, f in zip(keys, files)]
+
+
+def per_region(vectors: DataFrame, f: Callable[[Group], list[np.ndarray]], schema: str, cells: Cells, scratch: Scratch) -> DataFrame:
+    """``f(group)`` of every group: the columns of ``schema``. A task holds the members of one unit and reads the other units'
+    files; those of their vectors that probe one of its cells are its queries, which it meets in groups of bounded size.
+    So vectors are neither placed in nor shuffled to the regions they probe. Without a folder that the workers can open,
+    groups are shuffled in waves (``meetings``)."""
+    if (found := _by_unit(vectors, cells, scratch)) is None:
+        return per_meeting(meetings(vectors, cells, scratch), f, schema, cells, scratch)
+    path, units = found
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast((cells, units))
+    names, types = zip(*(x.split() for x in schema.split(", ")))
+    kinds = {"long": (np.int64, pa.int64()), "double": (np.float64, pa.float64())}
+
+    def read(system: fs.FileSystem, files: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for name in files:
+            with system.open_input_file(name) as source:
+                for b in pq.ParquetFile(source).iter_batches(BLOCK, columns=["doc", "own", "v"]):
+                    yield np.asarray(b.column("doc")), np.asarray(b.column("own")), matrix(b.column("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, (c, all_units) = fs.FileSystem.from_uri(path)[0], shared.value
+        for u in (u for b in batches for u in b.column(0).to_pylist()):
+            region, j, files = all_units[u]
+            here = np.flatnonzero(c.region == region)
+            members = [np.concatenate(x) for x in zip(*read(system, files))]
+            step = max(64, min(8192, 2_000_000 // len(here)))
+            part, held = 0, [[x[:0] for x in members]]
+
+            def met() -> pa.RecordBatch:
+                doc, own, v = (np.concatenate(x) for x in zip(members, *held))
+                # the first time, the members are their own queries too
+                role = np.r_[np.full(len(members[0]), 0 if part else 2), np.ones(len(doc) - len(members[0]), np.int64)]
+                columns = f(Group((region, j, part), role, doc, own, v, c))
+                return pa.RecordBatch.from_arrays([pa.array(x.astype(kinds[k][0]), kinds[k][1]) for x, k in zip(columns, types)], list(names))
+
+            for other, (_, _, more) in enumerate(all_units):
+                if other == u:
+                    continue
+                for doc, own, v in read(system, more):
+                    for s in range(0, len(doc), step):
+                        x = v[s : s + step]
+                        row = np.unique(probes_among(unit(x).astype(np.float32), c.centres, own[s : s + step], here, c.border)[0]) + s
+                        if len(row):
+                            held.append([doc[row], own[row], v[row]])
+                    if sum(len(x[0]) for x in held) >= 4 * BLOCK:
+                        yield met()
+                        part, held = part + 1, [[x[:0] for x in members]]
+            if not part or len(held) > 1:
+                yield met()
+
+    return spark.range(0, len(units), 1, len(units)).mapInArrow(run, schema)
+
+
+def done(scratch: Scratch) -> None:
+    """Removes the vectors that ``per_region`` wrote."""
+    scratch.drop(scratch.kept["placed"])
+    _remove(scratch.spark, f"{scratch.root}/units")
+
+
 class Group:
     """What meets in one group: members (ids ``mi``, unit vectors ``mu``), queries (``qi``, ``qu``), both with
     single precision copies, and, for each cell with both, its centre's number, its members and the queries
     that probe it. A doc that comes several times is taken once for each role."""
 
-    def __init__(self, t: pa.Table, c: Cells):
-        role, doc, cell_of, v = np.asarray(t["role"]), np.asarray(t["doc"]), np.asarray(t["own"]), matrix(t["v"])
-        self.key = tuple(t[x][0].as_py() for x in ("cell", "j", "i"))
+    def __init__(self, key: tuple[int, int, int], role: np.ndarray, doc: np.ndarray, cell_of: np.ndarray, v: np.ndarray, c: Cells):
+        self.key = key
 
         def pick(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             at = np.flatnonzero(mask)
@@ -260,8 +366,11 @@ def per_meeting(waves: list[DataFrame], f: Callable[[Group], list[np.ndarray]],
     shared = scratch.spark.sparkContext.broadcast(cells)
     kinds = {"long": (np.int64, pa.int64()), "double": (np.float64, pa.float64())}
 
+    def group(t: pa.Table) -> Group:
+        return Group(tuple(t[x][0].as_py() for x in ("cell", "j", "i")), np.asarray(t["role"]), np.asarray(t["doc"]), np.asarray(t["own"]), matrix(t["v"]), shared.value)
+
     def run(t: pa.Table) -> pa.Table:
-        return pa.table([pa.array(col.astype(kinds[k][0]), kinds[k][1]) for col, k in zip(f(Group(t, shared.value)), types)], names=list(names))
+        return pa.table([pa.array(col.astype(kinds[k][0]), kinds[k][1]) for col, k in zip(f(group(t)), types)], names=list(names))
 
     found = [met.groupBy("cell", "j", "i").applyInArrow(run, schema) for met in waves]
     if len(found) > 1:

@@ -615,3 +615,29 @@ def test_probes_take_few_distances(monkeypatch):
     row, cell, rank = v.probes(c[:20], c)
     assert sorted(row[rank == 0]) == list(range(20)) and sorted(cell[rank == 0]) == list(range(20))
     assert max(seen) <= 20 * 4000
+
+
+def test_vectors_are_not_shuffled_to_the_regions_they_probe(spark, monkeypatch):
+    """Tasks read the others' files; what they find is what the shuffled groups give."""
+    from siftmark.llm import clusters, vectors as v
+    from siftmark.runtime import Scratch
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(30, 64)).repeat(6, 0) + 0.12 * rng.normal(size=(180, 64))
+    rows = [(i, y.tolist()) for i, y in enumerate(np.r_[x, rng.normal(size=(120, 64))])]
+    monkeypatch.setattr(v, "BLOCK", 16)
+    got = []
+    for way in ("region", "meeting"):
+        scratch = Scratch(spark, "way")
+        unique, _, n = v.one_each(vectors(spark, rows), "doc_idx", "embedding", scratch)
+        cells = v.Cells(v.fit_cells(v.sample(unique, n), v.cells_for(n)), n, v.border_for(0.9))
+        args = (similar._search(10, 0.9, similar.fit_books(*[v.unit(x).astype(np.float32)] * 2), cells.centres), "doc long, neighbour long, cos double", cells, scratch)
+        if way == "region":
+            found = v.per_region(unique, *args)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "MapInArrow" in plan and "Exchange" not in plan and "array<float>" not in plan
+        else:
+            found = v.per_meeting(v.meetings(unique, cells, scratch), *args)
+        got.append({(min(r.doc, r.neighbour), max(r.doc, r.neighbour)) for r in found.collect()})
+    assert got[0] == got[1] == brute.p5(rows)
+    assert {(r.cluster_idx, r.doc_idx) for r in clusters.clusters(vectors(spark, rows), "doc_idx", "embedding").collect()} == set(brute.p1(rows))
