@@ -85,16 +85,17 @@ def shaped(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return r / np.maximum(size, 1e-12)[:, None], size
 
 
-def scan(q: np.ndarray, codes: np.ndarray, size: np.ndarray, books: np.ndarray, base: np.ndarray) -> np.ndarray:
+def decoded(codes: np.ndarray, size: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The residuals that the codes stand for, of length ``size``."""
+    out = np.concatenate([books[p][codes[:, p]] for p in range(PARTS)], 1)
+    return out * size[:, None]
+
+
+def scan(q: np.ndarray, codes: np.ndarray, size: np.ndarray, books: np.ndarray, base: np.ndarray, back: np.ndarray | None = None) -> np.ndarray:
     """Scores (members x queries): ``base`` (the inner products with the centre) and, times the length of the
-    member's residual, one table entry for each of its codes."""
-    tables = np.matmul(books, np.ascontiguousarray(q.reshape(len(q), PARTS, -1).transpose(1, 2, 0)))
-    out = tables[0].take(codes[:, 0], axis=0)
-    more = np.empty_like(out)
-    for p in range(1, PARTS):
-        np.take(tables[p], codes[:, p], axis=0, out=more, mode="clip")
-        out += more
-    out *= size[:, None]
+    member's residual, one table entry for each of its codes. These sums are the products with the residuals that the codes
+    stand for, ``back`` if they are known, and are taken so: there are no four-bit shuffles for the look-ups in numpy."""
+    out = (decoded(codes, size, books) if back is None else back) @ q.T
     out += base
     return out
 
@@ -121,14 +122,18 @@ def _search(k: int, least: float, books: np.ndarray, centres: np.ndarray):
                 now, centre = cell, centres[cell]
                 r, size = shaped(g.m32[members] - centre)
                 codes = encode(g.m32[members], r, books)
-                lost = r - np.concatenate([books[p][codes[:, p]] for p in range(PARTS)], 1)
+                back = decoded(codes, np.ones_like(size), books)
+                lost = r - back
+                back *= size[:, None]
                 errors = SURE * size * np.sqrt((lost * lost).sum(1)) / np.sqrt(r.shape[1])
             m, error = members[lo:hi], errors[lo:hi]
-            high = scan(g.q32[q], codes[lo:hi], size[lo:hi], books, (g.q32[q] @ centre)[None])
+            high = scan(g.q32[q], codes[lo:hi], size[lo:hi], books, (g.q32[q] @ centre)[None], back[lo:hi])
             high += error[:, None]
-            some = np.flatnonzero(high.max(0) >= least)
+            some = np.flatnonzero(high.max(1) >= least)
             if not len(some):
                 continue
+            high, m, error = high[some], m[some], error[some]
+            some = np.flatnonzero(high.max(0) >= least)
             high, q = high[:, some], q[some]
             high[g.mi[m][:, None] == g.qi[q][None]] = -9
             may = _may(high, error, k, least)
@@ -182,10 +187,10 @@ def neighbours(rows: DataFrame, id_col: str, vector_col: str, k: int = 10, least
     cells = vectors.Cells(vectors.fit_cells(x, vectors.cells_for(n)), n, vectors.border_for(least))
     x = x[np.random.default_rng(3).permutation(len(x))[:TRAIN]]
     books = fit_books(x, shaped(x - cells.centres[vectors.nearest(x, cells.centres)[0]])[0])
-    found = vectors.per_meeting(vectors.meetings(v, cells, scratch), _search(k, least, books, cells.centres), schema, cells, scratch).dropDuplicates(["doc", "neighbour"])
+    found = vectors.per_region(v, _search(k, least, books, cells.centres), schema, cells, scratch).dropDuplicates(["doc", "neighbour"])
     best = Window.partitionBy("doc").orderBy(F.desc("cos"), "neighbour")
     found = scratch.keep(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"), "found")
-    scratch.drop(scratch.kept["placed"])  # no later step reads vectors
+    vectors.done(scratch)  # no later step reads vectors
     if copies is None:
         return found
     # the k + 1 smallest ids of each class; a partial limit comes before the shuffle

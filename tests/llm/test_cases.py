@@ -641,3 +641,12 @@ def test_vectors_are_not_shuffled_to_the_regions_they_probe(spark, monkeypatch):
         got.append({(min(r.doc, r.neighbour), max(r.doc, r.neighbour)) for r in found.collect()})
     assert got[0] == got[1] == brute.p5(rows)
     assert {(r.cluster_idx, r.doc_idx) for r in clusters.clusters(vectors(spark, rows), "doc_idx", "embedding").collect()} == set(brute.p1(rows))
+
+
+def test_scores_take_no_look_ups_for_each_query(monkeypatch):
+    """A scan is one matrix product."""
+    rng = np.random.default_rng(3)
+    q, codes = rng.standard_normal((5, 64)).astype(np.float32), rng.integers(0, 16, (40, similar.PARTS)).astype(np.uint8)
+    books = rng.standard_normal((similar.PARTS, 16, 2)).astype(np.float32)
+    monkeypatch.setattr(similar.np, "take", None)
+    assert similar.scan(q, codes, np.ones(40, np.float32), books, np.zeros((1, 5), np.float32)).shape == (40, 5)
