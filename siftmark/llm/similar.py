@@ -3,7 +3,7 @@
 Method: score-aware (anisotropic) quantisation. Vectors are put in cells; a member's residual to the centre
 of its cell is coded in ``PARTS`` four-bit codes, fitted with a loss that penalises the part of the error
 parallel to the vector, which is what decides large inner products. In each cell, every vector that probes it
-scans the members' codes by table look-ups, and what may be among its ``k`` best goes to an exact reranking in
+scans the members' codes (see ``scan``), and what may be among its ``k`` best goes to an exact reranking in
 double precision, from both sides of a pair: all members whose score and ``SURE`` standard errors reach the
 threshold and the k-th best lower bound, however many they are.
 
